@@ -1,14 +1,16 @@
 """The corpus queries and the SQL that checks them."""
 
-from . import mixing, simhash
+from . import bpe, minhash, mixing, simhash
 
 
 def queries():
     return {
         "op1_fingerprints": simhash.op1_fingerprints,
+        "op2_near_dedup": minhash.op2_near_dedup,
+        "op6_bpe": bpe.op6_bpe,
         "op7_mixing": mixing.op7_mixing,
     }
 
 
 def oracle_sql():
-    return {"op7_mixing": mixing.OP7_SQL}
+    return {"op2_near_dedup": minhash.OP2_SQL, "op7_mixing": mixing.OP7_SQL}
