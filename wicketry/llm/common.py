@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,3 +49,17 @@ def drop_cut(df: DataFrame) -> None:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's code, once per application, wherever the driver imported it from."""
+    context = spark.sparkContext
+    if getattr(context, "_corpus_code", None):
+        return
+    top = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="code-")) / "corpus_code.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted([top / "__init__.py", *(top / "llm").glob("*.py")]):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(path))
+    context._corpus_code = str(path)

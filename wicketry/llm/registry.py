@@ -1,6 +1,6 @@
 """The corpus queries and the SQL that checks them."""
 
-from . import bpe, minhash, mixing, simhash
+from . import bpe, minhash, mixing, neighbours, phrases, simhash, toxicity
 
 
 def queries():
@@ -9,6 +9,9 @@ def queries():
         "op2_near_dedup": minhash.op2_near_dedup,
         "op6_bpe": bpe.op6_bpe,
         "op7_mixing": mixing.op7_mixing,
+        "op8_suffix_dedup": phrases.op8_suffix_dedup,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_neighbours": neighbours.op10_neighbours,
     }
 
 
