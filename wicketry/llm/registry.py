@@ -1,12 +1,13 @@
 """The corpus queries and the SQL that checks them."""
 
-from . import bpe, minhash, mixing, neighbours, phrases, simhash, toxicity
+from . import bpe, minhash, mixing, neighbours, phrases, pii, simhash, toxicity
 
 
 def queries():
     return {
         "op1_fingerprints": simhash.op1_fingerprints,
         "op2_near_dedup": minhash.op2_near_dedup,
+        "op3_pii": pii.op3_pii,
         "op6_bpe": bpe.op6_bpe,
         "op7_mixing": mixing.op7_mixing,
         "op8_suffix_dedup": phrases.op8_suffix_dedup,
