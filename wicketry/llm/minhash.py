@@ -5,11 +5,11 @@ half the hash evaluations. Bands of signature values propose candidates; a link
 ``100 * intersection >= percent * union`` holds on the full shingle sets.
 
 Groups are never expanded into all pairs. Equal shingle sets are one class. In a bucket, the class that shares the
-most buckets with others (the original of a family of copies, as a rule) is compared with the rest; after links are
-joined into components, buckets whose classes are still in several components go another round with another such
+most buckets with others (the original of a family of copies, as a rule) is compared with the rest, as far as the number
+of shingles that any other candidate has allows a link at all; after links are joined into components, buckets whose classes are still in several components go another round with another such
 class among those not yet compared, and after ``ROUNDS`` rounds the classes outside a bucket's largest component
-are compared with all classes of other components in the bucket, which leaves no pair of a bucket unchecked that
-could join two components.
+are compared with all classes of other components in the bucket, in blocks, which leaves no pair of a bucket unchecked
+that could join two components.
 
 Defined results: documents without words (null, empty or white space) have no shingles, are linked with nothing and
 kept; with fewer words than a shingle, the whole sequence is the only one; a repeated doc_id is one document; a row
@@ -33,14 +33,16 @@ WORDS = re.compile(WORD)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Signature: BANDS bands of ROWS values, half of them minima and half maxima. At similarity 0.8 a pair shares no band with chance (1 - 0.8**4)**32 < 1e-7.
 BANDS, ROWS = 32, 4
-ROUNDS = 3
+ROUNDS = 2
+#: Sets in a block when the rest of a bucket is compared.
+BLOCK = 128
 #: Word hashes remembered by a worker; then it starts anew.
 REMEMBERED = 500_000
 _words: dict[str, int] = {}
 
 _rng = np.random.RandomState(20240607)
-MULT = _rng.randint(0, 2**63, BANDS * ROWS // 2, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = _rng.randint(0, 2**63, BANDS * ROWS // 2, dtype=np.int64).astype(np.uint64)
+MULT = _rng.randint(0, 2**31, BANDS * ROWS // 2, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+ADD = _rng.randint(0, 2**32, BANDS * ROWS // 2, dtype=np.int64).astype(np.uint32)
 BAND_MULT = _rng.randint(0, 2**63, (BANDS, ROWS), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -82,14 +84,16 @@ def shingles(text: str | None, n_words: int) -> np.ndarray:
 
 def signature(s: np.ndarray) -> np.ndarray:
     """Minimum and maximum under each permutation, interleaved so that a band mixes permutations."""
-    low, high = np.empty(len(MULT), np.uint64), np.empty(len(MULT), np.uint64)
+    low = high = np.empty(0, np.uint32)
+    s = (s >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(s), 4096):  # long texts in steps that fit the cache
-            h = s[at : at + 4096, None] * MULT + ADD
-            h ^= h >> np.uint64(32)
+        for at in range(0, len(s), 1024):  # long texts in steps that fit the cache
+            h = s[at : at + 1024, None] * MULT
+            h += ADD
+            h ^= h >> np.uint32(15)
             a, b = h.min(axis=0), h.max(axis=0)
             low, high = (np.minimum(low, a), np.maximum(high, b)) if at else (a, b)
-    return np.concatenate([low, high]).reshape(ROWS, BANDS).T  # a band's values come from ROWS different permutations or ends
+    return np.concatenate([low, high]).astype(np.uint64).reshape(ROWS, BANDS).T  # a band's values come from ROWS different permutations or ends
 
 
 def bands(s: np.ndarray) -> np.ndarray:
@@ -125,19 +129,6 @@ def sets(docs: DataFrame, n_words: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id bigint, shingles array<bigint>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that fulfil the similarity on their full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # one row per document; only candidates are cut into shingles again
-    full = cut(sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), n_words).dropDuplicates(["doc_id"]), "sets")
-    one = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a")
-    two = one.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t")), "b")
-    common = F.size(F.array_intersect("s", "t"))
-    links = cut(two.filter(common * 100 >= percent * (F.size("s") + F.size("t") - common)).select("a", "b"), "links")
-    drop_cut(full)
-    return links
-
-
 def unresolved(members: DataFrame, label: DataFrame | None) -> DataFrame:
     """Members of the buckets whose members are in more than one component, with their component ``c``."""
     if label is None:
@@ -149,44 +140,116 @@ def unresolved(members: DataFrame, label: DataFrame | None) -> DataFrame:
     return now.join(open_, "key")
 
 
-def near_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
-    feats = cut(features(docs, n_words), "features")
-    known = feats.filter("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
-    member = classes.select("id", "n", F.explode("bands").alias("key"))
-    shared = member.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    member = cut(member.join(shared, "key").select("key", "id", "n", "m"), "members")
+def incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """0/1 matrix: which of the sorted ``columns`` each sorted set holds."""
+    out = np.zeros((len(sets), len(columns)), np.float32)
+    for i, x in enumerate(sets):
+        x = x[np.searchsorted(x, columns[0]) : np.searchsorted(x, columns[-1], "right")]
+        p = np.searchsorted(columns, x)
+        out[i, p[columns[p] == x]] = 1
+    return out
+
+
+def in_blocks(open_: DataFrame, asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The exact rest: classes outside a bucket's largest component against all classes of other components in the bucket.
+
+    Both sides of a bucket are dealt into blocks of about BLOCK sets; a pair of blocks is one row, whose intersections are
+    counted at once by a product of 0/1 matrices, and only true links come out.
+    """
+    count = open_.groupBy("key", "c").agg(F.count("*").alias("k"))
+    largest = count.groupBy("key").agg(F.max(F.struct("k", "c")).getField("c").alias("big"), F.sum("k").alias("m"))
+    mates = open_.join(largest, "key").select("key", "id", "c", "big", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)).alias("block"))
+    outside = mates.filter("c != big").join(asked, ["key", "id"], "left_anti")
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        full = df.join(sets, "id").select("key", "block", F.struct(F.col("c").cast("string").alias("c"), F.col("id").cast("string").alias("id"), "shingles").alias("x"))
+        return full.groupBy("key", "block").agg(F.collect_list("x").alias(name)).drop("block")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for left, right in zip(pdf["left"], pdf["right"], strict=True):
+                s, t = ([np.asarray(x["shingles"], np.int64) for x in side] for side in (left, right))
+                both = np.intersect1d(np.concatenate(s), np.concatenate(t))
+                shared = np.zeros((len(s), len(t)), np.float32)
+                for at in range(0, len(both), 8192):
+                    some = both[at : at + 8192]
+                    shared += incidence(s, some) @ incidence(t, some).T
+                size = np.array([len(x) for x in s])[:, None] + np.array([len(x) for x in t])[None, :]
+                for i, j in np.argwhere(shared * (100 + percent) >= percent * size):
+                    if left[i]["c"] != right[j]["c"]:
+                        found.append((left[i]["id"], right[j]["id"]))
+            yield pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
+
+    kind = sets.schema["id"].dataType
+    rows = blocks(outside, "left").join(blocks(mates.join(outside.select("key").distinct(), "key", "left_semi"), "right"), "key").select("left", "right")
+    out = rows.mapInPandas(compare, "a string, b string").distinct()
+    return cut(out.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")), "links")
+
+
+def linked(members: DataFrame, fetch, percent: int) -> DataFrame | None:
+    """Links (a, b) that join all members which any chain of verified pairs of bucket mates joins; None without any.
+
+    ``members``: key, id; ``fetch`` turns a table of ids into (id, shingles). A shingle that no other member has can't be
+    shared, so the number of the others bounds every intersection; pairs below the bound are never made. That is exact,
+    and keeps families of copies just below the similarity from being compared all with all.
+    """
+    shared = members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    member = cut(members.join(shared, "key").select("key", "id", "m"), "members")
     # a class that shares many buckets with many others is compared first
-    central = member.groupBy("id").agg(F.sum("m").alias("central"))
-    members = cut(member.join(central, "id").select("key", "id", "n", "central"), "members")
+    central = cut(member.groupBy("id").agg(F.sum("m").alias("central")), "central")
+    sets = cut(fetch(central.select("id")), "sets")
+    alone = sets.select("id", F.explode("shingles").alias("g")).groupBy("g").agg(F.count("*").alias("df"), F.min("id").alias("id")).filter("df = 1")
+    alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
+    n = F.size("shingles").cast("bigint")
+    sizes = sets.select("id", n.alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    sizes = sizes.filter(F.col("common") * 100 >= percent * F.col("n")).join(central, "id")
+    members = cut(member.join(sizes, "id").select("key", "id", "n", "common", "central"), "members")
     drop_cut(member)
+    possible = (F.least("common", "p_common") * (100 + percent) >= percent * (F.col("n") + F.col("p_n"))) & (
+        F.least("n", "p_n") * 100 >= percent * F.greatest("n", "p_n"))
     links, label = None, None
     asked = None  # (key, id) of the classes that were compared with their whole bucket
     for step in range(ROUNDS + 1):
         open_ = cut(unresolved(members, label), "open")
         if open_.isEmpty():
             break
-        size_ok = F.least("n", "pn") * 100 >= percent * F.greatest("n", "pn")
+        chosen = [F.col("id").alias("pivot"), F.col("n").alias("p_n"), F.col("common").alias("p_common"), F.col("c").alias("p_c")]
         if step < ROUNDS:
             left = open_ if asked is None else open_.join(asked, ["key", "id"], "left_anti")
-            pivot = left.groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("neg"), "n", "c")).alias("p")).select(
-                "key", (-F.col("p.neg")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"))
-            pivot = cut(pivot, "pivots")
+            best = left.groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("neg"), "id", "n", "common", "c")).alias("p"))
+            pivot = cut(best.select("key", "p.*").select("key", *chosen), "pivots")
             done = pivot.select("key", F.col("pivot").alias("id"))
             asked = done if asked is None else asked.unionByName(done)
-            pairs = open_.join(pivot, "key").filter((F.col("c") != F.col("pc")) & size_ok)
+            pairs = open_.join(pivot, (open_.key == pivot.key) & (F.col("c") != F.col("p_c")) & possible)
         else:
-            # the exact rest: every class outside the bucket's largest component against the bucket's other components
-            sizes = open_.groupBy("key", "c").agg(F.count("*").alias("k"))
-            largest = sizes.groupBy("key").agg(F.max(F.struct("k", "c")).getField("c").alias("big"))
-            outside = open_.join(largest, "key").filter("c != big").join(asked, ["key", "id"], "left_anti").select(
-                "key", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("c").alias("pc"))
-            pairs = open_.join(outside, "key").filter((F.col("c") != F.col("pc")) & size_ok)
-        pairs = cut(pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
-        found = verified(pairs, docs, n_words, percent)
+            links = in_blocks(open_, asked, sets, percent) if links is None else links.unionByName(in_blocks(open_, asked, sets, percent))
+            break
+        pairs = cut(pairs.select("pivot", "id").distinct(), "pairs")
+        one = pairs.join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("s")), "pivot")  # equal sets stay together and compress
+        two = one.join(sets.select("id", F.col("shingles").alias("t")), "id")
+        common = F.size(F.array_intersect("s", "t"))
+        found = cut(two.filter(common * 100 >= percent * (F.size("s") + F.size("t") - common)).select(F.col("id").alias("a"), F.col("pivot").alias("b")), "links")
         links = found if links is None else links.unionByName(found)
         label = cut(components(links), "labels")
+    drop_cut(sets)
+    return links
+
+
+def near_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    feats = cut(features(docs, n_words), "features")
+    known = feats.filter("doc_id is not null and n_shingles > 0")
+    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    member = classes.select("id", F.explode("bands").alias("key"))
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        """One shingle set of each document asked for, from its text."""
+        some = docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        return sets(some, n_words).withColumnRenamed("doc_id", "id").dropDuplicates(["id"])
+
+    links = linked(member, fetch, percent)
+    label = None if links is None else components(links)
     # all documents of a class, and all rows of a doc_id, belong together
     same = known.join(classes.select("set_key", "id"), "set_key").filter("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     several = known.groupBy("doc_id").agg(F.min("set_key").alias("k1"), F.max("set_key").alias("k2")).filter("k1 != k2").isEmpty()
