@@ -1,9 +1,20 @@
 """All queries of the library and the SQL that checks them."""
 
+from __future__ import annotations
+
+from .plans import career_queries
+from .plans.fixture import tables
+
+MODULES = (career_queries,)
+
+
+def _found() -> dict:
+    return {name: pair for m in MODULES for name, pair in m.build().items()}
+
 
 def queries():
-    return {}
+    return {name: (lambda spark, sf_dir, f=f: f(tables(spark, sf_dir))) for name, (f, _) in _found().items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _found().items() if sql}
