@@ -169,7 +169,7 @@ def in_blocks(open_: DataFrame, asked: DataFrame, sets: DataFrame, percent: int)
         for pdf in batches:
             found = []
             for left, right in zip(pdf["left"], pdf["right"], strict=True):
-                s, t = ([np.asarray(x["shingles"], np.int64) for x in side] for side in (left, right))
+                s, t = ([np.sort(np.asarray(x["shingles"], np.int64)) for x in side] for side in (left, right))
                 both = np.intersect1d(np.concatenate(s), np.concatenate(t))
                 shared = np.zeros((len(s), len(t)), np.float32)
                 for at in range(0, len(both), 8192):
