@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-PROJECTIONS, THRESHOLD, WIDEN = 128, 0.7, 1.3
+PROJECTIONS, THRESHOLD, WIDEN = 96, 0.7, 1.2
 #: Share of a block's vectors (and as many more as neighbours are asked for) that must collide often enough.
-ENOUGH = 0.12
+ENOUGH = 0.1
 VECTORS, QUERIES, AT_ONCE = 8192, 1024, 64
 
 
@@ -50,7 +50,7 @@ class Block:
         self.rank = np.empty(by.shape, np.uint16)  # place of each vector in each sorted array
         np.put_along_axis(self.rank, by, np.arange(len(ids), dtype=np.uint16)[:, None], 0)
         self.rank = np.ascontiguousarray(self.rank.T)
-        self.first = 0.25 * shadow.std()
+        self.first = 0.55 * shadow.std()
 
     def candidates(self, queries: np.ndarray, k: int) -> np.ndarray:
         """Of each query, which vectors collide often enough."""
