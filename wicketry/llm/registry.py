@@ -1,6 +1,6 @@
 """The corpus queries and the SQL that checks them."""
 
-from . import bpe, minhash, mixing, neighbours, paragraphs, phrases, pii, simhash, toxicity
+from . import bpe, licenses, minhash, mixing, neighbours, paragraphs, phrases, pii, simhash, toxicity
 
 
 def queries():
@@ -9,6 +9,7 @@ def queries():
         "op2_near_dedup": minhash.op2_near_dedup,
         "op3_pii": pii.op3_pii,
         "op4_substring_dedup": paragraphs.op4_substring_dedup,
+        "op5_licenses": licenses.op5_licenses,
         "op6_bpe": bpe.op6_bpe,
         "op7_mixing": mixing.op7_mixing,
         "op8_suffix_dedup": phrases.op8_suffix_dedup,
