@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import career_queries, innings_queries, match_queries, player_queries
+from .plans import career_queries, impact_queries, innings_queries, match_queries, player_queries
 from .plans.fixture import tables
 
-MODULES = (career_queries, match_queries, innings_queries, player_queries)
+MODULES = (career_queries, match_queries, innings_queries, player_queries, impact_queries)
 
 
 def _found() -> dict:
