@@ -8,29 +8,45 @@ from pyspark.sql import functions as F
 #: The kinds of dismissal credited to the bowler.
 BOWLER_KINDS = ("bowled", "caught", "caught and bowled", "lbw", "stumped", "hit wicket")
 
-legal = (F.col("extras_wides") == 0) & (F.col("extras_noballs") == 0)
-faced = F.col("extras_wides") == 0
-bowler_wicket = F.col("is_wicket") & F.col("wicket_kind").isin(*BOWLER_KINDS)
-striker_out = F.col("is_wicket") & (F.col("wicket_player_out") == F.col("batter"))
-four = (F.col("runs_batter") == 4) & ~F.coalesce("runs_non_boundary", F.lit(False))
-six = (F.col("runs_batter") == 6) & ~F.coalesce("runs_non_boundary", F.lit(False))
-conceded = F.col("runs_total") - F.col("extras_byes") - F.col("extras_legbyes")
-
-
-def total(x: Column | str) -> Column:
-    return F.sum(x)
-
-
-#: Batting, by name of the result column.
-BATTING = {
-    "runs": F.sum("runs_batter"), "balls": F.count_if(faced), "fours": F.count_if(four), "sixes": F.count_if(six),
-    "bat_dots": F.count_if(faced & (F.col("runs_batter") == 0)), "out": F.max(F.when(striker_out, 1).otherwise(0)).cast("bigint"),
-}
-#: Bowling, by name of the result column.
-BOWLING = {
-    "balls": F.count_if(legal), "conceded": F.sum(conceded), "wickets": F.count_if(bowler_wicket), "dots": F.count_if(legal & (F.col("runs_total") == 0)),
-    "bat_dots": F.count_if(legal & (F.col("runs_batter") == 0)), "fours": F.count_if(four), "sixes": F.count_if(six),
-}
+
+def legal() -> Column:
+    return (F.col("extras_wides") == 0) & (F.col("extras_noballs") == 0)
+
+
+def faced() -> Column:
+    return F.col("extras_wides") == 0
+
+
+def bowler_wicket() -> Column:
+    return F.col("is_wicket") & F.col("wicket_kind").isin(*BOWLER_KINDS)
+
+
+def striker_out() -> Column:
+    return F.col("is_wicket") & (F.col("wicket_player_out") == F.col("batter"))
+
+
+def four() -> Column:
+    return (F.col("runs_batter") == 4) & ~F.coalesce("runs_non_boundary", F.lit(False))
+
+
+def six() -> Column:
+    return (F.col("runs_batter") == 6) & ~F.coalesce("runs_non_boundary", F.lit(False))
+
+
+def conceded() -> Column:
+    return F.col("runs_total") - F.col("extras_byes") - F.col("extras_legbyes")
+
+
+def batting() -> list[Column]:
+    """Batting measures of a group of deliveries."""
+    return [F.sum("runs_batter").alias("runs"), F.count_if(faced()).alias("balls"), F.count_if(four()).alias("fours"), F.count_if(six()).alias("sixes"),
+            F.count_if(faced() & (F.col("runs_batter") == 0)).alias("bat_dots"), F.max(F.when(striker_out(), 1).otherwise(0)).cast("bigint").alias("out")]
+
+
+def bowling() -> list[Column]:
+    """Bowling measures of a group of deliveries."""
+    return [F.count_if(legal()).alias("balls"), F.sum(conceded()).alias("conceded"), F.count_if(bowler_wicket()).alias("wickets"), F.count_if(legal() & (F.col("runs_total") == 0)).alias("dots"),
+            F.count_if(legal() & (F.col("runs_batter") == 0)).alias("bat_dots"), F.count_if(four()).alias("fours"), F.count_if(six()).alias("sixes")]
 
 
 def rounded(x: Column, digits: int = 2) -> Column:

@@ -49,7 +49,7 @@ def player_batting(t: Tables, player: str, **f) -> DataFrame:
 def player_bowling(t: Tables, player: str, **f) -> DataFrame:
     """D3: maidens are overs without runs conceded; best figures and maidens belong to (name, id)."""
     b = balls(t, like("bowler", player), **f)
-    overs = b.groupBy(*BOWLER, "match_id", "innings_number", "over_number").agg(F.sum(conceded).alias("r"))
+    overs = b.groupBy(*BOWLER, "match_id", "innings_number", "over_number").agg(F.sum(conceded()).alias("r"))
     maidens = overs.groupBy(*BOWLER).agg(F.count_if(F.col("r") == 0).alias("maidens"))
     return bowling_table(bowling_innings(b), *BOWLER).join(maidens, BOWLER).select(*BOWLER, *BOWL_OUT, "maidens")
 
@@ -64,13 +64,14 @@ def batting_records(t: Tables, record_type: str = "most_runs", min_innings: int
     return top(table, limit, down(BATTING_ORDERS.get(record_type, "runs")), *map(up, BATTER))
 
 
-BOWLING_ORDERS = {"most_wickets": down("wickets"), "best_average": up("average"), "best_economy": up("economy"), "best_strike_rate": up("strike_rate"), "most_five_wicket_hauls": down("five_wicket_hauls")}
+BOWLING_ORDERS = {"most_wickets": (down, "wickets"), "best_average": (up, "average"), "best_economy": (up, "economy"), "best_strike_rate": (up, "strike_rate"), "most_five_wicket_hauls": (down, "five_wicket_hauls")}
 
 
 def bowling_records(t: Tables, record_type: str = "most_wickets", min_innings: int = 10, limit: int = 10, **f) -> DataFrame:
     """D8."""
     table = bowling_table(bowling_innings(balls(t, **f)), *BOWLER).filter(F.col("innings") >= min_innings).select(*BOWLER, *BOWL_OUT)
-    return top(table, limit, BOWLING_ORDERS[record_type], *map(up, BOWLER))
+    order, column = BOWLING_ORDERS[record_type]
+    return top(table, limit, order(column), *map(up, BOWLER))
 
 
 def phase_batting(t: Tables, phase_name: str, player: str | None = None, sort_by: str = "runs", min_balls: int = 50, limit: int = 10, **f) -> DataFrame:

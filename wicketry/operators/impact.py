@@ -17,11 +17,20 @@ from ..plans.grains import down, top, up
 
 # Fixed values of the scoring rules.
 STAGE_WEIGHTS = {"Final": 1.5, "Semi Final": 1.3, "Quarter Final": 1.2, "Qualifier": 1.2, "Qualifier 1": 1.2, "Qualifier 2": 1.2, "Eliminator": 1.2, "Playoff": 1.15, "Super Eight": 1.1, "Super Six": 1.1, "Super 12": 1.05}
-PHASES = (("pp", F.col("over_number") <= 5, 0.95), ("mid", F.col("over_number").between(6, 14), 0.85), ("death", F.col("over_number") >= 15, 1.35))
-AT = F.col("over_number") * 1000 + F.col("ball_number")
+PROXIES = {"pp": 0.95, "mid": 0.85, "death": 1.35}
 INN = ["match_id", "innings_number"]
 
 
+def phases() -> list[tuple[str, Column, float]]:
+    """Name, overs, and the economy proxy of the simple formula."""
+    over = F.col("over_number")
+    return [("pp", over <= 5, PROXIES["pp"]), ("mid", over.between(6, 14), PROXIES["mid"]), ("death", over >= 15, PROXIES["death"])]
+
+
+def place() -> Column:
+    return F.col("over_number") * 1000 + F.col("ball_number")
+
+
 def _per(a: str, b: str, times: float = 1.0) -> Column:
     return F.try_divide(F.col(a).cast("double") * times, F.col(b).cast("double"))
 
@@ -29,12 +38,12 @@ def _per(a: str, b: str, times: float = 1.0) -> Column:
 def match_context(t: Tables, formula: str) -> DataFrame:
     """Scoring level, phase economies and importance of each match."""
     sums = t.deliveries.groupBy("match_id").agg(
-        F.sum("runs_total").alias("tr"), F.count_if(legal).alias("lb"),
-        *(x for n, at, _ in PHASES for x in (F.sum(F.when(at, conceded).otherwise(0)).alias(f"{n}_r"), F.count_if(at & legal).alias(f"{n}_b"))))
+        F.sum("runs_total").alias("tr"), F.count_if(legal()).alias("lb"),
+        *(x for n, at, _ in phases() for x in (F.sum(F.when(at, conceded()).otherwise(0)).alias(f"{n}_r"), F.count_if(at & legal()).alias(f"{n}_b"))))
     m = t.matches.join(sums, "match_id")
     rate = F.coalesce(F.try_divide(F.col("tr").cast("double"), F.col("lb") / 6.0), F.lit(6.0))
     m = m.withColumn("sr", F.coalesce(_per("tr", "lb", 100.0), F.lit(100.0))).withColumn("rr", rate)
-    for n, _, proxy in PHASES:
+    for n, _, proxy in phases():
         own = F.greatest(F.coalesce(F.try_divide(F.col(f"{n}_r").cast("double"), F.col(f"{n}_b") / 6.0), F.col("rr")), F.lit(0.5))
         m = m.withColumn(f"{n}_e", own if formula == "full" else F.col("rr") * proxy)
     weight = F.coalesce(*(F.when(F.col("event_stage") == k, w) for k, w in STAGE_WEIGHTS.items()), F.lit(1.0))
@@ -48,9 +57,9 @@ def batting_facts(t: Tables) -> DataFrame:
     """Batter-innings with wickets down at entry and batting position."""
     before = Window.partitionBy(*INN).orderBy("over_number", "ball_number").rowsBetween(Window.unboundedPreceding, -1)
     d = t.deliveries.withColumn("down", F.coalesce(F.sum(F.col("is_wicket").cast("int")).over(before), F.lit(0)))
-    phase = [x for n, at, _ in PHASES if n != "mid" for x in (F.sum(F.when(at, F.col("runs_batter")).otherwise(0)).alias(f"{n}_runs"), F.count_if(at & faced).alias(f"{n}_balls"))]
+    phase = [x for n, at, _ in phases() if n != "mid" for x in (F.sum(F.when(at, F.col("runs_batter")).otherwise(0)).alias(f"{n}_runs"), F.count_if(at & faced()).alias(f"{n}_balls"))]
     b = d.groupBy(*INN, "batter", "batter_id").agg(
-        F.sum("runs_batter").alias("runs"), F.count_if(faced).alias("balls"), F.max(F.when(striker_out, 1).otherwise(0)).alias("out"), F.min(AT).alias("first"), F.min_by("down", AT).alias("entry"), *phase)
+        F.sum("runs_batter").alias("runs"), F.count_if(faced()).alias("balls"), F.max(F.when(striker_out(), 1).otherwise(0)).alias("out"), F.min(place()).alias("first"), F.min_by("down", place()).alias("entry"), *phase)
     return b.withColumn("position", F.dense_rank().over(Window.partitionBy(*INN).orderBy("first")))
 
 
@@ -93,10 +102,10 @@ def bowling_impact(t: Tables, ctx: DataFrame, outs: DataFrame, formula: str) ->
         value = F.lit(6.0)
     wickets = outs.filter(F.col("wicket_kind").isin(*BOWLER_KINDS)).groupBy(*INN, "bowler", "bowler_id").agg(F.sum(value).alias("wv"))
     overs = t.deliveries.groupBy(*INN, "bowler", "bowler_id").agg(
-        F.count_if(legal).alias("lb"), *(x for n, at, _ in PHASES for x in (F.sum(F.when(at, conceded).otherwise(0)).alias(f"{n}_runs"), F.count_if(at & legal).alias(f"{n}_balls"))))
+        F.count_if(legal()).alias("lb"), *(x for n, at, _ in phases() for x in (F.sum(F.when(at, conceded()).otherwise(0)).alias(f"{n}_runs"), F.count_if(at & legal()).alias(f"{n}_balls"))))
     x = overs.join(wickets, [*INN, "bowler", "bowler_id"], "left").join(ctx, "match_id").join(t.innings.select(*INN, "bowling_team"), INN)
     econ = F.lit(0.0)
-    for n, _, _ in PHASES:
+    for n, _, _ in phases():
         o = F.col(f"{n}_balls") / 6.0
         econ = econ + F.when(F.col(f"{n}_balls") >= 6, F.col(f"{n}_e") / F.greatest(F.try_divide(F.col(f"{n}_runs").cast("double"), o), F.lit(0.5)) * o * 2.0).otherwise(0.0)
     econ = F.when(F.col("lb") >= 12, econ).otherwise(0.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import like, match_filter
@@ -12,10 +12,13 @@ from ..plans.grains import balls, batting_innings, bowling_innings, down, top, u
 from .matches import islands
 
 WHERE = ["match_id", "innings_number"]
-AT = F.col("over_number") * 1000 + F.col("ball_number")
 CONTEXT = ["match_type", "date_start", "venue"]
 
 
+def place() -> Column:
+    return F.col("over_number") * 1000 + F.col("ball_number")
+
+
 def _main(t: Tables) -> DataFrame:
     return t.innings.filter(~F.col("is_super_over")).select(*WHERE, F.col("batting_team").alias("team"), F.col("bowling_team").alias("opposition"))
 
@@ -24,9 +27,9 @@ def scorecard_batting(t: Tables, match_id: str | None = None) -> DataFrame:
     """Batting cards of one match or of all, in batting order; dismissal, fielder and bowler come from the same last ball."""
     d = t.deliveries if match_id is None else t.deliveries.filter(F.col("match_id") == match_id)
     out = F.col("is_wicket") & (F.col("wicket_player_out") == F.col("batter"))
-    last = F.max_by(F.struct(F.col("wicket_kind").alias("kind"), F.col("wicket_fielder1").alias("fielder"), F.col("bowler").alias("by")), F.when(out, AT))
+    last = F.max_by(F.struct(F.col("wicket_kind").alias("kind"), F.col("wicket_fielder1").alias("fielder"), F.col("bowler").alias("by")), F.when(out, place()))
     card = d.groupBy(*WHERE, "batter", "batter_id").agg(
-        F.min(AT).alias("first"), F.sum("runs_batter").alias("runs"), F.count_if(faced).alias("balls"), F.count_if(four).alias("fours"), F.count_if(six).alias("sixes"), F.count_if(out).alias("outs"), last.alias("w"))
+        F.min(place()).alias("first"), F.sum("runs_batter").alias("runs"), F.count_if(faced()).alias("balls"), F.count_if(four()).alias("fours"), F.count_if(six()).alias("sixes"), F.count_if(out).alias("outs"), last.alias("w"))
     order = F.row_number().over(Window.partitionBy(*WHERE).orderBy("first", "batter_id"))
     rate = F.when(F.col("balls") == 0, F.lit(0.0)).otherwise(ratio("runs", "balls", 100.0))
     w = lambda f: F.when(F.col("outs") > 0, F.col(f"w.{f}"))
@@ -37,7 +40,7 @@ def scorecard_bowling(t: Tables, match_id: str | None = None) -> DataFrame:
     """Bowling cards in order of the first over; a maiden needs six legal balls."""
     d = t.deliveries if match_id is None else t.deliveries.filter(F.col("match_id") == match_id)
     overs = d.groupBy(*WHERE, "bowler", "bowler_id", "over_number").agg(
-        F.sum(conceded).alias("c"), F.count_if(legal).alias("l"), F.count_if(bowler_wicket).alias("w"), F.sum("extras_wides").alias("wd"), F.sum("extras_noballs").alias("nb"))
+        F.sum(conceded()).alias("c"), F.count_if(legal()).alias("l"), F.count_if(bowler_wicket()).alias("w"), F.sum("extras_wides").alias("wd"), F.sum("extras_noballs").alias("nb"))
     card = overs.groupBy(*WHERE, "bowler", "bowler_id").agg(
         F.min("over_number").alias("first"), F.sum("l").alias("balls"), F.sum("c").alias("runs_conceded"), F.sum("w").alias("wickets"),
         F.count_if((F.col("c") == 0) & (F.col("l") >= 6)).alias("maidens"), F.sum("wd").alias("wides"), F.sum("nb").alias("noballs"))
@@ -50,7 +53,7 @@ def scorecard_totals(t: Tables, match_id: str | None = None) -> DataFrame:
     d = t.deliveries if match_id is None else t.deliveries.filter(F.col("match_id") == match_id)
     sums = d.groupBy(*WHERE).agg(
         F.sum("runs_total").alias("total"), F.count_if("is_wicket").alias("wickets"), F.sum("runs_extras").alias("extras"),
-        *(F.sum(f"extras_{x}").alias(x) for x in ("wides", "noballs", "byes", "legbyes", "penalty")), F.count_if(legal).alias("l"))
+        *(F.sum(f"extras_{x}").alias(x) for x in ("wides", "noballs", "byes", "legbyes", "penalty")), F.count_if(legal()).alias("l"))
     return t.innings.select(*WHERE, "batting_team").join(sums, WHERE).withColumn("overs", overs_text(F.col("l"))).drop("l")
 
 
@@ -58,7 +61,7 @@ def innings_progression(t: Tables, match_id: str, innings: int = 1) -> DataFrame
     """Over by over, with running sums and the names of those out."""
     d = t.deliveries.filter((F.col("match_id") == match_id) & (F.col("innings_number") == innings))
     names = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("is_wicket"), F.struct("ball_number", "wicket_player_out")))), lambda x: x.wicket_player_out), ", ")
-    o = d.groupBy("over_number").agg(F.sum("runs_total").alias("runs"), F.count_if("is_wicket").alias("wickets"), F.count_if(legal).alias("l"), names.alias("out"))
+    o = d.groupBy("over_number").agg(F.sum("runs_total").alias("runs"), F.count_if("is_wicket").alias("wickets"), F.count_if(legal()).alias("l"), names.alias("out"))
     w = Window.orderBy("over_number").rowsBetween(Window.unboundedPreceding, 0)  # one innings
     o = o.withColumn("cumulative_runs", F.sum("runs").over(w)).withColumn("cumulative_wickets", F.sum("wickets").over(w)).withColumn("cl", F.sum("l").over(w))
     return o.select("over_number", "runs", "cumulative_runs", "wickets", "cumulative_wickets", economy("runs", "l").alias("run_rate"), economy("cumulative_runs", "cl").alias("cumulative_run_rate"), F.nullif("out", F.lit("")).alias("dismissed"))
@@ -78,9 +81,9 @@ def fastest(t: Tables, threshold: int = 50, player: str | None = None, limit: in
     b = balls(t, like("batter", player) if player else None, ("match_type", "date_start"), **f).join(_main(t), WHERE)
     keys = [*WHERE, "batter", "batter_id"]
     w = Window.partitionBy(*keys).orderBy("over_number", "ball_number").rowsBetween(Window.unboundedPreceding, 0)
-    run = b.withColumn("cr", F.sum("runs_batter").over(w)).withColumn("cb", F.sum(faced.cast("int")).over(w))
+    run = b.withColumn("cr", F.sum("runs_batter").over(w)).withColumn("cb", F.sum(faced().cast("int")).over(w))
     x = run.groupBy(*keys, "team", "opposition", "match_type", "date_start").agg(
-        F.min(F.when(F.col("cr") >= threshold, F.col("cb"))).alias("balls_to_reach"), F.sum("runs_batter").alias("final_runs"), F.count_if(faced).alias("final_balls")).filter("balls_to_reach is not null")
+        F.min(F.when(F.col("cr") >= threshold, F.col("cb"))).alias("balls_to_reach"), F.sum("runs_batter").alias("final_runs"), F.count_if(faced()).alias("final_balls")).filter("balls_to_reach is not null")
     return top(x, limit, up("balls_to_reach"), down("final_runs"), *map(up, WHERE), up("batter_id"))
 
 
@@ -95,9 +98,9 @@ def best_bowling_figures(t: Tables, player: str | None = None, limit: int = 10,
 
 def over_records(t: Tables, side: str = "batting", player: str | None = None, limit: int = 10, **f) -> DataFrame:
     """Most runs off the bat by one batter in an over, or most runs conceded in one."""
-    name, runs = ("batter", F.col("runs_batter")) if side == "batting" else ("bowler", conceded)
+    name, runs = ("batter", F.col("runs_batter")) if side == "batting" else ("bowler", conceded())
     b = balls(t, like(name, player) if player else None, ("match_type", "date_start"), **f)
-    x = b.groupBy(name, f"{name}_id", *WHERE, "over_number", "match_type", "date_start").agg(F.sum(runs).alias("runs"), F.count_if(six).alias("sixes"), F.count_if(four).alias("fours")).join(_main(t), WHERE)
+    x = b.groupBy(name, f"{name}_id", *WHERE, "over_number", "match_type", "date_start").agg(F.sum(runs).alias("runs"), F.count_if(six()).alias("sixes"), F.count_if(four()).alias("fours")).join(_main(t), WHERE)
     return top(x, limit, down("runs"), down("sixes"), *map(up, WHERE), up("over_number"), up(f"{name}_id"))
 
 
@@ -109,7 +112,7 @@ def stands(t: Tables, player: str | None = None, player2: str | None = None, **f
             pair = pair & (like("batter", p) | like("non_striker", p))
     b = balls(t, pair, tuple(CONTEXT), **f)
     return b.groupBy(*WHERE, F.least("batter", "non_striker").alias("player_a"), F.greatest("batter", "non_striker").alias("player_b"), *CONTEXT).agg(
-        F.sum("runs_total").alias("partnership_runs"), F.count_if(faced).alias("balls"))
+        F.sum("runs_total").alias("partnership_runs"), F.count_if(faced()).alias("balls"))
 
 
 def partnerships(t: Tables, player: str | None = None, player2: str | None = None, min_runs: int = 50, limit: int = 10, **f) -> DataFrame:
@@ -143,7 +146,7 @@ def form_batting(t: Tables, player: str, last_n: int = 10, **f) -> DataFrame:
     """The last innings, newest first, with dismissal and bowler of the last dismissal ball."""
     b = balls(t, like("batter", player), ("date_start", "match_type"), **f)
     out = F.col("is_wicket") & (F.col("wicket_player_out") == F.col("batter"))
-    how = b.groupBy(*WHERE, "batter_id").agg(F.max_by(F.struct("wicket_kind", "bowler"), F.when(out, AT)).alias("w"), F.count_if(out).alias("o"))
+    how = b.groupBy(*WHERE, "batter_id").agg(F.max_by(F.struct("wicket_kind", "bowler"), F.when(out, place())).alias("w"), F.count_if(out).alias("o"))
     inn = batting_innings(b, "date_start", "match_type").join(how, [*WHERE, "batter_id"]).join(t.innings.select(*WHERE, F.col("bowling_team").alias("opposition")), WHERE)
     x = inn.select("batter", "batter_id", *WHERE, "date_start", "match_type", "opposition", "runs", "balls", "fours", "sixes", ratio("runs", "balls", 100.0).alias("strike_rate"),
                    F.when(F.col("o") > 0, F.col("w.wicket_kind")).alias("dismissal"), F.when(F.col("o") > 0, F.col("w.bowler")).alias("bowler"), "out")

@@ -12,9 +12,26 @@ from ..plans.grains import down, innings_totals, team_matches, top, up
 
 MATCH_COLUMNS = ["match_id", "match_type", "gender", "season", "date_start", "team1", "team2", "venue", "city", "toss_winner", "toss_decision", "outcome_winner",
                  "outcome_by_runs", "outcome_by_wickets", "outcome_result", "player_of_match", "event_name", "event_stage"]
-won, drawn, tied = F.col("outcome_winner") == F.col("team"), F.col("outcome_result") == "draw", F.col("outcome_result") == "tie"
-no_result = F.col("outcome_result") == "no result"
-lost = F.col("outcome_winner").isNotNull() & (F.col("outcome_winner") != F.col("team"))
+
+
+def won() -> Column:
+    return F.col("outcome_winner") == F.col("team")
+
+
+def drawn() -> Column:
+    return F.col("outcome_result") == "draw"
+
+
+def tied() -> Column:
+    return F.col("outcome_result") == "tie"
+
+
+def no_result() -> Column:
+    return F.col("outcome_result") == "no result"
+
+
+def lost() -> Column:
+    return F.col("outcome_winner").isNotNull() & (F.col("outcome_winner") != F.col("team"))
 
 
 def search_matches(t: Tables, limit: int = 20, offset: int = 0, **f) -> DataFrame:
@@ -26,7 +43,7 @@ def head_to_head(t: Tables, team1: str, team2: str, **f) -> DataFrame:
     """One row, zeros where the sides never met."""
     m = t.matches.filter(match_filter(team=team1, opposition=team2, **f))
     return m.agg(F.count("*").alias("total_matches"), F.count_if(F.col("outcome_winner") == team1).alias("team1_wins"), F.count_if(F.col("outcome_winner") == team2).alias("team2_wins"),
-                 F.count_if(drawn).alias("draws"), F.count_if(tied).alias("ties"), F.count_if(no_result).alias("no_results"))
+                 F.count_if(drawn()).alias("draws"), F.count_if(tied()).alias("ties"), F.count_if(no_result()).alias("no_results"))
 
 
 def venue_stats(t: Tables, limit: int = 10, **f) -> DataFrame:
@@ -60,7 +77,7 @@ def toss_analysis(t: Tables, group_by: str | None = None, limit: int = 10, **f)
 
 
 def _last_matches(t: Tables, team: str, last_n: int, **f) -> DataFrame:
-    code = F.when(won, "W").when(drawn, "D").when(tied, "T").when(no_result, "NR").otherwise("L")
+    code = F.when(won(), "W").when(drawn(), "D").when(tied(), "T").when(no_result(), "NR").otherwise("L")
     mine = team_matches(t, team=team, **f).filter(F.col("team") == team)
     rows = mine.select("match_id", "date_start", "match_type", "venue", F.when(F.col("team1") == team, F.col("team2")).otherwise(F.col("team1")).alias("opponent"), code.alias("result"))
     return top(rows, last_n, down("date_start"), up("match_id"))
@@ -89,8 +106,8 @@ def team_form_summary(t: Tables, team: str, last_n: int = 10, **f) -> DataFrame:
 def tournament_standings(t: Tables, event: str, limit: int = 10, **f) -> DataFrame:
     """Lost means another winner and no special result."""
     x = team_matches(t, event_name=event, **f).groupBy("team").agg(
-        F.count("*").alias("played"), F.count_if(won).alias("won"), F.count_if(lost & F.col("outcome_result").isNull()).alias("lost"), F.count_if(drawn).alias("drawn"),
-        F.count_if(tied).alias("tied"), F.count_if(no_result).alias("no_results"))
+        F.count("*").alias("played"), F.count_if(won()).alias("won"), F.count_if(lost() & F.col("outcome_result").isNull()).alias("lost"), F.count_if(drawn()).alias("drawn"),
+        F.count_if(tied()).alias("tied"), F.count_if(no_result()).alias("no_results"))
     x = x.withColumn("win_pct", ratio(F.col("won"), F.col("won") + F.col("lost"), 100.0, 1))
     return top(x, limit, down("won"), down("win_pct"), up("team"))
 
@@ -137,7 +154,7 @@ def highest_chase(t: Tables, limit: int = 10, **f) -> DataFrame:
 
 def tied_matches(t: Tables, limit: int = 10, **f) -> DataFrame:
     """D51."""
-    x = t.matches.filter(match_filter(**f) & tied).select("match_id", "match_type", "date_start", "team1", "team2", "venue", "event_name", "outcome_winner")
+    x = t.matches.filter(match_filter(**f) & tied()).select("match_id", "match_type", "date_start", "team1", "team2", "venue", "event_name", "outcome_winner")
     return top(x, limit, down("date_start"), up("match_id"))
 
 
@@ -158,7 +175,7 @@ def super_over_matches(t: Tables, limit: int = 20, **f) -> DataFrame:
 def super_over_records(t: Tables, **f) -> DataFrame:
     """By team, over super-over matches with a winner."""
     m = t.matches.filter(match_filter(**f) & F.col("outcome_winner").isNotNull()).join(t.innings.filter("is_super_over").select("match_id").distinct(), "match_id", "left_semi")
-    x = m.withColumn("team", F.explode(F.array("team1", "team2"))).groupBy("team").agg(F.count_if(won).alias("won"), F.count_if(~won).alias("lost"), F.count("*").alias("played"))
+    x = m.withColumn("team", F.explode(F.array("team1", "team2"))).groupBy("team").agg(F.count_if(won()).alias("won"), F.count_if(~won()).alias("lost"), F.count("*").alias("played"))
     return x.orderBy(down("won"), up("lost"), up("team"))
 
 
@@ -174,6 +191,6 @@ def team_streaks(t: Tables, kind: str = "wins", team: str | None = None, min_len
     x = team_matches(t, **f).filter(F.coalesce(F.col("outcome_result"), F.lit("")) != "no result")
     if team:
         x = x.filter(F.col("team").ilike(f"%{team}%"))
-    runs = islands(x, ["team"], F.coalesce(won if kind == "wins" else lost, F.lit(False)), ["date_start", "match_id"])
+    runs = islands(x, ["team"], F.coalesce(won() if kind == "wins" else lost(), F.lit(False)), ["date_start", "match_id"])
     table = runs.groupBy("team", "island").agg(F.count("*").alias("length"), F.min("date_start").alias("start_date"), F.max("date_start").alias("end_date")).filter(F.col("length") >= min_length).drop("island")
     return top(table, limit, down("length"), down("end_date"), up("team"))

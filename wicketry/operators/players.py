@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import like, phase, stage_bucket
@@ -12,8 +12,15 @@ from ..plans.grains import balls, batting_innings, bowling_innings, down, top, u
 from .careers import batting_table, bowling_table
 
 PAIR = ["batter", "batter_id", "bowler", "bowler_id"]
-credited = bowler_wicket & (F.col("wicket_player_out") == F.col("batter"))
-bat_dot = faced & (F.col("runs_batter") == 0)
+
+
+def credited() -> Column:
+    """Dismissals of the striker that count for the bowler."""
+    return bowler_wicket() & (F.col("wicket_player_out") == F.col("batter"))
+
+
+def bat_dot() -> Column:
+    return faced() & (F.col("runs_batter") == 0)
 
 
 def search_players(t: Tables, query: str, limit: int = 10) -> DataFrame:
@@ -26,9 +33,9 @@ def search_players(t: Tables, query: str, limit: int = 10) -> DataFrame:
 
 def _matchup(b: DataFrame, *keys: str) -> DataFrame:
     sums = b.groupBy(*keys).agg(
-        F.countDistinct("match_id").alias("matches"), F.countDistinct("match_id", "innings_number").alias("innings"), F.count_if(faced).alias("balls"), F.sum("runs_batter").alias("runs"), F.sum(conceded).alias("runs_conceded"),
-        F.count_if(credited).alias("dismissals"), F.count_if(bat_dot).alias("dots"), F.count_if(four).alias("fours"), F.count_if(six).alias("sixes"),
-        F.array_join(F.sort_array(F.collect_list(F.when(credited, F.col("wicket_kind")))), ", ").alias("kinds"))
+        F.countDistinct("match_id").alias("matches"), F.countDistinct("match_id", "innings_number").alias("innings"), F.count_if(faced()).alias("balls"), F.sum("runs_batter").alias("runs"), F.sum(conceded()).alias("runs_conceded"),
+        F.count_if(credited()).alias("dismissals"), F.count_if(bat_dot()).alias("dots"), F.count_if(four()).alias("fours"), F.count_if(six()).alias("sixes"),
+        F.array_join(F.sort_array(F.collect_list(F.when(credited(), F.col("wicket_kind")))), ", ").alias("kinds"))
     return sums.select(
         *keys, "matches", "innings", "balls", "runs", "runs_conceded", "dismissals", "dots", "fours", "sixes", "kinds", ratio("runs", "dismissals").alias("average"), ratio("runs", "balls", 100.0).alias("strike_rate"),
         economy("runs_conceded", "balls").alias("economy"), ratio("balls", "dismissals").alias("bowling_strike_rate"), ratio("dots", "balls", 100.0).alias("dot_pct"), ratio(F.col("fours") + F.col("sixes"), F.col("balls"), 100.0).alias("boundary_pct"))
@@ -63,8 +70,8 @@ def discipline_bowling(t: Tables, player: str | None = None, phase_name: str | N
     """Wide and no-ball percentages count runs over deliveries."""
     b = balls(t, phase(phase_name) & (like("bowler", player) if player else F.lit(True)), **f)
     s = b.groupBy("bowler", "bowler_id").agg(
-        F.count("*").alias("deliveries"), F.count_if(legal).alias("legal_balls"), F.count_if(legal & (F.col("runs_total") == 0)).alias("dots"), F.sum("extras_wides").alias("wides"), F.sum("extras_noballs").alias("noballs"),
-        F.count_if(four | six).alias("boundaries")).filter(F.col("legal_balls") >= min_balls)
+        F.count("*").alias("deliveries"), F.count_if(legal()).alias("legal_balls"), F.count_if(legal() & (F.col("runs_total") == 0)).alias("dots"), F.sum("extras_wides").alias("wides"), F.sum("extras_noballs").alias("noballs"),
+        F.count_if(four() | six()).alias("boundaries")).filter(F.col("legal_balls") >= min_balls)
     x = s.select("bowler", "bowler_id", "deliveries", "legal_balls", "dots", "wides", "noballs", "boundaries", ratio("dots", "legal_balls", 100.0).alias("dot_pct"), ratio("wides", "deliveries", 100.0).alias("wide_pct"),
                  ratio("noballs", "deliveries", 100.0).alias("noball_pct"), economy(F.col("wides") + F.col("noballs"), F.col("legal_balls")).alias("extras_per_over"), ratio("boundaries", "legal_balls", 100.0).alias("boundary_pct"))
     order = {"extras_per_over": up("extras_per_over"), "boundary_pct": up("boundary_pct"), "wide_pct": up("wide_pct")}.get(sort_by, down("dot_pct"))
@@ -74,7 +81,7 @@ def discipline_bowling(t: Tables, player: str | None = None, phase_name: str | N
 def discipline_batting(t: Tables, player: str | None = None, phase_name: str | None = None, sort_by: str = "dot_pct", min_balls: int = 100, limit: int = 10, **f) -> DataFrame:
     """D28."""
     b = balls(t, phase(phase_name) & (like("batter", player) if player else F.lit(True)), **f)
-    s = b.groupBy("batter", "batter_id").agg(F.count_if(faced).alias("balls"), F.sum("runs_batter").alias("runs"), F.count_if(bat_dot).alias("dots"), F.count_if(four | six).alias("boundaries")).filter(F.col("balls") >= min_balls)
+    s = b.groupBy("batter", "batter_id").agg(F.count_if(faced()).alias("balls"), F.sum("runs_batter").alias("runs"), F.count_if(bat_dot()).alias("dots"), F.count_if(four() | six()).alias("boundaries")).filter(F.col("balls") >= min_balls)
     x = s.select("batter", "batter_id", "balls", "runs", "dots", "boundaries", ratio("dots", "balls", 100.0).alias("dot_pct"), ratio("boundaries", "balls", 100.0).alias("boundary_pct"), ratio("runs", "balls", 100.0).alias("strike_rate"))
     return top(x, limit, down("boundary_pct") if sort_by == "boundary_pct" else up("dot_pct"), up("batter"), up("batter_id"))
 
@@ -106,7 +113,7 @@ def style_matchup(t: Tables, player: str, side: str = "batting", grouping: str =
     styles = t.players.select(F.col("player_id").alias(other), F.col(column).alias("style"))
     b = balls(t, like(name, player) & phase(phase_name), **f).join(styles, other, "left").withColumn("style", F.coalesce("style", F.lit("Unknown")))
     s = b.groupBy("style").agg(
-        F.countDistinct("match_id", "innings_number").alias("innings"), F.count_if(faced).alias("balls"), F.sum("runs_batter").alias("runs"), F.count_if(credited).alias("dismissals"), F.count_if(bat_dot).alias("dots"), F.count_if(four).alias("fours"), F.count_if(six).alias("sixes"))
+        F.countDistinct("match_id", "innings_number").alias("innings"), F.count_if(faced()).alias("balls"), F.sum("runs_batter").alias("runs"), F.count_if(credited()).alias("dismissals"), F.count_if(bat_dot()).alias("dots"), F.count_if(four()).alias("fours"), F.count_if(six()).alias("sixes"))
     x = s.filter(F.col("balls") >= min_balls).select("style", "innings", "balls", "runs", "dismissals", "dots", "fours", "sixes", ratio("runs", "dismissals").alias("average"), ratio("runs", "balls", 100.0).alias("strike_rate"),
                                                      ratio("dots", "balls", 100.0).alias("dot_pct"), ratio(F.col("fours") + F.col("sixes"), F.col("balls"), 100.0).alias("boundary_pct"))
     return top(x, limit, down("balls"), up("style"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import match_filter
-from ..functions.measures import BATTING, BOWLING
+from ..functions.measures import batting, bowling
 from .fixture import Tables
 
 CONTEXT = ["match_type", "gender", "season", "date_start", "team1", "team2", "venue", "event_name", "event_stage"]
@@ -24,12 +24,12 @@ def balls(t: Tables, where: Column | None = None, context: tuple = (), **filters
 
 def batting_innings(b: DataFrame, *keys: str) -> DataFrame:
     """One row per batter and innings."""
-    return b.groupBy("match_id", "innings_number", "batter", "batter_id", *keys).agg(*(x.alias(n) for n, x in BATTING.items()))
+    return b.groupBy("match_id", "innings_number", "batter", "batter_id", *keys).agg(*batting())
 
 
 def bowling_innings(b: DataFrame, *keys: str) -> DataFrame:
     """One row per bowler and innings."""
-    return b.groupBy("match_id", "innings_number", "bowler", "bowler_id", *keys).agg(*(x.alias(n) for n, x in BOWLING.items()))
+    return b.groupBy("match_id", "innings_number", "bowler", "bowler_id", *keys).agg(*bowling())
 
 
 def innings_totals(t: Tables, super_overs: bool = True) -> DataFrame:
@@ -38,7 +38,7 @@ def innings_totals(t: Tables, super_overs: bool = True) -> DataFrame:
 
     i = t.innings if super_overs else t.innings.filter(~F.col("is_super_over"))
     sums = t.deliveries.groupBy("match_id", "innings_number").agg(
-        F.sum("runs_total").alias("total"), F.count_if("is_wicket").alias("wickets"), F.count_if(legal).alias("balls"))
+        F.sum("runs_total").alias("total"), F.count_if("is_wicket").alias("wickets"), F.count_if(legal()).alias("balls"))
     return i.join(sums, ["match_id", "innings_number"])
 
 
