@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words remembered by each worker; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def byte_symbols() -> list[str]:

@@ -37,7 +37,7 @@ ROUNDS = 2
 #: Sets in a block when the rest of a bucket is compared.
 BLOCK = 128
 #: Word hashes remembered by a worker; then it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _words: dict[str, int] = {}
 
 _rng = np.random.RandomState(20240607)

@@ -33,7 +33,7 @@ FEATURES = 1024
 RANK = 8
 #: Labelled rows that the model is fitted on, at most in expectation.
 SAMPLE = 20_000
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def word_terms(word: str) -> list[int]:
@@ -65,11 +65,11 @@ def selected_terms(sample: DataFrame, features: int = FEATURES) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen: dict[int, list[int]] = {}
+            seen = np.zeros((2, BUCKETS), np.int32)
             for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                for t in text_terms(text):
-                    seen.setdefault(t, [0, 0])[int(toxic > 0)] += 1
-            yield pd.DataFrame([(t, a, b) for t, (a, b) in seen.items()], columns=["term", "neg", "pos"])
+                seen[int(toxic > 0), list(text_terms(text))] += 1
+            term = np.flatnonzero(seen.any(0))
+            yield pd.DataFrame({"term": term, "neg": seen[0, term], "pos": seen[1, term]})
 
     totals = sample.groupBy((F.col("toxic") > 0).alias("t")).count().collect()
     n = {bool(r["t"]): r["count"] for r in totals}
