@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import match_filter
-from ..functions.measures import batting, bowling
+from ..functions.measures import batting, bowling, legal
 from .fixture import Tables
 
-CONTEXT = ["match_type", "gender", "season", "date_start", "team1", "team2", "venue", "event_name", "event_stage"]
-
 
 def balls(t: Tables, where: Column | None = None, context: tuple = (), **filters) -> DataFrame:
     """Deliveries of the matches that pass the filters, with the match columns asked for.
@@ -34,8 +32,6 @@ def bowling_innings(b: DataFrame, *keys: str) -> DataFrame:
 
 def innings_totals(t: Tables, super_overs: bool = True) -> DataFrame:
     """One row per innings: teams, runs, wickets, legal balls."""
-    from ..functions.measures import legal
-
     i = t.innings if super_overs else t.innings.filter(~F.col("is_super_over"))
     sums = t.deliveries.groupBy("match_id", "innings_number").agg(
         F.sum("runs_total").alias("total"), F.count_if("is_wicket").alias("wickets"), F.count_if(legal()).alias("balls"))
