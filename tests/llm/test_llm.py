@@ -87,9 +87,16 @@ def test_radius_search_equals_brute_force(spark):
 # near duplicates
 
 
+def test_words_and_lower_case():
+    for c in map(chr, range(0x3100)):
+        t = f"Ab{c}Cd É"
+        assert minhash.words_of(t) == re.findall(common.WORD, t)
+        assert minhash.lowered(t) == re.sub("[A-Z]", lambda m: m[0].lower(), t)
+
+
 def brute_components(rows, n_words, percent):
     def shingles(t):
-        w = re.findall(common.WORD, (t or "").translate(minhash.LOWER))
+        w = re.findall(common.WORD, re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
         return {tuple(w[i : i + n_words]) for i in range(max(1, len(w) - n_words + 1))} if w else set()
 
     sets = {}

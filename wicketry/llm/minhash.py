@@ -30,7 +30,8 @@ from .common import WORD, cut, drop_cut, table
 from .components import components
 
 WORDS = re.compile(WORD)
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: White space that str.split() knows but WORD doesn't.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Signature: BANDS bands of ROWS values, half of them minima and half maxima. At similarity 0.8 a pair shares no band with chance (1 - 0.8**4)**32 < 1e-7.
 BANDS, ROWS = 32, 4
 ROUNDS = 2
@@ -53,13 +54,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def words_of(text: str) -> list[str]:
+    """The runs that WORD matches."""
+    return WORDS.findall(text) if OTHER_SPACE.search(text) else text.split()
+
+
+def lowered(text: str) -> str:
+    """A-Z in lower case, nothing else."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def word_hashes(text: str) -> np.ndarray:
     import xxhash
 
     known, out = _words, []
     if len(known) > REMEMBERED:
         known.clear()
-    for w in WORDS.findall(text.translate(LOWER)):
+    for w in words_of(lowered(text)):
         h = known.get(w)
         if h is None:
             h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))

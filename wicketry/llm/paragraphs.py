@@ -24,10 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, table, text_or_empty
 from .components import components
-from .minhash import linked, mixed, word_hashes
+from .minhash import OTHER_SPACE, linked, mixed, word_hashes
 
 MIN_WORDS, N_WORDS, PERCENT = 12, 5, 80
 WORDS = re.compile(WORD)
+BLANK = " \t\n\x0b\x0c\r"
+#: Sentence ends before white space, and line ends.
+BREAK = re.compile(r"[.!?](?=[\x20\x09-\x0D]|\Z)|\n")
+#: Documents whose bands are held at once.
+AT_ONCE = 2000
 SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: An id that orders by doc_id, then place, at any size of either.
 ID = "cast(doc_id as decimal(38,0)) * 4294967296 + idx"
@@ -35,20 +40,18 @@ ID = "cast(doc_id as decimal(38,0)) * 4294967296 + idx"
 
 def units(text: str) -> list[tuple[int, int, int, int]]:
     """Paragraphs as (first word, end word, start, end): words in order of the text, character offsets."""
-    out, first, k, start, end = [], 0, 0, 0, 0
-    for m in WORDS.finditer(text):
-        if k > first and text.find("\n", end, m.start()) >= 0:
-            out.append((first, k, start, end))
+    out, first, k, start, at = [], 0, 0, 0, 0
+    size, plain = len(text), not OTHER_SPACE.search(text)
+    for m in (*BREAK.finditer(text), None):
+        stop = size if m is None else m.start() if m[0] == "\n" else m.end()
+        n = len(text[at:stop].split() if plain else WORDS.findall(text, at, stop))
+        if n and k == first:
+            start = WORDS.search(text, at).start()
+        k += n
+        if k > first and (m is None or m[0] == "\n" or k - first >= MIN_WORDS):
+            out.append((first, k, start, start + len(text[start:stop].rstrip(BLANK))))
             first = k
-        if k == first:
-            start = m.start()
-        end = m.end()
-        k += 1
-        if k - first >= MIN_WORDS and text[end - 1] in ".!?":
-            out.append((first, k, start, end))
-            first = k
-    if k > first:
-        out.append((first, k, start, end))
+        at = stop
     return out
 
 
@@ -64,7 +67,7 @@ def shingled(text: str) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
 
 def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each paragraph: four band keys and a hash of its shingles; equal paragraphs of a batch once, others as copies of it (kind 1)."""
-    for pdf in batches:
+    for pdf in (b.iloc[at : at + AT_ONCE] for b in batches for at in range(0, len(b), AT_ONCE)):
         parts = []
         for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
             us, s = shingled(text)
