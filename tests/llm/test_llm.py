@@ -235,6 +235,26 @@ def test_planted_passage_goes_from_later_documents(spark):
     assert got[0].n_removed == 0 and got[9].n_removed == 0 and got[1].n_removed >= 2 and got[2].n_removed >= 2
 
 
+@pytest.mark.parametrize("stops", [True, False])
+def test_passage_goes_after_any_lead(spark, stops):
+    """Ten sentences of eight words, and the same without full stops between long neighbours, behind leads of other lengths."""
+    common.ship(spark)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    text = lambda n: " ".join(word() + ("." if stops and i % 8 == 7 else "") for i in range(n))
+    passage = text(80)
+    leads = [text(8 * k) for k in (0, 1, 2, 5)] if stops else [text(k) for k in (70, 63, 41, 97)]
+    tails = [text(8) for _ in leads] if stops else [text(77) for _ in leads]
+    rows = [(i, f"{a} {passage} {b}") for i, (a, b) in enumerate(zip(leads, tails, strict=True))]
+    for r in paragraphs.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        gone = sum(int(b) - int(a) for a, b in (x.split(":") for x in r.spans.split(",") if x))
+        assert gone == r.removed_chars and (r.doc_id > 0 or not gone)
+        assert r.doc_id == 0 or gone >= len(passage) * (0.95 if stops else 0.6)
+        at = dict(rows)[r.doc_id].index(passage)
+        clean = sum(max(0, at - int(a)) + max(0, int(b) - at - len(passage)) for a, b in (x.split(":") for x in r.spans.split(",") if x))
+        assert clean <= 16  # at most two strange words, by a near copy at an edge
+
+
 def brute_strings(rows):
     seen, out = set(), {}
     for i, t in sorted((i, t or "") for i, t in set(rows)):

@@ -1,8 +1,10 @@
 """Repeated paragraphs: MinHash banding, exact verification, removal by components.
 
-A paragraph is a line, cut at sentence ends into stretches of at least ``MIN_WORDS`` words so that a passage inside longer
-text gives paragraphs of its own. Minima and maxima of two permutations of a paragraph's five-word shingles are four bands of one
-value: at similarity 0.8 a pair shares none with chance 0.2**4, and copies always share all. Paragraphs that collide are
+Borders of paragraphs depend on the words around them only, so a passage gives the same paragraphs after any lead. They are
+line ends, ends of sentences of at least ``N_WORDS`` words (shorter sentences belong to the next, at a line's end to the one
+before), and inside longer stretches each word whose hash, taken with the next word, is the least among ``REACH`` words
+before and after. Minima and maxima of two permutations of a paragraph's five-word shingles are four bands of one value: at
+similarity 0.8 a pair shares none with chance 0.2**4, and copies always share all. Paragraphs that collide are
 joined and their exact Jaccard similarity verified; equal paragraphs need no pairs. Of each connected component the first
 paragraph (smallest doc_id, then place) stays, all others go.
 
@@ -26,9 +28,10 @@ from .common import WORD, cut, table, text_or_empty
 from .components import components
 from .minhash import OTHER_SPACE, linked, mixed, word_hashes
 
-MIN_WORDS, N_WORDS, PERCENT = 12, 5, 80
+N_WORDS, PERCENT = 5, 80
+#: Words on both sides that a border inside a sentence depends on.
+REACH = 5
 WORDS = re.compile(WORD)
-BLANK = " \t\n\x0b\x0c\r"
 #: Sentence ends before white space, and line ends.
 BREAK = re.compile(r"[.!?](?=[\x20\x09-\x0D]|\Z)|\n")
 #: Documents whose bands are held at once.
@@ -38,31 +41,50 @@ SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 ID = "cast(doc_id as decimal(38,0)) * 4294967296 + idx"
 
 
-def units(text: str) -> list[tuple[int, int, int, int]]:
-    """Paragraphs as (first word, end word, start, end): words in order of the text, character offsets."""
-    out, first, k, start, at = [], 0, 0, 0, 0
-    size, plain = len(text), not OTHER_SPACE.search(text)
+def units(text: str, h: np.ndarray) -> list[tuple[int, int]]:
+    """Paragraphs as (first word, end word), from a text and the hashes of its words."""
+    stretches, first, k, at, line = [], 0, 0, 0, 0
+    plain = not OTHER_SPACE.search(text)
     for m in (*BREAK.finditer(text), None):
-        stop = size if m is None else m.start() if m[0] == "\n" else m.end()
+        stop = len(text) if m is None else m.start() if m[0] == "\n" else m.end()
         n = len(text[at:stop].split() if plain else WORDS.findall(text, at, stop))
-        if n and k == first:
-            start = WORDS.search(text, at).start()
         k += n
-        if k > first and (m is None or m[0] == "\n" or k - first >= MIN_WORDS):
-            out.append((first, k, start, start + len(text[start:stop].rstrip(BLANK))))
+        ends = m is None or m[0] == "\n"
+        if k > first and (ends or n >= N_WORDS):
+            if n < N_WORDS and stretches and stretches[-1][0] >= line:  # short sentences at a line's end
+                first = stretches.pop()[0]
+            stretches.append((first, k))
             first = k
-        at = stop
+        at, line = stop, k if ends else line
+    if max((b - a for a, b in stretches), default=0) <= 2 * REACH + 1:
+        return stretches
+    # v[p] belongs to the words p and p + 1; a word with the least v of REACH neighbours on both sides begins a paragraph
+    with np.errstate(over="ignore"):
+        v = mixed(h[:-1] * np.uint64(3) + h[1:])
+    n = len(v) - 2 * REACH
+    here = v[REACH : REACH + n]
+    least = np.ones(n, bool)
+    for j in range(1, REACH + 1):
+        least &= (here < v[REACH - j : REACH - j + n]) & (here <= v[REACH + j : REACH + j + n])
+    starts = np.flatnonzero(least) + REACH
+    out = []
+    for a, b in stretches:
+        inner = starts[np.searchsorted(starts, a + REACH) : np.searchsorted(starts, b - 1 - REACH)].tolist() if b - a > 2 * REACH + 1 else ()
+        for p in inner:
+            out.append((a, p))
+            a = p
+        out.append((a, b))
     return out
 
 
-def shingled(text: str) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+def shingled(text: str) -> tuple[list[tuple[int, int] | None], np.ndarray]:
     """Paragraphs of at least N_WORDS words (others None), and the hash of the shingle that starts at each word."""
     h = word_hashes(text)
     s = np.zeros(max(0, len(h) - N_WORDS + 1), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(N_WORDS):
             s = mixed(s * np.uint64(3) + h[k : len(h) - N_WORDS + 1 + k] + np.uint64(k + 1)) if len(s) else s
-    return [u if u[1] - u[0] >= N_WORDS else None for u in units(text)], s
+    return [u if u[1] - u[0] >= N_WORDS else None for u in units(text, h)], s
 
 
 def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,8 +171,10 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for text, gone in zip(pdf["text"], pdf["gone"], strict=True):
-            us = units(text)
-            spans = [us[i][2:] for i in sorted({int(g) for g in gone} if gone is not None else ()) if i < len(us)]
+            us = units(text, word_hashes(text))
+            numbers = sorted({int(g) for g in gone} if gone is not None else ())
+            words = [m.span() for m in WORDS.finditer(text)] if numbers else []
+            spans = [(words[us[i][0]][0], words[us[i][1] - 1][1]) for i in numbers if i < len(us)]
             parts, at = [], 0
             for a, b in spans:
                 parts.append(text[at:a])
