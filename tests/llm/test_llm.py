@@ -255,6 +255,13 @@ def test_passage_goes_after_any_lead(spark, stops):
         assert clean <= 16  # at most two strange words, by a near copy at an edge
 
 
+def test_short_lines_are_one_shingle(spark):
+    common.ship(spark)
+    rows = [(1, "Read more\nalpha bravo carol delta echo fox"), (2, "golf hotel india julia kilo\nREAD more\nmore"), (3, "read more here\nmore"), (4, "alpha bravo carol delta")]
+    got = {r.doc_id: r.kept for r in paragraphs.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "golf hotel india julia kilo\n\nmore", 3: "read more here\n", 4: rows[3][1]}
+
+
 def brute_strings(rows):
     seen, out = set(), {}
     for i, t in sorted((i, t or "") for i, t in set(rows)):

@@ -8,9 +8,9 @@ similarity 0.8 a pair shares none with chance 0.2**4, and copies always share al
 joined and their exact Jaccard similarity verified; equal paragraphs need no pairs. Of each connected component the first
 paragraph (smallest doc_id, then place) stays, all others go.
 
-Defined results: null and empty texts have no paragraphs; paragraphs below five words are never removed; words are
-compared in lower case (A-Z); rows that repeat a doc_id are one document; rows without a doc_id are left out; an empty
-table gives an empty result; further columns are ignored.
+Defined results: null and empty texts have no paragraphs; a paragraph below five words is one shingle, so
+only copies of it go; words are compared in lower case (A-Z); rows that repeat a doc_id are one document; rows without a
+doc_id are left out; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,14 +77,24 @@ def units(text: str, h: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def shingled(text: str) -> tuple[list[tuple[int, int] | None], np.ndarray]:
-    """Paragraphs of at least N_WORDS words (others None), and the hash of the shingle that starts at each word."""
+def shingled(text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Paragraphs as (i, j) whose shingles are s[i : j - N_WORDS + 1], and s: the hash of the shingle that starts at each word,
+    then one hash of each paragraph below N_WORDS words."""
     h = word_hashes(text)
     s = np.zeros(max(0, len(h) - N_WORDS + 1), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(N_WORDS):
             s = mixed(s * np.uint64(3) + h[k : len(h) - N_WORDS + 1 + k] + np.uint64(k + 1)) if len(s) else s
-    return [u if u[1] - u[0] >= N_WORDS else None for u in units(text, h)], s
+        out, short = [], []
+        for a, b in units(text, h):
+            if b - a < N_WORDS:
+                x = h[:1] * np.uint64(0) + np.uint64(b - a)
+                for k in range(a, b):
+                    x = mixed(x * np.uint64(5) + h[k : k + 1])
+                short.append(x)
+                a, b = len(s) + len(short) - 1, len(s) + len(short) - 1 + N_WORDS
+            out.append((a, b))
+    return out, np.concatenate([s, *short])
 
 
 def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,11 +103,10 @@ def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = []
         for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
             us, s = shingled(text)
-            good = [(i, u) for i, u in enumerate(us) if u]
-            if not good:
+            if not us:
                 continue
             # shingles inside a paragraph: from its first word to its last start
-            at = np.array([x for _, u in good for x in (u[0], u[1] - N_WORDS + 1)])
+            at = np.array([x for u in us for x in (u[0], u[1] - N_WORDS + 1)])
             keys = []
             with np.errstate(over="ignore"):
                 padded = np.append(s, np.uint64(0))
@@ -106,7 +115,7 @@ def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     keys.append(mixed(np.minimum.reduceat(p, at)[::2] + np.uint64(2 * j + 1)))
                     keys.append(mixed(np.maximum.reduceat(p, at)[::2] + np.uint64(2 * j + 2)))
                 total = np.add.reduceat(mixed(padded + np.uint64(99)), at)[::2]
-            parts.append((np.stack(keys), total, np.full(len(good), doc, np.int64), np.array([i for i, _ in good])))
+            parts.append((np.stack(keys), total, np.full(len(us), doc, np.int64), np.arange(len(us))))
         if not parts:
             continue
         keys = np.concatenate([p[0] for p in parts], axis=1).view(np.int64)
@@ -162,7 +171,7 @@ def shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, text, asked in zip(pdf["doc_id"], pdf["text"], pdf["asked"], strict=True):
             us, s = shingled(text)
             for i in sorted({int(a) for a in asked}):
-                if i < len(us) and us[i]:
+                if i < len(us):
                     rows.append((doc, i, np.unique(s[us[i][0] : us[i][1] - N_WORDS + 1]).view(np.int64)))
         yield pd.DataFrame(rows, columns=["doc_id", "idx", "shingles"])
 
