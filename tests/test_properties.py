@@ -81,3 +81,10 @@ def test_fewer_matches_with_exclusions_and_unknown_names(star):
     assert innings.fastest(star, 100).first().balls_to_reach > innings.fastest(star, 50).first().balls_to_reach
     with pytest.raises(ValueError):
         careers.situational(star, "batting_position")
+
+
+def test_career_impact_keeps_every_player(spark, mini):
+    d = spark.createDataFrame([row(1, k // 6, k % 6, f"B{k:02}", "X", k % 7) for k in range(60)], D)
+    got = impact.career_impact(Tables(mini.players, mini.matches, mini.innings, d), "B").collect()
+    assert sorted(r.player for r in got) == [f"B{k:02}" for k in range(60)]
+    assert [r.average_impact for r in got] == sorted((r.average_impact for r in got), reverse=True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import like, match_filter
 from ..functions.measures import BOWLER_KINDS, conceded, faced, half_up, legal, rounded, striker_out
 from ..plans.fixture import Tables
-from ..plans.grains import down, top, up
+from ..plans.grains import down, up
 
 # Fixed values of the scoring rules.
 STAGE_WEIGHTS = {"Final": 1.5, "Semi Final": 1.3, "Quarter Final": 1.2, "Qualifier": 1.2, "Qualifier 1": 1.2, "Qualifier 2": 1.2, "Eliminator": 1.2, "Playoff": 1.15, "Super Eight": 1.1, "Super Six": 1.1, "Super 12": 1.05}
@@ -153,8 +153,8 @@ def career_impact_matches(t: Tables, player: str, limit: int = 50, **f) -> DataF
 
 
 def career_impact(t: Tables, player: str, limit: int = 50, **f) -> DataFrame:
-    """Average, total and peak of the per-match values, one row per (name, id)."""
+    """Average, total and peak of the per-match values, one row per (name, id), for every matching player; ``limit`` counts matches."""
     x = career_impact_matches(t, player, limit, **f).groupBy("player", "player_id").agg(
         F.count("*").alias("matches"), half_up(rounded(F.avg("total_impact"), 6)).alias("average_impact"), half_up(rounded(F.sum("total_impact"), 6)).alias("career_impact"), F.max("total_impact").alias("peak_impact"),
         *(half_up(rounded(F.avg(f"{k}_impact"), 6)).alias(f"average_{k}") for k in ("batting", "bowling", "fielding")))
-    return top(x, 50, down("average_impact"), up("player"), up("player_id"))
+    return x.orderBy(down("average_impact"), up("player"), up("player_id"))
