@@ -67,6 +67,25 @@ def test_update_and_stream_add_only_what_is_new(spark, feed, tmp_path):
     assert storage.scan(spark, other)["matches"].count() == 3
 
 
+@pytest.mark.parametrize("table", ["deliveries", "matches"])
+def test_a_failed_write_is_made_good_by_the_next(spark, feed, tmp_path, table):
+    base = f"file://{tmp_path}/star"
+    good, _ = ingest.split_bad(ingest.read_documents(spark, feed))
+    storage.rebuild(spark, ingest.load(good.filter("match_id = '1'")), base)
+    new = ingest.load(good.filter("match_id != '1'"))
+    new[table] = new[table].withColumn("match_id", F.when(F.length("match_id") > 0, F.raise_error(F.lit("lost"))).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        storage.write_star(new, base)
+    seen = storage.scan(spark, base)
+    assert all([r.match_id for r in seen[t].select("match_id").distinct().collect()] == ["1"] for t in ("matches", "innings", "deliveries"))
+    assert ingest.update(spark, feed, base) == {"added": 2, "skipped": 1, "failed": 1}
+    got, want = storage.scan(spark, base), ingest.load(good)
+    for name in ("matches", "innings", "deliveries"):
+        cols = sorted(want[name].columns)
+        assert sorted(map(str, got[name].select(*cols).collect())) == sorted(map(str, want[name].select(*cols).collect())), name
+    assert len(list((tmp_path / "star" / "innings").glob("batch=*"))) == 2
+
+
 def test_metadata(spark, tmp_path):
     players = spark.createDataFrame([(str(i), f"P{i}", "old", None) for i in range(9)], "player_id string, player_name string, batting_style string, bowling_style string")
     (tmp_path / "m.csv").write_text("identifier,batting_style,bowling_style\n1,Left,Right-arm fast\n1,Left,Right-arm fast\n2,,Legbreak\n3,x,Slow left-arm chinaman\n4,x,Right-arm medium\n5,x,Left-arm orthodox medium\n6,x,Underarm\n,y,z\n")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wicketry.operators import careers, impact, innings, players
+from wicketry.operators import careers, impact, innings, matches, players
 from wicketry.plans.fixture import Tables, tables
 from wicketry.plans.grains import balls
 
@@ -88,3 +88,23 @@ def test_career_impact_keeps_every_player(spark, mini):
     got = impact.career_impact(Tables(mini.players, mini.matches, mini.innings, d), "B").collect()
     assert sorted(r.player for r in got) == [f"B{k:02}" for k in range(60)]
     assert [r.average_impact for r in got] == sorted((r.average_impact for r in got), reverse=True)
+
+
+def test_form_and_streaks_skip_matches_without_an_outcome(spark, mini):
+    """Neither winner nor result: NR in the form, skipped by streaks; a draw ends a streak."""
+    rows = [("1", "2020-01-01", "S", None), ("2", "2020-01-02", None, None), ("3", "2020-01-03", "S", None), ("4", "2020-01-04", None, "draw"), ("5", "2020-01-05", "S", None), ("6", "2020-01-06", None, "no result"), ("7", "2020-01-07", "T", None)]
+    m = spark.createDataFrame([(i, d, "S", "T", "T20", "Oval", w, r) for i, d, w, r in rows], "match_id string, date_start string, team1 string, team2 string, match_type string, venue string, outcome_winner string, outcome_result string")
+    t = Tables(mini.players, m.withColumn("date_start", F.col("date_start").cast("date")), mini.innings, mini.deliveries)
+    assert [r.result for r in matches.team_form_results(t, "S").collect()] == ["L", "NR", "W", "D", "W", "NR", "W"]
+    assert [r.result for r in matches.team_form_results(t, "T").collect()] == ["W", "NR", "L", "D", "L", "NR", "L"]
+    assert [(r.team, r.length) for r in matches.team_streaks(t, "wins", min_length=1).collect()] == [("S", 2), ("T", 1), ("S", 1)]
+    assert [(r.team, r.length) for r in matches.team_streaks(t, "losses", min_length=1).collect()] == [("T", 2), ("S", 1), ("T", 1)]
+
+
+def test_career_impact_counts_matches_with_bat_or_ball_only(spark, mini):
+    """Y fields in the match but neither bats nor bowls: no row. Two matches, one asked for: the later counts."""
+    assert impact.career_impact(mini, "Y").count() == 0 and impact.match_impact(mini, player="Y").count() == 1
+    later = lambda df, **c: df.unionByName(df.withColumns({"match_id": F.lit("n"), **c}))
+    t = Tables(mini.players, later(mini.matches, date_start=F.date_add("date_start", 1)), later(mini.innings), later(mini.deliveries))
+    assert [r.match_id for r in impact.career_impact_matches(t, "X", limit=1).collect()] == ["n"]
+    assert impact.career_impact(t, "X").first().matches == 2

@@ -50,5 +50,6 @@ def stage_bucket(stage: Column | str = "event_stage") -> Column:
 
 
 def took_part(deliveries: DataFrame, player: str) -> DataFrame:
-    """match_id of the matches in which the name batted or bowled."""
-    return deliveries.filter(like("batter", player) | like("bowler", player)).select("match_id").distinct()
+    """match_id, player and player_id of everyone of that name who batted or bowled in a match (B8); fielding alone doesn't count."""
+    sides = [deliveries.filter(like(c, player)).select("match_id", F.col(c).alias("player"), F.col(f"{c}_id").alias("player_id")) for c in ("batter", "bowler")]
+    return sides[0].unionByName(sides[1]).distinct()

@@ -189,14 +189,17 @@ def _kept(exclude: dict[str, str], player_column: str) -> Column:
     return keep
 
 
+def _both_careers(b: DataFrame, keep: Column, innings, table, keys: list[str], columns: tuple) -> DataFrame:
+    """Original (o_) and modified (m_) table side by side, in one pass: a kept ball counts for both."""
+    each = b.withColumn("version", F.explode(F.when(F.coalesce(keep, F.lit(False)), F.array(F.lit("o"), F.lit("m"))).otherwise(F.array(F.lit("o")))))
+    t = table(innings(each, "version"), "version", *keys)
+    return t.groupBy(*keys).agg(*(F.max(F.when(F.col("version") == v, F.col(c))).alias(f"{v}_{c}") for v in ("o", "m") for c in columns))
+
+
 def what_if_batting(t: Tables, player: str, exclude: dict[str, str], **f) -> DataFrame:
     """Original and modified career side by side; missing ratios count as 0 in deltas."""
-    b = balls(t, like("batter", player), ("team1", "team2", "venue", "event_name"), **f).withColumn("keep", F.coalesce(_kept(exclude, "bowler"), F.lit(False)))
-    both = []
-    for name, part in (("o", b), ("m", b.filter("keep"))):
-        table = batting_table(batting_innings(part), *BATTER)
-        both.append(table.select(*BATTER, *(F.col(c).alias(f"{name}_{c}") for c in ("matches", "innings", "runs", "average", "strike_rate", "centuries", "fifties"))))
-    wide = both[0].join(both[1], BATTER, "left")
+    b = balls(t, like("batter", player), ("team1", "team2", "venue", "event_name"), **f)
+    wide = _both_careers(b, _kept(exclude, "bowler"), batting_innings, batting_table, BATTER, ("matches", "innings", "runs", "average", "strike_rate"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return wide.select(
         *BATTER, "o_matches", "o_innings", "o_runs", "o_average", "o_strike_rate", "m_matches", "m_innings", "m_runs", "m_average", "m_strike_rate",
@@ -207,12 +210,8 @@ def what_if_batting(t: Tables, player: str, exclude: dict[str, str], **f) -> Dat
 
 def what_if_bowling(t: Tables, player: str, exclude: dict[str, str], **f) -> DataFrame:
     """D32."""
-    b = balls(t, like("bowler", player), ("team1", "team2", "venue", "event_name"), **f).withColumn("keep", F.coalesce(_kept(exclude, "batter"), F.lit(False)))
-    both = []
-    for name, part in (("o", b), ("m", b.filter("keep"))):
-        table = bowling_table(bowling_innings(part), *BOWLER)
-        both.append(table.select(*BOWLER, *(F.col(c).alias(f"{name}_{c}") for c in ("matches", "innings", "wickets", "runs_conceded", "average", "economy"))))
-    wide = both[0].join(both[1], BOWLER, "left")
+    b = balls(t, like("bowler", player), ("team1", "team2", "venue", "event_name"), **f)
+    wide = _both_careers(b, _kept(exclude, "batter"), bowling_innings, bowling_table, BOWLER, ("matches", "innings", "wickets", "runs_conceded", "average", "economy"))
     return wide.select(
         *BOWLER, "o_matches", "o_innings", "o_wickets", "o_runs_conceded", "o_average", "o_economy", "m_matches", "m_innings", "m_wickets", "m_runs_conceded", "m_average", "m_economy",
         (F.col("o_innings") - F.coalesce("m_innings", F.lit(0))).alias("excluded_innings"), (F.coalesce("m_wickets", F.lit(0)) - F.col("o_wickets")).alias("wickets_delta"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.filters import like, match_filter
+from ..functions.filters import like, match_filter, took_part
 from ..functions.measures import BOWLER_KINDS, conceded, faced, half_up, legal, rounded, striker_out
 from ..plans.fixture import Tables
 from ..plans.grains import down, up
@@ -146,10 +146,17 @@ def match_impact(t: Tables, match_id: str | None = None, player: str | None = No
 
 
 def career_impact_matches(t: Tables, player: str, limit: int = 50, **f) -> DataFrame:
-    """The latest matches in which each matching player batted, bowled or fielded, by the simple formula."""
-    x = match_impact(t, None, player, "simple", **f)
-    w = Window.partitionBy("player", "player_id").orderBy(F.desc("date_start"), F.asc("match_id"))
-    return x.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit).drop("n")
+    """The latest ``limit`` matches in which each matching player batted or bowled (B8), by the simple formula.
+
+    The matches are picked first, so only their deliveries are scored; a fielder's points count in picked matches only.
+    """
+    played = took_part(t.deliveries, player).join(t.matches.filter(match_filter(**f)).select("match_id", "date_start"), "match_id")
+    latest = Window.partitionBy("player", "player_id").orderBy(F.desc_nulls_last("date_start"), F.asc("match_id"))
+    picked = played.withColumn("n", F.row_number().over(latest)).filter(F.col("n") <= limit).select("match_id", "player", "player_id")
+    some = Tables(t.players, t.matches.join(picked.select("match_id").distinct(), "match_id", "left_semi"), t.innings, t.deliveries)
+    x = match_impact(some, None, player, "simple")
+    mine = picked.select(F.col("match_id").alias("_m"), F.col("player").alias("_p"), F.col("player_id").alias("_i"))
+    return x.join(mine, (x.match_id == F.col("_m")) & (x.player == F.col("_p")) & x.player_id.eqNullSafe(F.col("_i")), "left_semi")
 
 
 def career_impact(t: Tables, player: str, limit: int = 50, **f) -> DataFrame:

@@ -77,14 +77,14 @@ def toss_analysis(t: Tables, group_by: str | None = None, limit: int = 10, **f)
 
 
 def _last_matches(t: Tables, team: str, last_n: int, **f) -> DataFrame:
-    code = F.when(won(), "W").when(drawn(), "D").when(tied(), "T").when(no_result(), "NR").otherwise("L")
+    code = F.when(won(), "W").when(drawn(), "D").when(tied(), "T").when(no_result(), "NR").when(lost(), "L").otherwise("NR")
     mine = team_matches(t, team=team, **f).filter(F.col("team") == team)
     rows = mine.select("match_id", "date_start", "match_type", "venue", F.when(F.col("team1") == team, F.col("team2")).otherwise(F.col("team1")).alias("opponent"), code.alias("result"))
     return top(rows, last_n, down("date_start"), up("match_id"))
 
 
 def team_form_results(t: Tables, team: str, last_n: int = 10, **f) -> DataFrame:
-    """D19."""
+    """W, D, T, NR or L; a match with neither winner nor result is NR."""
     return _last_matches(t, team, last_n, **f)
 
 
@@ -187,8 +187,8 @@ def islands(df: DataFrame, keys: list[str], hit: Column, order: list[str]) -> Da
 
 
 def team_streaks(t: Tables, kind: str = "wins", team: str | None = None, min_length: int = 2, limit: int = 10, **f) -> DataFrame:
-    """Matches without a result are skipped; draws and ties end a streak."""
-    x = team_matches(t, **f).filter(F.coalesce(F.col("outcome_result"), F.lit("")) != "no result")
+    """Matches with neither winner, draw nor tie are skipped; draws and ties end a streak."""
+    x = team_matches(t, **f).filter(F.col("outcome_winner").isNotNull() | F.col("outcome_result").isin("draw", "tie"))
     if team:
         x = x.filter(F.col("team").ilike(f"%{team}%"))
     runs = islands(x, ["team"], F.coalesce(won() if kind == "wins" else lost(), F.lit(False)), ["date_start", "match_id"])

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.storage import shared_path
+from ..sources.storage import remove, shared_path
 
 STEPS = """
 l0 AS (SELECT *, l_orderkey DIV 60 AS mk, row_number() OVER (PARTITION BY l_orderkey DIV 60
@@ -92,15 +92,26 @@ class Tables:
     deliveries: DataFrame
 
 
-def derive(spark: SparkSession, sf_dir: str) -> Tables:
-    """The four tables as lazy DataFrames over the supplied files."""
+#: Columns of step l7 that the later steps read.
+L7 = "mk, inn, ov, bi, bt, ot, is_test, main, rb, rx, x, k, wkt, l_suppkey, bat_key, ns_key, bowl_key, out_key, f1_key, f2_key"
+
+
+def derive(spark: SparkSession, sf_dir: str, path: str) -> Tables:
+    """The four tables as lazy DataFrames over the supplied files.
+
+    The window over all deliveries runs once: its result (step l7) is written below ``path``, and the tables are made from that.
+    """
     from ..sources.enrichment import derive_style_groups
 
-    steps = STEPS.replace("DIV", "div")
+    head, rest = STEPS.replace("DIV", "div").split("names AS", 1)
+    rest = "names AS" + rest
     for name in ("lineitem", "orders", "customer"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"fixture_{name}")
-        steps = steps.replace(f"FROM {name}", f"FROM fixture_{name}").replace(f"JOIN {name}", f"JOIN fixture_{name}")
-    matches, innings, deliveries, styled = (spark.sql(f"WITH {steps} SELECT * FROM {t}") for t in ("matches", "innings", "deliveries", "styled"))
+        head, rest = (x.replace(f"FROM {name}", f"FROM fixture_{name}").replace(f"JOIN {name}", f"JOIN fixture_{name}") for x in (head, rest))
+    spark.sql(f"WITH {head.rstrip().rstrip(',')} SELECT {L7} FROM l7").write.parquet(f"{path}/l7")
+    spark.read.parquet(f"{path}/l7").createOrReplaceTempView("fixture_l7")
+    rest = rest.replace("FROM l7", "FROM fixture_l7")
+    matches, innings, deliveries, styled = (spark.sql(f"WITH {rest} SELECT * FROM {t}") for t in ("matches", "innings", "deliveries", "styled"))
     players = derive_style_groups(styled).selectExpr("*", "CAST(NULL AS STRING) AS playing_role", "CAST(NULL AS STRING) AS country")
     return Tables(players, matches, innings, deliveries)
 
@@ -113,8 +124,9 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         path = shared_path(spark, "star")
-        for name, df in vars(derive(spark, sf_dir)).items():
+        for name, df in vars(derive(spark, sf_dir, path)).items():
             df.write.parquet(f"{path}/{name}")
+        remove(spark, f"{path}/l7")
         _written[key] = path
     path = _written[key]
     return Tables(*(spark.read.parquet(f"{path}/{name}") for name in ("players", "matches", "innings", "deliveries")))

@@ -59,11 +59,13 @@ def ctes(full: bool) -> list[str]:
 
 def build() -> dict:
     p = "00000004"
-    career = f"cm AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY player, player_id ORDER BY date_start DESC, match_id) AS k FROM im WHERE {has('player', p)}) WHERE k <= 50)"
+    career = (f"tp AS (SELECT match_id, batter AS player, batter_id AS player_id FROM deliveries WHERE {has('batter', p)} UNION SELECT match_id, bowler, bowler_id FROM deliveries WHERE {has('bowler', p)}), "
+              "pm AS (SELECT * FROM (SELECT tp.*, row_number() OVER (PARTITION BY player, player_id ORDER BY date_start DESC, match_id) AS k FROM tp JOIN matches USING (match_id)) WHERE k <= 50), "
+              "cm AS (SELECT im.* FROM im SEMI JOIN pm ON im.match_id = pm.match_id AND im.player = pm.player AND im.player_id IS NOT DISTINCT FROM pm.player_id)")
     a = lambda x: up(r(x, 6))
     return {
         "match_impact": (lambda t: i.match_impact(t), q(*ctes(True), "SELECT * FROM im")),
         "career_impact_matches": (lambda t: i.career_impact_matches(t, p), q(*ctes(False), career, "SELECT * FROM cm")),
         "career_impact": (lambda t: i.career_impact(t, p), q(*ctes(False), career, f"SELECT player, player_id, count(*) AS matches, {a('avg(total_impact)')} AS average_impact, {a('sum(total_impact)')} AS career_impact, max(total_impact) AS peak_impact, "
-                          f"{a('avg(batting_impact)')} AS average_batting, {a('avg(bowling_impact)')} AS average_bowling, {a('avg(fielding_impact)')} AS average_fielding FROM cm GROUP BY player, player_id ORDER BY average_impact DESC, player, player_id LIMIT 50")),
+                          f"{a('avg(batting_impact)')} AS average_batting, {a('avg(bowling_impact)')} AS average_bowling, {a('avg(fielding_impact)')} AS average_fielding FROM cm GROUP BY player, player_id ORDER BY average_impact DESC, player, player_id")),
     }

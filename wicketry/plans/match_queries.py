@@ -5,7 +5,7 @@ from .oracle import LEGAL, flt, n, ordered, q, r, rat
 
 TOT = f"tt AS (SELECT match_id, innings_number, CAST(sum(runs_total) AS BIGINT) AS total, {n('is_wicket')} AS wickets, {n(LEGAL)} AS balls FROM deliveries GROUP BY ALL), it AS (SELECT * FROM innings JOIN tt USING (match_id, innings_number))"
 TEAMS = "tm AS (SELECT *, unnest([team1, team2]) AS team FROM matches WHERE {w})"
-CODE = "CASE WHEN outcome_winner = team THEN 'W' WHEN outcome_result = 'draw' THEN 'D' WHEN outcome_result = 'tie' THEN 'T' WHEN outcome_result = 'no result' THEN 'NR' ELSE 'L' END"
+CODE = "CASE WHEN outcome_winner = team THEN 'W' WHEN outcome_result = 'draw' THEN 'D' WHEN outcome_result = 'tie' THEN 'T' WHEN outcome_result = 'no result' THEN 'NR' WHEN outcome_winner <> team THEN 'L' ELSE 'NR' END"
 LAST = "lm AS (SELECT match_id, date_start, match_type, venue, CASE WHEN team1 = 'NATION_3' THEN team2 ELSE team1 END AS opponent, " + CODE + " AS result FROM tm WHERE team = 'NATION_3' ORDER BY date_start DESC, match_id LIMIT 10)"
 
 
@@ -31,7 +31,7 @@ def _margin(size: str, by: str) -> str:
 
 def _streak(kind: str) -> str:
     hit = "outcome_winner = team" if kind == "wins" else "outcome_winner <> team"
-    return q(TEAMS.format(w="coalesce(outcome_result, '') <> 'no result'"), f"h AS (SELECT *, coalesce({hit}, false) AS hit FROM tm)",
+    return q(TEAMS.format(w="(outcome_winner IS NOT NULL OR outcome_result IN ('draw', 'tie'))"), f"h AS (SELECT *, coalesce({hit}, false) AS hit FROM tm)",
              "g AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY date_start, match_id) - row_number() OVER (PARTITION BY team, hit ORDER BY date_start, match_id) AS i FROM h)",
              "SELECT team, count(*) AS length, min(date_start) AS start_date, max(date_start) AS end_date FROM g WHERE hit GROUP BY team, i HAVING count(*) >= 2 ORDER BY length DESC, end_date DESC, team LIMIT 10")
 

@@ -92,20 +92,16 @@ def load(docs: DataFrame, known_players: DataFrame | None = None) -> dict[str, D
 
 
 def update(spark: SparkSession, feed: str, path: str) -> dict[str, int]:
-    """Append the unseen matches of a feed folder to the tables below ``path``; counts of added, skipped, failed (A5)."""
-    from .storage import scan, shared_path, write_star
+    """Append the unseen matches of a feed folder to the tables below ``path``; counts of added, skipped, failed (A5).
+
+    All tables of an update become visible at once, or none: after a failure the same feed can be read again.
+    """
+    from .storage import append_star, scan
 
     good, bad = split_bad(read_documents(spark, feed))
     have = scan(spark, path)
-    # what is written must not change while it is read: the new rows are fixed first
-    new = {}
-    for name, df in load(unseen(good, have["matches"]), have["players"]).items():
-        at = shared_path(spark, f"update-{name}")
-        df.write.parquet(at)
-        new[name] = spark.read.schema(df.schema).parquet(at)
-    added, total = new["matches"].count(), good.select("match_id").distinct().count()
-    if added:
-        write_star(new, path)
+    total = good.select("match_id").distinct().count()
+    added = append_star(load(unseen(good, have["matches"]), have["players"]), path)
     return {"added": added, "skipped": total - added, "failed": bad.count()}
 
 

@@ -1,4 +1,9 @@
-"""Reading and writing the star schema, and the folder that executors share."""
+"""Reading and writing the star schema, and the folder that executors share.
+
+Every write is a batch: its rows lie below ``<table>/batch=<id>``, and the batch counts only once its marker file is there,
+which is made after all four tables. A failed write leaves rows that no reader sees; the next write removes them. One
+writer at a time is assumed.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +11,54 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-STAR = ("players", "matches", "innings", "deliveries")
+STAR = ("players", "innings", "deliveries", "matches")
+MARKERS = "_batches"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; in a folder of our own only where that is unset (tests)."""
+    """A new path in spark.checkpoint.dir; where that is unset, in a folder of our own, in local mode (tests) only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Ids of the batches whose marker is there: one for each write since the last rebuild."""
+    fs, p = _file_system(spark, f"{path}/{MARKERS}")
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove_uncommitted(spark: SparkSession, path: str) -> None:
+    """Delete what failed writes left."""
+    keep = set(committed(spark, path))
+    for name in STAR:
+        fs, p = _file_system(spark, f"{path}/{name}")
+        for s in fs.listStatus(p) if fs.exists(p) else ():
+            if s.getPath().getName().startswith("batch=") and s.getPath().getName()[6:] not in keep:
+                fs.delete(s.getPath(), True)
+
+
 def scan(spark: SparkSession, path: str, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """The four tables below ``path`` and, where there is one, player_enrichment (A2)."""
-    found = {t: spark.read.format(fmt).load(f"{path}/{t}") for t in STAR}
+    """The four tables below ``path`` (committed batches only) and, where there is one, player_enrichment (A2)."""
+    ids = committed(spark, path)
+    found = {t: spark.read.format(fmt).load(f"{path}/{t}").filter(F.col("batch").cast("string").isin(ids)).drop("batch") for t in STAR}
     try:
         found["player_enrichment"] = spark.read.format(fmt).load(f"{path}/player_enrichment")
     except AnalysisException:
@@ -31,14 +67,43 @@ def scan(spark: SparkSession, path: str, fmt: str = "parquet") -> dict[str, Data
 
 
 def write_star(tables: dict[str, DataFrame], path: str, mode: str = "append") -> None:
-    """Write the tables; deliveries are partitioned by match type and clustered by match (A3)."""
-    for name, df in tables.items():
+    """Write the tables as one batch; deliveries are partitioned by match type and clustered by match (A3).
+
+    Small batches make few files, as adaptive execution joins small shuffle partitions.
+    """
+    spark = tables["matches"].sparkSession
+    batch = f"b{uuid.uuid4().hex}"
+    if mode == "append":
+        remove_uncommitted(spark, path)
+    else:
+        remove(spark, path)
+    for name in STAR:
+        df, at = tables[name], f"{path}/{name}/batch={batch}"
         if name == "deliveries":
             types = tables["matches"].select("match_id", "match_type")
             df = df.drop("match_type").join(types, "match_id").repartition("match_type", "match_id").sortWithinPartitions("match_id", "innings_number", "over_number", "ball_number")
-            df.write.mode(mode).partitionBy("match_type").parquet(f"{path}/{name}")
+            df.write.partitionBy("match_type").parquet(at)
         else:
-            df.write.mode(mode).parquet(f"{path}/{name}")
+            df.write.parquet(at)
+    fs, marker = _file_system(spark, f"{path}/{MARKERS}/{batch}")
+    fs.create(marker).close()
+
+
+def append_star(tables: dict[str, DataFrame], path: str) -> int:
+    """Append rows derived from what is below ``path`` itself: they are fixed in the shared folder first, which is emptied after. Returns the number of matches."""
+    spark = tables["matches"].sparkSession
+    at = shared_path(spark, "append")
+    try:
+        new = {}
+        for name, df in tables.items():
+            df.write.parquet(f"{at}/{name}")
+            new[name] = spark.read.schema(df.schema).parquet(f"{at}/{name}")
+        added = new["matches"].count()
+        if added:
+            write_star(new, path)
+        return added
+    finally:
+        remove(spark, at)
 
 
 def rebuild(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> None:

@@ -6,25 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.ingest import DOCUMENT, load, split_bad, unseen, with_match_id
-from ..sources.storage import scan, shared_path, write_star
+from ..sources.storage import append_star, scan
 
 
 def follow(spark: SparkSession, feed: str, path: str, checkpoint: str) -> StreamingQuery:
     """Start the stream over what is there now (availableNow); the checkpoint remembers files between runs.
 
-    A batch that is repeated after a failure finds its matches already there and adds nothing.
+    A batch that is repeated after a failure adds what is missing: its tables became visible together, or not at all.
     """
     docs = spark.readStream.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(feed)
 
     def append(batch: DataFrame, _: int) -> None:
         have = scan(batch.sparkSession, path)
         good, _bad = split_bad(batch)
-        new = {}
-        for name, df in load(unseen(good, have["matches"]), have["players"]).items():
-            at = shared_path(batch.sparkSession, f"stream-{name}")
-            df.write.parquet(at)
-            new[name] = batch.sparkSession.read.schema(df.schema).parquet(at)
-        if not new["matches"].isEmpty():
-            write_star(new, path)
+        append_star(load(unseen(good, have["matches"]), have["players"]), path)
 
     return with_match_id(docs).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
