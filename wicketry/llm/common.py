@@ -7,12 +7,16 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Stands for a missing doc_id, which comes after all others.
+NO_ID = (1 << 63) - 1
+#: Parts that a hot group is dealt into when its rows meet a value of the group.
+SALTS = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own where that is unset, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -35,22 +41,56 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
-def drop_cut(df: DataFrame) -> None:
+def drop_cut(*dfs: DataFrame | None) -> None:
     """Delete the files that ``cut`` wrote, once nothing reads them any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for df in dfs:
+        if df is not None and getattr(df, "_cut_path", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_or_empty(col: str = "text"):
+def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``d`` (doc_id, NO_ID where it is missing), ``h`` (hash of the text) and ``text`` (never null): rows of equal d and h are one document."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("d"), F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text"))
+
+
+def doc_id(d: str = "d") -> Column:
+    """The doc_id that ``keyed`` replaced."""
+    return F.when(F.col(d) != NO_ID, F.col(d)).alias("doc_id")
+
+
+def salt(*by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+
+
+def salted(groups: DataFrame, mask: str = "_salts", name: str = "_s") -> DataFrame:
+    """One row for each salt that a group's rows have: ``mask`` is their salts_of()."""
+    bits = F.expr(f"filter(sequence(0, {SALTS - 1}), x -> shiftright({mask}, x) & 1L = 1L)")
+    return groups.withColumn(name, F.explode(bits)).drop(mask)
+
+
+def salts_of(s: str = "_s") -> Column:
+    """Aggregate: which salts the rows of a group have, as bits."""
+    return F.bit_or(F.expr(f"shiftleft(1L, {s})")).alias("_salts")
+
+
+def with_minimum(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``rows`` and the least ``value`` of their ``key``; no task needs all rows of a key."""
+    s = rows.withColumn("_s", salt(value))
+    parts = s.groupBy(key, "_s").agg(F.min(value).alias(name))
+    low = parts.groupBy(key).agg(F.min(name).alias(name), salts_of())
+    return s.join(salted(low), [key, "_s"]).drop("_s")
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package's code, once per application, wherever the driver imported it from."""
     context = spark.sparkContext

@@ -5,28 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, with_minimum
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component`` (smallest node reachable) for every node of ``edges``.
 
-    Each round points nodes at the smallest neighbour known; minima are pre-aggregated before the shuffle and joins
-    split hot nodes, so a hub may hold any share of the edges. Rounds end when nothing changes, a logarithmic number.
+    Each round points nodes at the smallest neighbour known. A node's edges are dealt by salt wherever they meet its
+    minimum, so a hub may hold any share of the edges. Rounds end when nothing changes, a logarithmic number.
     """
     e = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = cut(e, "edges")
     before = None
     while True:
-        # large star: every larger neighbour of a node goes to the node's smallest neighbour
+        # large star: a node and its larger neighbours go to the smallest of the node and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.filter("m < u").select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-        # small star: every smaller neighbour of a node, and the node, go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
+        large = with_minimum(both, "u", "v", "m").select(F.greatest("u", "v").alias("u"), F.least("m", "u").alias("v")).filter("u > v").distinct()
+        # small star: a node and its smaller neighbours go to the smallest of them
+        small = with_minimum(large, "u", "v", "m").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         nxt = cut(small, "edges")
         mark = nxt.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         drop_cut(e)

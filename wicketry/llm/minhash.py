@@ -6,40 +6,37 @@ half the hash evaluations. Bands of signature values propose candidates; a link
 
 Groups are never expanded into all pairs. Equal shingle sets are one class. In a bucket, the class that shares the
 most buckets with others (the original of a family of copies, as a rule) is compared with the rest, as far as the number
-of shingles that any other candidate has allows a link at all; after links are joined into components, buckets whose classes are still in several components go another round with another such
-class among those not yet compared, and after ``ROUNDS`` rounds the classes outside a bucket's largest component
-are compared with all classes of other components in the bucket, in blocks, which leaves no pair of a bucket unchecked
-that could join two components.
+of shingles that any other candidate has allows a link at all. After links are joined into components, buckets whose
+classes are still in several components go another round with another such class among those not yet compared, and after
+``ROUNDS`` rounds the classes outside a bucket's largest component are compared with all classes of other components in
+the bucket, in blocks, which leaves no pair of a bucket unchecked that could join two components.
 
 Defined results: documents without words (null, empty or white space) have no shingles, are linked with nothing and
-kept; with fewer words than a shingle, the whole sequence is the only one; a repeated doc_id is one document; a row
-without a doc_id has no component and is kept; an empty table gives an empty result; further columns are ignored.
+kept; with fewer words than a shingle, the whole sequence is the only one; a repeated doc_id is one document, whose texts
+(if they differ) are linked; a row without a doc_id has no component and is kept; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, drop_cut, table
+from .common import cut, drop_cut, table
 from .components import components
+from .words import Words, buffer_of, groups, mixed, shingle_hashes
 
-WORDS = re.compile(WORD)
-#: White space that str.split() knows but WORD doesn't.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Signature: BANDS bands of ROWS values, half of them minima and half maxima. At similarity 0.8 a pair shares no band with chance (1 - 0.8**4)**32 < 1e-7.
 BANDS, ROWS = 32, 4
 ROUNDS = 2
-#: Sets in a block when the rest of a bucket is compared.
-BLOCK = 128
-#: Word hashes remembered by a worker; then it starts anew.
-REMEMBERED = 150_000
-_words: dict[str, int] = {}
+#: Sets, and shingles of all of them, in a block when the rest of a bucket is compared (at least one set).
+BLOCK, CELLS = 128, 1 << 17
 
 _rng = np.random.RandomState(20240607)
 MULT = _rng.randint(0, 2**31, BANDS * ROWS // 2, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -47,50 +44,17 @@ ADD = _rng.randint(0, 2**32, BANDS * ROWS // 2, dtype=np.int64).astype(np.uint32
 BAND_MULT = _rng.randint(0, 2**63, (BANDS, ROWS), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser, so that low and high bits depend on all bits."""
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def words_of(text: str) -> list[str]:
-    """The runs that WORD matches."""
-    return WORDS.findall(text) if OTHER_SPACE.search(text) else text.split()
-
-
-def lowered(text: str) -> str:
-    """A-Z in lower case, nothing else."""
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-
-
-def word_hashes(text: str) -> np.ndarray:
-    import xxhash
-
-    known, out = _words, []
-    if len(known) > REMEMBERED:
-        known.clear()
-    for w in words_of(lowered(text)):
-        h = known.get(w)
-        if h is None:
-            h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-            if len(w) <= 64:
-                known[w] = h
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
-
-
-def shingles(text: str | None, n_words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles."""
-    h = word_hashes(text) if text else np.empty(0, np.uint64)
-    if not len(h):
-        return h
-    n = min(n_words, len(h))
-    with np.errstate(over="ignore"):
-        s = np.zeros(len(h) - n + 1, np.uint64)
-        for k in range(n):
-            s = mixed(s * np.uint64(3) + h[k : len(h) - n + 1 + k] + np.uint64(n))
-    return np.unique(s)
+def text_sets(column: pa.Array, n_words: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word shingles; with fewer words, of the whole sequence."""
+    data, offsets = buffer_of(column)
+    for i, j in groups(offsets):
+        w = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        s = shingle_hashes(w.hash, n_words)
+        for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+            if z - a >= n_words:
+                yield np.unique(s[a : z - n_words + 1])
+            else:
+                yield shingle_hashes(w.hash[a:z], z - a)[: z > a]
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -113,31 +77,34 @@ def bands(s: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def features(docs: DataFrame, n_words: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the set) and the band keys of each document."""
+def set_key(s: np.ndarray) -> str | None:
+    """128 bits of a set; none for the empty one."""
+    import xxhash
+
+    return xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
 
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                s = shingles(text, n_words)
-                out.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), bands(s)) if len(s) else (0, None, None))
-            n, key, keys = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].values, "n_shingles": np.array(n, np.int64), "set_key": list(key), "bands": list(keys)})
+def features(docs: DataFrame, n_words: int) -> DataFrame:
+    """doc_id, n_shingles, set_key and the band keys of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(len(s), set_key(s), bands(s) if len(s) else None) for s in text_sets(batch.column("text"), n_words)]
+            n, key, keys = zip(*out, strict=True) if out else ((),) * 3
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>")
 
 
 def sets(docs: DataFrame, n_words: int) -> DataFrame:
-    """doc_id and the full shingle set (64-bit hashes)."""
+    """doc_id, set_key and the full shingle set (64-bit hashes)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].values, "shingles": [shingles(t, n_words).view(np.int64) for t in pdf["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(text_sets(batch.column("text"), n_words))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(set_key, found), pa.string()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["doc_id", "set_key", "shingles"])
 
-    return docs.mapInPandas(run, "doc_id bigint, shingles array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, set_key string, shingles array<bigint>")
 
 
 def unresolved(members: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -164,38 +131,40 @@ def incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
 def in_blocks(open_: DataFrame, asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The exact rest: classes outside a bucket's largest component against all classes of other components in the bucket.
 
-    Both sides of a bucket are dealt into blocks of about BLOCK sets; a pair of blocks is one row, whose intersections are
-    counted at once by a product of 0/1 matrices, and only true links come out.
+    Both sides of a bucket are dealt into blocks of about BLOCK sets and CELLS shingles. A pair of blocks is one group of its own,
+    wherever the bucket's other pairs are, so the work of a hot bucket is spread; ids are dealt first, sets fetched after.
+    Intersections are counted at once by a product of 0/1 matrices, and only true links come out.
     """
     count = open_.groupBy("key", "c").agg(F.count("*").alias("k"))
-    largest = count.groupBy("key").agg(F.max(F.struct("k", "c")).getField("c").alias("big"), F.sum("k").alias("m"))
-    mates = open_.join(largest, "key").select("key", "id", "c", "big", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)).alias("block"))
-    outside = mates.filter("c != big").join(asked, ["key", "id"], "left_anti")
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        full = df.join(sets, "id").select("key", "block", F.struct(F.col("c").cast("string").alias("c"), F.col("id").cast("string").alias("id"), "shingles").alias("x"))
-        return full.groupBy("key", "block").agg(F.collect_list("x").alias(name)).drop("block")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = []
-            for left, right in zip(pdf["left"], pdf["right"], strict=True):
-                s, t = ([np.sort(np.asarray(x["shingles"], np.int64)) for x in side] for side in (left, right))
-                both = np.intersect1d(np.concatenate(s), np.concatenate(t))
-                shared = np.zeros((len(s), len(t)), np.float32)
-                for at in range(0, len(both), 8192):
-                    some = both[at : at + 8192]
-                    shared += incidence(s, some) @ incidence(t, some).T
-                size = np.array([len(x) for x in s])[:, None] + np.array([len(x) for x in t])[None, :]
-                for i, j in np.argwhere(shared * (100 + percent) >= percent * size):
-                    if left[i]["c"] != right[j]["c"]:
-                        found.append((left[i]["id"], right[j]["id"]))
-            yield pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
-
-    kind = sets.schema["id"].dataType
-    rows = blocks(outside, "left").join(blocks(mates.join(outside.select("key").distinct(), "key", "left_semi"), "right"), "key").select("left", "right")
-    out = rows.mapInPandas(compare, "a string, b string").distinct()
-    return cut(out.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")), "links")
+    largest = count.groupBy("key").agg(F.max(F.struct("k", "c")).getField("c").alias("big"))
+    mates = open_.join(largest, "key").join(asked.withColumn("told", F.lit(True)), ["key", "id"], "left").select("key", "id", "c", "n", ((F.col("c") != F.col("big")) & F.col("told").isNull()).alias("outside"))
+    some = F.col("outside")
+    sizes = mates.groupBy("key").agg(
+        *(F.ceil(F.greatest(F.sum(F.when(w, 1).otherwise(0)) / BLOCK, F.sum(F.when(w, F.col("n")).otherwise(0)) / CELLS)).cast("int").alias(b) for w, b in ((some, "lefts"), (F.lit(True), "rights")))).filter("lefts > 0")
+    mates = cut(mates.join(sizes, "key"), "mates")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = mates.filter("outside").select("key", "id", "c", own("lefts").alias("i"), every("rights").alias("j"))
+    right = mates.select("key", "id", "c", every("lefts").alias("i"), own("rights").alias("j"))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        s, t = ([np.sort(np.asarray(x, np.int64)) for x in side["shingles"]] for side in (a, b))
+        both = np.intersect1d(np.concatenate(s), np.concatenate(t))
+        shared = np.zeros((len(s), len(t)), np.float32)
+        for at in range(0, len(both), 8192):
+            part = both[at : at + 8192]
+            shared += incidence(s, part) @ incidence(t, part).T
+        size = np.array([len(x) for x in s])[:, None] + np.array([len(x) for x in t])[None, :]
+        x, y = np.nonzero((shared * (100 + percent) >= percent * size) & (a["c"].to_numpy()[:, None] != b["c"].to_numpy()[None, :]))
+        return pd.DataFrame({"a": a["id"].to_numpy()[x], "b": b["id"].to_numpy()[y]}).drop_duplicates()
+
+    pair = ("key", "i", "j")
+    full = [df.join(sets, "id").select(*(F.col(p).alias(f"{side}_{p}") for p in pair), F.col("id").alias("id"), F.col("c").alias("c"), F.col("shingles").alias("shingles")).groupBy(*(f"{side}_{p}" for p in pair)) for df, side in ((left, "l"), (right, "r"))]
+    out = cut(full[0].cogroup(full[1]).applyInPandas(compare, "a bigint, b bigint").distinct(), "links")
+    drop_cut(mates)
+    return out
 
 
 def linked(members: DataFrame, fetch, percent: int) -> DataFrame | None:
@@ -219,10 +188,13 @@ def linked(members: DataFrame, fetch, percent: int) -> DataFrame | None:
     drop_cut(member)
     possible = (F.least("common", "p_common") * (100 + percent) >= percent * (F.col("n") + F.col("p_n"))) & (
         F.least("n", "p_n") * 100 >= percent * F.greatest("n", "p_n"))
-    links, label = None, None
+    drop_cut(central)
+    links, label = [], None
+    scratch = []
     asked = None  # (key, id) of the classes that were compared with their whole bucket
     for step in range(ROUNDS + 1):
         open_ = cut(unresolved(members, label), "open")
+        scratch.append(open_)
         if open_.isEmpty():
             break
         chosen = [F.col("id").alias("pivot"), F.col("n").alias("p_n"), F.col("common").alias("p_common"), F.col("c").alias("p_c")]
@@ -230,49 +202,60 @@ def linked(members: DataFrame, fetch, percent: int) -> DataFrame | None:
             left = open_ if asked is None else open_.join(asked, ["key", "id"], "left_anti")
             best = left.groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("neg"), "id", "n", "common", "c")).alias("p"))
             pivot = cut(best.select("key", "p.*").select("key", *chosen), "pivots")
+            scratch.append(pivot)
             done = pivot.select("key", F.col("pivot").alias("id"))
             asked = done if asked is None else asked.unionByName(done)
             pairs = open_.join(pivot, (open_.key == pivot.key) & (F.col("c") != F.col("p_c")) & possible)
         else:
-            links = in_blocks(open_, asked, sets, percent) if links is None else links.unionByName(in_blocks(open_, asked, sets, percent))
+            links.append(in_blocks(open_, asked, sets, percent))
             break
         pairs = cut(pairs.select("pivot", "id").distinct(), "pairs")
         one = pairs.join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("s")), "pivot")  # equal sets stay together and compress
         two = one.join(sets.select("id", F.col("shingles").alias("t")), "id")
         common = F.size(F.array_intersect("s", "t"))
         found = cut(two.filter(common * 100 >= percent * (F.size("s") + F.size("t") - common)).select(F.col("id").alias("a"), F.col("pivot").alias("b")), "links")
-        links = found if links is None else links.unionByName(found)
-        label = cut(components(links), "labels")
-    drop_cut(sets)
-    return links
+        drop_cut(pairs, label)
+        links.append(found)
+        label = cut(components(reduce(DataFrame.unionByName, links)), "labels")
+    out = cut(reduce(DataFrame.unionByName, links), "links") if links else None
+    drop_cut(sets, members, label, *scratch, *links)
+    return out
 
 
 def near_components(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     feats = cut(features(docs, n_words), "features")
     known = feats.filter("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    repeated = known.groupBy("doc_id").agg(F.min("set_key").alias("k1"), F.max("set_key").alias("k2")).filter("k1 != k2")
+    one_text = repeated.isEmpty()
+    # a node is a document; where a doc_id has several texts, it is a text, and a doc_id links its texts
+    node = F.col("doc_id") if one_text else F.xxhash64("doc_id", "set_key")
+    known = known.withColumn("node", node)
+    classes = known.groupBy("set_key").agg(F.min("node").alias("id"), F.first("bands").alias("bands"))
     member = classes.select("id", F.explode("bands").alias("key"))
 
     def fetch(ids: DataFrame) -> DataFrame:
-        """One shingle set of each document asked for, from its text."""
-        some = docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        return sets(some, n_words).withColumnRenamed("doc_id", "id").dropDuplicates(["id"])
+        """One shingle set of each class asked for, from the text of one of its documents."""
+        of = known.select("doc_id", "set_key", F.col("node").alias("id")).join(ids, "id", "left_semi").distinct()
+        some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(of.select("doc_id").distinct(), "doc_id", "left_semi")
+        return sets(some, n_words).join(of, ["doc_id", "set_key"]).select("id", "shingles").dropDuplicates(["id"])
 
     links = linked(member, fetch, percent)
-    label = None if links is None else components(links)
-    # all documents of a class, and all rows of a doc_id, belong together
-    same = known.join(classes.select("set_key", "id"), "set_key").filter("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    several = known.groupBy("doc_id").agg(F.min("set_key").alias("k1"), F.max("set_key").alias("k2")).filter("k1 != k2").isEmpty()
-    if several:  # one class a document: labels of classes serve all their documents
-        of = classes.select("set_key", "id") if label is None else classes.select("set_key", "id").join(
-            label.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("id"))
-        out = feats.join(of, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("component_id"))
-    else:
-        edges = same if links is None else links.unionByName(same)
-        out = feats.join(components(edges).withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # all documents of a class belong together, and all texts of a doc_id
+    edges = known.join(classes.select("set_key", "id"), "set_key").filter("node != id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    edges = edges if links is None else links.unionByName(edges)
+    if not one_text:
+        first = known.groupBy("doc_id").agg(F.min("node").alias("b"))
+        edges = edges.unionByName(known.join(first, "doc_id").select(F.col("node").alias("a"), "b"))
+    label = components(edges)
+    if not one_text:  # components are named by their smallest doc_id
+        of = known.join(label, "node").select("doc_id", "component")
+        label = of.join(of.groupBy("component").agg(F.min("doc_id").alias("low")), "component").select(F.col("doc_id").alias("node"), F.col("low").alias("component")).distinct()
+    out = feats.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = cut(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near")
+    drop_cut(feats, links)
+    return out
 
 
 def deduplicate(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:

@@ -1,226 +1,209 @@
 """Repeated paragraphs: MinHash banding, exact verification, removal by components.
 
-Borders of paragraphs depend on the words around them only, so a passage gives the same paragraphs after any lead. They are
-line ends, ends of sentences of at least ``N_WORDS`` words (shorter sentences belong to the next, at a line's end to the one
-before), and inside longer stretches each word whose hash, taken with the next word, is the least among ``REACH`` words
-before and after. Minima and maxima of two permutations of a paragraph's five-word shingles are four bands of one value: at
-similarity 0.8 a pair shares none with chance 0.2**4, and copies always share all. Paragraphs that collide are
-joined and their exact Jaccard similarity verified; equal paragraphs need no pairs. Of each connected component the first
-paragraph (smallest doc_id, then place) stays, all others go.
-
-Defined results: null and empty texts have no paragraphs; a paragraph below five words is one shingle, so
-only copies of it go; words are compared in lower case (A-Z); rows that repeat a doc_id are one document; rows without a
-doc_id are left out; an empty table gives an empty result; further columns are ignored.
+A paragraph is a stretch of words between borders that depend on the words around them only, so a passage gives the same
+paragraphs after any lead: a word begins one if its hash, taken with the next word, is the least among ``REACH`` words before
+and after (11 words a paragraph on average, 6 at least). Equal paragraphs are one class (128 bits of their shingles) before
+anything is compared. Minimum and maximum of a permutation of the five-word shingles make one band, ``BANDS`` permutations as
+many bands: at similarity 0.8 a pair shares none with chance below (1 - 0.8**2)**5 = 0.006, and copies always share all. Classes that
+collide are joined and their exact Jaccard similarity verified on full sets. Of each connected component the first
+paragraph (smallest doc_id, then place) stays, all others are repeated. Repeated paragraphs that follow each other are a
+passage, and passages of at least ``LEAST`` words go; shorter ones (a licence line, a greeting) stay.
+
+Defined results: null and empty texts have no paragraphs; nor has a text below ``LEAST`` words; words are compared in lower
+case (A-Z); rows that repeat a doc_id are one document and keep their common paragraphs; rows without a doc_id come after
+all others, as one document; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table, text_or_empty
+from .common import cut, doc_id, drop_cut, keyed, salt, salted, salts_of, table
 from .components import components
-from .minhash import OTHER_SPACE, linked, mixed, word_hashes
+from .minhash import linked
+from .words import Words, buffer_of, groups, mixed, shingle_hashes, sliding_min
 
 N_WORDS, PERCENT = 5, 80
-#: Words on both sides that a border inside a sentence depends on.
+#: Words on both sides that a border depends on.
 REACH = 5
-WORDS = re.compile(WORD)
-#: Sentence ends before white space, and line ends.
-BREAK = re.compile(r"[.!?](?=[\x20\x09-\x0D]|\Z)|\n")
-#: Documents whose bands are held at once.
-AT_ONCE = 2000
-SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-#: An id that orders by doc_id, then place, at any size of either.
-ID = "cast(doc_id as decimal(38,0)) * 4294967296 + idx"
-
-
-def units(text: str, h: np.ndarray) -> list[tuple[int, int]]:
-    """Paragraphs as (first word, end word), from a text and the hashes of its words."""
-    stretches, first, k, at, line = [], 0, 0, 0, 0
-    plain = not OTHER_SPACE.search(text)
-    for m in (*BREAK.finditer(text), None):
-        stop = len(text) if m is None else m.start() if m[0] == "\n" else m.end()
-        n = len(text[at:stop].split() if plain else WORDS.findall(text, at, stop))
-        k += n
-        ends = m is None or m[0] == "\n"
-        if k > first and (ends or n >= N_WORDS):
-            if n < N_WORDS and stretches and stretches[-1][0] >= line:  # short sentences at a line's end
-                first = stretches.pop()[0]
-            stretches.append((first, k))
-            first = k
-        at, line = stop, k if ends else line
-    if max((b - a for a, b in stretches), default=0) <= 2 * REACH + 1:
-        return stretches
-    # v[p] belongs to the words p and p + 1; a word with the least v of REACH neighbours on both sides begins a paragraph
-    with np.errstate(over="ignore"):
-        v = mixed(h[:-1] * np.uint64(3) + h[1:])
-    n = len(v) - 2 * REACH
-    here = v[REACH : REACH + n]
-    least = np.ones(n, bool)
-    for j in range(1, REACH + 1):
-        least &= (here < v[REACH - j : REACH - j + n]) & (here <= v[REACH + j : REACH + j + n])
-    starts = np.flatnonzero(least) + REACH
-    out = []
-    for a, b in stretches:
-        inner = starts[np.searchsorted(starts, a + REACH) : np.searchsorted(starts, b - 1 - REACH)].tolist() if b - a > 2 * REACH + 1 else ()
-        for p in inner:
-            out.append((a, p))
-            a = p
-        out.append((a, b))
+#: Words of the shortest passage that goes.
+LEAST = 15
+BANDS = 5
+SEEDS = np.random.RandomState(3).randint(0, 2**63, 2 * BANDS + 2, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Orders by doc_id, then place of the paragraph, at any size of either.
+PLACE = "(cast(d as decimal(38,0)) + 9223372036854775808) * 4294967296 + idx"
+
+
+class Units:
+    """The paragraphs of some texts: ``row``, ``idx`` in the text, first and end word, first and end byte; ``shingles`` by first word."""
+
+    def __init__(self, b: np.ndarray, offsets: np.ndarray):
+        w = Words(b, offsets)
+        n, counts = len(w.hash), w.counts
+        row = np.repeat(np.arange(len(counts)), counts)
+        first, last = w.first[:-1][row], w.first[1:][row]
+        begins = np.arange(n) == first
+        if n > 2 * REACH + 1:
+            with np.errstate(over="ignore"):
+                v = mixed(w.hash[:-1] * np.uint64(3) + w.hash[1:])
+            low = sliding_min(v, REACH)
+            p = np.arange(REACH, len(v) - REACH)
+            least = (v[p] < low[p - REACH]) & (v[p] <= low[p + 1])
+            begins[p] |= least & (p - first[p] >= REACH) & (p <= last[p] - 2 - REACH)
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], n)[: len(start)]
+        kept = counts[row[start]] >= LEAST
+        self.start, self.end = start[kept], end[kept]
+        self.row = row[self.start]
+        new = np.ones(len(self.row), bool)
+        new[1:] = self.row[1:] != self.row[:-1]
+        at = np.arange(len(self.row))
+        self.idx = at - np.maximum.accumulate(np.where(new, at, 0)) if len(at) else at
+        self.a, self.z = w.start[self.start] - offsets[self.row], (w.end[self.end - 1] if len(at) else at) - offsets[self.row]
+        self.shingles = shingle_hashes(w.hash, N_WORDS)
+
+    def folded(self, how: np.ufunc, values: np.ndarray) -> np.ndarray:
+        """``how`` over each paragraph's shingles."""
+        at = np.empty(2 * len(self.start), np.int64)
+        at[::2], at[1::2] = self.start, self.end - N_WORDS + 1
+        return how.reduceat(np.append(values, values[:1]), at)[::2] if len(at) else np.empty(0, np.uint64)
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit sums over the shingles: equal for equal paragraphs."""
+        with np.errstate(over="ignore"):
+            return tuple(self.folded(np.add, mixed(self.shingles * SEEDS[-k])) for k in (1, 2))
+
+    def bands(self) -> list[np.ndarray]:
+        out = []
+        with np.errstate(over="ignore"):
+            for j in range(BANDS):
+                p = mixed(self.shingles * SEEDS[2 * j] + SEEDS[2 * j + 1])
+                out.append(mixed(self.folded(np.minimum, p) * np.uint64(3) + self.folded(np.maximum, p) + np.uint64(j)))
+        return out
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, Units]]:
+    for batch in batches:
+        data, offsets = buffer_of(batch.column("text"))
+        for i, j in groups(offsets):
+            yield batch, i, j, Units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+
+
+def signed_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class, place and band keys of every paragraph."""
+    for batch, i, j, u in _units(batches):
+        c1, c2 = u.classes()
+        d = batch.column("d").slice(i, j - i).take(pa.array(u.row))
+        yield pa.RecordBatch.from_arrays([_signed(c1), _signed(c2), d, pa.array(u.idx.astype(np.int32)), *map(_signed, u.bands())], ["c1", "c2", "d", "idx", *(f"k{k}" for k in range(BANDS))])
+
+
+def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class and place of every paragraph, with its bytes and words."""
+    for batch, i, j, u in _units(batches):
+        c1, c2 = u.classes()
+        d, h = (batch.column(c).slice(i, j - i).take(pa.array(u.row)) for c in ("d", "h"))
+        ints = [pa.array(x.astype(np.int32)) for x in (u.idx, u.a, u.z, u.end - u.start)]
+        yield pa.RecordBatch.from_arrays([_signed(c1), _signed(c2), d, h, *ints], ["c1", "c2", "d", "h", "idx", "a", "z", "n"])
+
+
+def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The full shingle sets of the classes that are asked of each text."""
+    for batch, i, j, u in _units(batches):
+        asked = batch.column("asked")
+        c1, ids, sets = u.classes()[0].view(np.int64), [], []
+        at = np.searchsorted(u.row, np.arange(j - i + 1))
+        for k in range(i, j):
+            own = {int(c): int(x) for c, x in zip(c1[at[k - i] : at[k - i + 1]], range(at[k - i], at[k - i + 1]), strict=True)}
+            for x in asked[k].as_py():
+                if x["c1"] in own:
+                    q = own[x["c1"]]
+                    ids.append(x["id"])
+                    sets.append(np.unique(u.shingles[u.start[q] : u.end[q] - N_WORDS + 1].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+
+def repeated_paragraphs(docs: DataFrame) -> DataFrame:
+    """d, h, idx, a, z (bytes) and n (words) of every paragraph that repeats an earlier one; ``docs`` as common.keyed gives them."""
+    keys = [f"k{k}" for k in range(BANDS)]
+    found = docs.select("d", "text").mapInArrow(signed_bands, f"c1 bigint, c2 bigint, d bigint, idx int, {', '.join(f'{k} bigint' for k in keys)}")
+    each = found.withColumn("place", F.expr(PLACE)).withColumn("_s", salt("d"))
+    classes = each.groupBy("c1", "c2").agg(F.min("place").alias("place"), F.count("*").alias("copies"), salts_of(), *(F.min(k).alias(k) for k in keys))
+    classes = cut(classes.withColumn("id", F.xxhash64("c1", "c2")), "classes")
+    members = classes.select("id", F.explode(F.array(*keys)).alias("key"))
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        """One set of each class, from the text where it stands first."""
+        wanted = classes.select("id", "c1", "place").join(ids, "id", "left_semi")
+        d = F.expr("cast(floor(place / 4294967296) - 9223372036854775808 as bigint)")
+        asked = wanted.select(d.alias("d"), F.struct("c1", "id").alias("x")).groupBy("d").agg(F.collect_list("x").alias("asked"))
+        return docs.join(asked, "d").select("text", "asked").mapInArrow(shingle_sets, "id bigint, shingles array<bigint>").dropDuplicates(["id"])
+
+    links = linked(members, fetch, PERCENT)
+    several = classes.filter("copies > 1").select("id", "c1", "c2", "_salts", "place")
+    if links is None:
+        first = several.withColumn("first", F.col("place"))
+    else:
+        label = cut(components(links), "labels")
+        near = classes.join(label.withColumnRenamed("node", "id"), "id").select("id", "c1", "c2", "_salts", "place", "component")
+        low = near.groupBy("component").agg(F.min("place").alias("first"))
+        first = near.join(low, "component").select(*several.columns, "first").unionByName(several.join(label, several.id == label.node, "left_anti").withColumn("first", F.col("place")))
+    first = cut(salted(first.select("c1", "c2", "_salts", "first")), "firsts")
+    every = docs.mapInArrow(places, "c1 bigint, c2 bigint, d bigint, h bigint, idx int, a int, z int, n int").withColumn("_s", salt("d"))
+    gone = every.join(first, ["c1", "c2", "_s"]).filter(F.expr(PLACE) != F.col("first")).select("d", "h", "idx", "a", "z", "n")
+    out = cut(gone, "repeated")
+    drop_cut(classes, first, links)
     return out
 
 
-def shingled(text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Paragraphs as (i, j) whose shingles are s[i : j - N_WORDS + 1], and s: the hash of the shingle that starts at each word,
-    then one hash of each paragraph below N_WORDS words."""
-    h = word_hashes(text)
-    s = np.zeros(max(0, len(h) - N_WORDS + 1), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(N_WORDS):
-            s = mixed(s * np.uint64(3) + h[k : len(h) - N_WORDS + 1 + k] + np.uint64(k + 1)) if len(s) else s
-        out, short = [], []
-        for a, b in units(text, h):
-            if b - a < N_WORDS:
-                x = h[:1] * np.uint64(0) + np.uint64(b - a)
-                for k in range(a, b):
-                    x = mixed(x * np.uint64(5) + h[k : k + 1])
-                short.append(x)
-                a, b = len(s) + len(short) - 1, len(s) + len(short) - 1 + N_WORDS
-            out.append((a, b))
-    return out, np.concatenate([s, *short])
-
-
-def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each paragraph: four band keys and a hash of its shingles; equal paragraphs of a batch once, others as copies of it (kind 1)."""
-    for pdf in (b.iloc[at : at + AT_ONCE] for b in batches for at in range(0, len(b), AT_ONCE)):
-        parts = []
-        for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            us, s = shingled(text)
-            if not us:
-                continue
-            # shingles inside a paragraph: from its first word to its last start
-            at = np.array([x for u in us for x in (u[0], u[1] - N_WORDS + 1)])
-            keys = []
-            with np.errstate(over="ignore"):
-                padded = np.append(s, np.uint64(0))
-                for j, seed in enumerate(SEEDS):
-                    p = mixed(padded * seed + seed)
-                    keys.append(mixed(np.minimum.reduceat(p, at)[::2] + np.uint64(2 * j + 1)))
-                    keys.append(mixed(np.maximum.reduceat(p, at)[::2] + np.uint64(2 * j + 2)))
-                total = np.add.reduceat(mixed(padded + np.uint64(99)), at)[::2]
-            parts.append((np.stack(keys), total, np.full(len(us), doc, np.int64), np.arange(len(us))))
-        if not parts:
-            continue
-        keys = np.concatenate([p[0] for p in parts], axis=1).view(np.int64)
-        d = pd.DataFrame({"total": np.concatenate([p[1] for p in parts]).view(np.int64), "doc_id": np.concatenate([p[2] for p in parts]), "idx": np.concatenate([p[3] for p in parts])})
-        for j in range(4):
-            d[f"k{j}"] = keys[j]
-        d = d.sort_values(["k0", "total", "doc_id", "idx"], ignore_index=True)
-        new = np.ones(len(d), bool)
-        new[1:] = (d["k0"].to_numpy()[1:] != d["k0"].to_numpy()[:-1]) | (d["total"].to_numpy()[1:] != d["total"].to_numpy()[:-1])
-        first = d.iloc[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
-        d["first_doc"], d["first_idx"] = first["doc_id"].to_numpy(), first["idx"].to_numpy()
-        copies = d[~new].assign(kind=np.int8(1), band=np.int8(0))
-        copies["key"] = mixed(copies["doc_id"].to_numpy().view(np.uint64)).view(np.int64)
-        yield pd.concat([copies, *(d[new].assign(key=d[f"k{j}"], kind=np.int8(0), band=np.int8(j), first_doc=0, first_idx=0) for j in range(4))])[
-            ["key", "total", "doc_id", "idx", "band", "kind", "first_doc", "first_idx"]]
-
-
-def collide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted bands of a partition, as a stream: copies (kind 1, told in band 0 only) and members of buckets with different paragraphs (kind 2)."""
-    held: pd.DataFrame | None = None  # first row of the bucket at hand, first row of its last paragraph
-    told = False
-    for d in batches:
-        out = [d[d["kind"] == 1]]
-        d = d[d["kind"] == 0]
-        if len(d):
-            carried = held is not None
-            d = pd.concat([held, d], ignore_index=True) if carried else d.reset_index(drop=True)
-            k, t = d["key"].to_numpy(), d["total"].to_numpy()
-            new_k = np.ones(len(d), bool)
-            new_k[1:] = k[1:] != k[:-1]
-            new_t = new_k.copy()
-            new_t[1:] |= t[1:] != t[:-1]
-            starts, group = np.flatnonzero(new_k), np.cumsum(new_k) - 1
-            second = new_t & ~new_k
-            several = np.zeros(len(starts), bool)
-            several[group[second]] = True
-            pick = second.copy()
-            pick[starts[several]] = True
-            copy = ~new_t & (d["band"].to_numpy() == 0)
-            if carried:
-                pick[0], pick[1], copy[:2] = pick[0] and not told, False, False
-            place = np.maximum.accumulate(np.where(new_t, np.arange(len(d)), 0))
-            copies = d[copy].assign(kind=np.int8(1), first_doc=d["doc_id"].to_numpy()[place[copy]], first_idx=d["idx"].to_numpy()[place[copy]])
-            out += [copies[(copies["doc_id"] != copies["first_doc"]) | (copies["idx"] != copies["first_idx"])], d[pick].assign(kind=np.int8(2))]
-            told = bool(several[-1])
-            held = d.iloc[[starts[-1], np.flatnonzero(new_t)[-1]]]
-        yield pd.concat(out)[["key", "doc_id", "idx", "kind", "first_doc", "first_idx"]]
-
-
-def shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for doc, text, asked in zip(pdf["doc_id"], pdf["text"], pdf["asked"], strict=True):
-            us, s = shingled(text)
-            for i in sorted({int(a) for a in asked}):
-                if i < len(us):
-                    rows.append((doc, i, np.unique(s[us[i][0] : us[i][1] - N_WORDS + 1]).view(np.int64)))
-        yield pd.DataFrame(rows, columns=["doc_id", "idx", "shingles"])
-
-
-def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for text, gone in zip(pdf["text"], pdf["gone"], strict=True):
-            us = units(text, word_hashes(text))
-            numbers = sorted({int(g) for g in gone} if gone is not None else ())
-            words = [m.span() for m in WORDS.finditer(text)] if numbers else []
-            spans = [(words[us[i][0]][0], words[us[i][1] - 1][1]) for i in numbers if i < len(us)]
-            parts, at = [], 0
-            for a, b in spans:
-                parts.append(text[at:a])
-                at = b
-            kept = "".join(parts) + text[at:]
-            rows.append((len(us), len(spans), sum(b - a for a, b in spans), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), ",".join(f"{a}:{b}" for a, b in spans), kept))
-        out = pd.DataFrame(rows, columns=["n_paragraphs", "n_removed", "removed_chars", "kept_sha256", "spans", "kept"])
-        out.insert(0, "doc_id", pdf["doc_id"].values)
-        yield out
+def _passages(found: list[dict]) -> list[tuple[int, int]]:
+    """Bytes of runs of neighbouring paragraphs that have LEAST words together."""
+    out, run = [], []
+    for x in [*sorted(found, key=lambda x: x["idx"]), None]:
+        if run and (x is None or x["idx"] > run[-1]["idx"] + 1):
+            if sum(y["n"] for y in run) >= LEAST:
+                out.append((run[0]["a"], run[-1]["z"]))
+            run = []
+        if x is not None:
+            run.append(x)
+    return out
 
 
-def repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id and idx of every paragraph that repeats an earlier one."""
-    docs = docs.filter("doc_id is not null").select("doc_id", text_or_empty().alias("text"))
-    found = docs.mapInPandas(bands, "key bigint, total bigint, doc_id bigint, idx int, band tinyint, kind tinyint, first_doc bigint, first_idx int")
-    met = found.repartition("key").sortWithinPartitions("key", "total", "doc_id", "idx").mapInPandas(
-        collide, "key bigint, doc_id bigint, idx int, kind tinyint, first_doc bigint, first_idx int")
-    met = cut(met, "paragraphs")
-    members = met.filter("kind = 2").select("key", F.expr(ID).alias("id"))
-    asked = met.filter("kind = 2").select("doc_id", "idx").distinct().groupBy("doc_id").agg(F.collect_list("idx").alias("asked"))
-    sets = docs.join(asked, "doc_id").mapInPandas(shingle_sets, "doc_id bigint, idx int, shingles array<bigint>")
-    sets = sets.select(F.expr(ID).alias("id"), "shingles").dropDuplicates(["id"])
-    links = linked(members, lambda ids: sets.join(ids, "id", "left_semi"), PERCENT)
-    first = F.expr(ID.replace("doc_id", "first_doc").replace("idx", "first_idx"))
-    edges = met.filter("kind = 1").select(F.expr(ID).alias("a"), first.alias("b"))
-    groups = components(edges if links is None else edges.unionByName(links))
-    two32 = F.lit(4294967296).cast("decimal(38,0)")
-    doc = F.floor(F.col("node") / two32).cast("bigint")
-    return groups.filter("node != component").select(doc.alias("doc_id"), (F.pmod("node", two32)).cast("int").alias("idx"))
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = buffer_of(batch.column("text"))
+        whole, gone, rows = data.tobytes(), batch.column("gone"), []
+        has = gone.is_valid().to_numpy(zero_copy_only=False)
+        for k in range(len(batch)):
+            text = whole[offsets[k] : offsets[k + 1]]
+            spans = _passages(gone[k].as_py()) if has[k] else []
+            if not spans:
+                rows.append((0, 0, hashlib.sha256(text).hexdigest(), "", text))
+                continue
+            at = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)  # characters up to each byte
+            chars = [(int(at[a - 1]) if a else 0, int(at[z - 1])) for a, z in spans]
+            kept = b"".join(text[a:z] for (_, a), (z, _) in zip([(0, 0), *spans], [*spans, (len(text), 0)], strict=True))
+            rows.append((len(spans), sum(z - a for a, z in chars), hashlib.sha256(kept).hexdigest(), ",".join(f"{a}:{z}" for a, z in chars), kept))
+        n, size, digest, spans, kept = zip(*rows, strict=True) if rows else ((),) * 5
+        texts = pa.array(kept, pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, pa.string()), texts], ["d", "n_removed", "removed_chars", "kept_sha256", "spans", "kept"])
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, n_removed, removed_chars, kept_sha256, spans (characters, end exclusive) and the kept text."""
-    gone = repeated_paragraphs(docs).groupBy("doc_id").agg(F.collect_list("idx").alias("gone"))
-    whole = docs.filter("doc_id is not null").select("doc_id", text_or_empty().alias("text"))
-    return whole.join(gone, "doc_id", "left").mapInPandas(
-        _kept, "doc_id bigint, n_paragraphs bigint, n_removed bigint, removed_chars bigint, kept_sha256 string, spans string, kept string")
+    """doc_id, n_removed (passages), removed_chars, kept_sha256, spans (characters, end exclusive) and the kept text."""
+    whole = keyed(docs)
+    gone = repeated_paragraphs(whole).groupBy("d", "h").agg(F.collect_list(F.struct("idx", "a", "z", "n")).alias("gone"))
+    out = whole.join(gone, ["d", "h"], "left").select("d", "text", "gone").mapInArrow(_kept, "d bigint, n_removed bigint, removed_chars bigint, kept_sha256 string, spans string, kept string")
+    return out.select(doc_id(), "n_removed", "removed_chars", "kept_sha256", "spans", "kept")
 
 
 def op4_substring_dedup(spark, sf_dir):

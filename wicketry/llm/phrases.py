@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table, text_or_empty
-from .minhash import mixed
+from .words import mixed
 
 LENGTH, GRAM = 100, 32
 #: Bytes handled at once: bounds memory for texts of any length.
