@@ -69,6 +69,43 @@ def test_edited_texts_and_likeness(spark, odd, given):
     assert np.mean([r.near_edited for r in got]) > np.mean([r.near_next for r in got]) + 0.1
 
 
+def test_fingerprint_bits_and_radius_counts(spark, given):
+    """Every bit recomputed by plain votes; near fingerprints counted all with all."""
+    import xxhash
+
+    def fp(text):
+        words, votes = text.lower().split(), [0] * 64
+        for i in range(len(words)):
+            h = 42
+            for w in words[i : i + 3]:
+                h = xxhash.xxh64_intdigest(w.encode(), h)
+            for k in range(64):
+                votes[k] += 1 if h >> k & 1 else -1
+        return sum(1 << k for k in range(64) if votes[k] > 0)
+
+    rng = random.Random(4)
+    base = [rng.choice(WORDS) for _ in range(3000)]
+    rows = [(i * (1 << 40), " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 60)))) for i in range(-30, 30)]
+    rows += [(100 * i, " ".join([*base[: 40 * i], "changed", *base[40 * i + 1 :]])) for i in range(1, 30)] + [(None, "alpha"), (None, "bravo alpha")]
+    got = simhash.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {t: fp(t) for _, t in rows}
+    text = {i: t for i, t in rows if i is not None}
+    assert len(got) == len(rows)
+    counts = 0
+    for r in got:
+        if r.doc_id is not None:
+            own = want[text[r.doc_id]]
+            assert r.fingerprint == f"{own:016x}"
+            n = len({x for x in want.values() if x != own and (x ^ own).bit_count() <= 3}) if r.doc_id % 100 == 0 else None
+            assert r.n_within == n
+            counts += n or 0
+    assert counts > 10
+    order = [*sorted((i for i, _ in rows if i is not None), reverse=True)]
+    near = {r.doc_id: r.near_next for r in got}
+    for a, b in zip(order, order[1:], strict=False):
+        assert near[a] == 1 - (want[text[a]] ^ want[text[b]]).bit_count() / 64
+
+
 def test_equal_texts_equal_fingerprints(odd):
     f = {r.doc_id: r.fingerprint for r in simhash.edited_fingerprints(odd).collect()}
     assert f[5] == f[6] == f[10] and f[1] == f[2] == f[3] == "0" * 16 and f[5] != f[8]

@@ -1,13 +1,14 @@
 """BPE encoding and decoding by a streaming transducer with bounded lookahead.
 
-The tokenizer file gives vocabulary and merge list. ``Merges`` computes from them the longest token in symbols: every
-token of a tokenization ends within that many symbols of the one before, so a position whose token chain is shared by
-all chains that end in the last ``lookahead`` positions can no longer change. The transducer reads symbols one by one,
-keeps the chains of that window only, and emits a token as soon as it is shared, so memory is constant however
-long a word is. A word that ends inside the window is merged at once, and such words are remembered (bounded).
+The tokenizer file gives vocabulary and merge list. Two adjacent tokens are possible neighbours only if merging their joined
+symbols gives back just these two; the tokenization of a word is the one chain whose neighbours are all possible, so each
+prefix of a word has its own last token, found from the prefixes before it. From the merge list ``Merges`` computes the
+longest token in symbols, ``lookahead``: whatever follows, the next token begins at one of the last ``lookahead`` prefixes.
+The transducer reads symbols one by one, keeps the chains of these prefixes only, and emits a token once all of them share
+it, so memory is constant however long a word is. Every word goes through it; results of short words are remembered (bounded).
 
-Two adjacent tokens are possible neighbours only if merging their joined symbols gives back just these two; a
-tokenization is the one chain whose neighbours are all possible, which is what lets each prefix be extended alone.
+Ids leave in batches of ``FLUSH``: each batch is decoded by the state machine ``Decoder`` (what it holds between batches is
+the bytes of an unfinished character, or whether a token came before), and both digests are fed as it goes.
 
 Defined results: null and empty texts have no tokens and decode to an empty text; texts are encoded whole; repeated rows
 give equal results; a null doc_id is kept; an empty table gives an empty result; further columns are ignored.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,8 +28,16 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-#: Words remembered by each worker; then it starts anew.
-REMEMBERED = 250_000
+from .common import SPACE, table
+
+#: Words, prefixes and pairs of tokens remembered by each worker; then it starts anew.
+REMEMBERED = 400_000
+#: Ids held before they are decoded and hashed.
+FLUSH = 4096
+#: Characters read at once, up to the next white space.
+STRETCH, BLANK = 1 << 16, re.compile(SPACE)
+#: Symbols of prefixes that are remembered; what joins symbols or tokens to keys.
+SHORT, SEAM = 12, "\n"
 
 
 def byte_symbols() -> list[str]:
@@ -50,7 +60,13 @@ class Merges:
             a, b = pair if isinstance(pair, (list, tuple)) else pair.split(" ")
             self.rank.setdefault((a, b), r)
         self.lookahead = max([1, *(self.symbols(a) + self.symbols(b) for a, b in self.rank)])
-        self._pairs: dict[tuple[str, str], bool] = {}
+        made = {a + b for a, b in self.rank}
+        #: Ends of tokens: what no token ends with can't be the beginning of a longer one read backwards.
+        self.ends = {t[k:] for t in made for k in range(len(t))}
+        self.made = made
+        self._pairs: dict[str, bool] = {}
+        self.root = (None, None)
+        self._nodes: dict[str, tuple] = {}
         self._whole: dict[str, bool] = {}
 
     def symbols(self, token: str) -> int:
@@ -78,65 +94,92 @@ class Merges:
         return parts
 
     def whole(self, token: str) -> bool:
-        """Whether merging a token's symbols gives the token."""
+        """Whether a token can be made, and merging its symbols gives it."""
         known = self._whole.get(token)
         if known is None:
-            known = self._whole[token] = len(self.merged(self.split(token))) == 1
+            if len(self._whole) > REMEMBERED:
+                self._whole.clear()
+            known = self._whole[token] = token in self.made and len(self.merged(self.split(token))) == 1
         return known
 
     def neighbours(self, a: str, b: str) -> bool:
-        known = self._pairs.get((a, b))
+        known = self._pairs.get(a + SEAM + b)
         if known is None:
             if len(self._pairs) > REMEMBERED:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self.merged(self.split(a) + self.split(b)) == [a, b]
+            known = self._pairs[a + SEAM + b] = self.merged(self.split(a) + self.split(b)) == [a, b]
         return known
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of one word, each as soon as no later symbol can change it.
 
-        Nodes are prefixes: (token that ends there, node before it). ``window`` has the last ``lookahead`` nodes.
+        A node is a prefix: (token that ends there, node before it). ``nodes`` has those of the last ``lookahead`` prefixes.
+        Prefixes of at most SHORT symbols are the same for all words that share them and are remembered (bounded).
         """
-        root = (None, None)
-        window, recent, emitted, last = [root], [], root, None
+        root = self.root
+        nodes, recent, emitted, prefix = [root], [], root, ""
+        ends, whole, pairs, most, known_nodes = self.ends, self._whole, self._pairs, self.lookahead, self._nodes
+        if len(known_nodes) > REMEMBERED:
+            known_nodes.clear()
         for s in symbols:
             recent.append(s)
-            del recent[: -self.lookahead]
             node = None
-            for size in range(min(len(recent), len(window), self.lookahead), 0, -1):
-                before, token = window[-size], "".join(recent[-size:])
-                if before is not None and (size == 1 or token in self.vocab and self.whole(token)) and (before[0] is None or self.neighbours(before[0], token)):
-                    node = (token, before)
+            if len(recent) <= SHORT and len(prefix) <= 4 * SHORT:
+                prefix += s if len(s) == 1 else s + SEAM
+                node = known_nodes.get(prefix)
+                if node is not None:
+                    nodes.append(node)
+                    continue
+            token = ""
+            for size in range(1, min(len(recent), len(nodes)) + 1):
+                token = recent[-size] + token
+                if size > 1 and token not in ends:
                     break
-            window.append(node)
-            del window[: -self.lookahead - 1]
-            last = node
-            if len(window) > self.lookahead:
-                # walk all live chains back; what they share beyond the last emitted node is stable
-                chains = []
-                for live in window:
-                    chain, n = [], live
-                    while n is not None and n is not emitted and n is not root:
-                        chain.append(n)
-                        n = n[1]
-                    if live is not None:
-                        chains.append(chain[::-1])
-                k = 0
-                while all(len(c) > k + 1 for c in chains) and len({id(c[k]) for c in chains}) == 1:
-                    yield chains[0][k][0]
-                    emitted = chains[0][k]
-                    k += 1
-        rest, n = [], last
-        while n is not None and n is not emitted and n is not root:
-            rest.append(n[0])
-            n = n[1]
-        yield from reversed(rest)
+                before = nodes[-size]
+                if before is None:
+                    continue
+                if size > 1:
+                    good = whole.get(token)
+                    if good is None:
+                        good = self.whole(token)
+                    if not good:
+                        continue
+                last = before[0]
+                if last is not None:
+                    good = pairs.get(last + SEAM + token)
+                    if good is None:
+                        good = self.neighbours(last, token)
+                    if not good:
+                        continue
+                node = (token, before)
+                if len(recent) <= SHORT:
+                    known_nodes[prefix] = node
+                break
+            nodes.append(node)
+            if len(nodes) > 2 * most:
+                del nodes[: -most - 1], recent[:-most]
+                live = [n for n in nodes if n is not None]
+                chains = [self.chain(n, emitted) for n in live]
+                shared = 0
+                while all(len(c) > shared for c in chains) and len({id(c[shared]) for c in chains}) == 1:
+                    yield chains[0][shared][0]
+                    emitted = chains[0][shared]
+                    shared += 1
+        for n in self.chain(nodes[-1], emitted):
+            yield n[0]
+
+    @staticmethod
+    def chain(node, emitted) -> list:
+        """Nodes after ``emitted`` up to ``node``."""
+        out = []
+        while node is not emitted and node is not None and node[1] is not None:
+            out.append(node)
+            node = node[1]
+        return out[::-1]
 
     def tokens(self, body: str) -> list[str]:
         """Tokens of a word given as its symbols without the end mark."""
-        if len(body) <= 2 * self.lookahead:  # the word ends inside the window
-            return self.merged([*body[:-1], body[-1] + self.end])
-        return list(self.stream(c + self.end if i == len(body) - 1 else c for i, c in enumerate(body)))
+        return list(self.stream([*body[:-1], body[-1] + self.end]))
 
 
 class Tokenizer:
@@ -155,7 +198,8 @@ class Tokenizer:
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes = byte_symbols()
         self.decoder = (spec.get("decoder") or {}).get("type")
-        self._known: dict[str, tuple[int, str, str]] = {}
+        self.shown = {i: str(i) for i in self.names}
+        self._known: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
     def _steps(spec: dict | None) -> list[str]:
@@ -168,48 +212,70 @@ class Tokenizer:
             text = text.replace("Σ", "σ").lower()  # each character by itself: no final sigma
         return text
 
-    def _word(self, word: str) -> tuple[int, str, str]:
+    def _word(self, word: str) -> tuple[int, ...]:
         body = "".join(map(self.bytes.__getitem__, word.encode()))
-        tokens = [t for t in self.merges.tokens(body) if t in self.merges.vocab]
-        found = len(tokens), " ".join(str(self.merges.vocab[t]) for t in tokens), " ".join(tokens)
+        vocab = self.merges.vocab
+        found = tuple(vocab[t] for t in self.merges.tokens(body) if t in vocab)
         if len(word) <= 64:
             if len(self._known) > REMEMBERED:
                 self._known.clear()
             self._known[word] = found
         return found
 
-    def pieces(self, text: str) -> Iterator[tuple[int, str, str]]:
-        """Of each word or special token: number of tokens, ids, token names (joined by a space)."""
-        known = self._known
-        for part in self.marks.split(text) if self.marks and self.marks.search(text) else (text,):
-            if part in self.special:
-                yield 1, str(self.special[part]), part
-            elif part:
-                for w in self.words.findall(self.normal(part)):
-                    yield known.get(w) or self._word(w)
+    def pieces(self, text: str) -> Iterator[tuple[int, ...]]:
+        """Ids of each word or special token; neither crosses white space, so long texts are read in stretches that end there."""
+        known, at = self._known, 0
+        while at < len(text):
+            m = BLANK.search(text, at + STRETCH) if len(text) - at > STRETCH else None
+            end = m.end() if m else len(text)
+            stretch = text[at:end]
+            at = end
+            for part in self.marks.split(stretch) if self.marks and self.marks.search(stretch) else (stretch,):
+                if part in self.special:
+                    yield (self.special[part],)
+                elif part:
+                    for w in self.words.findall(self.normal(part)):
+                        ids = known.get(w)
+                        yield self._word(w) if ids is None else ids
+
+    def batches(self, text: str) -> Iterator[list[int]]:
+        """The text's ids, in lists of about FLUSH."""
+        held: list[int] = []
+        for ids in self.pieces(text):
+            held += ids
+            if len(held) >= FLUSH:
+                yield held
+                held = []
+        if held:
+            yield held
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split()]
+        return [i for ids in self.batches(text) for i in ids]
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join(decode_stream(self, ids))
-
-
-def decode_stream(tok: Tokenizer, ids: Iterable[int]) -> Iterator[str]:
-    """Text of a stream of ids, piece by piece. Without a decoder in the file, token names stand with a space between;
-    with the byte-level decoder, bytes go through an incremental UTF-8 machine that holds at most three bytes."""
-    if tok.decoder != "ByteLevel":
-        first = True
-        for i in ids:
-            if i in tok.names:
-                yield tok.names[i] if first else " " + tok.names[i]
-                first = False
-        return
-    value = {c: b for b, c in enumerate(tok.bytes)}
-    machine = codecs.getincrementaldecoder("utf-8")("replace")
-    for i in ids:
-        yield machine.decode(bytes(value[c] for c in tok.names.get(i, "") if c in value))
-    yield machine.decode(b"", True)
+        machine = Decoder(self)
+        return machine.feed(ids) + machine.end()
+
+
+class Decoder:
+    """Ids to text, batch by batch. Without a decoder in the file, token names stand with a space between; with the byte-level
+    decoder, bytes go through an incremental UTF-8 machine that holds at most three bytes. Unknown ids have no text."""
+
+    def __init__(self, tok: Tokenizer):
+        self.names, self.begun = tok.names, False
+        self.value = {c: b for b, c in enumerate(tok.bytes)} if tok.decoder == "ByteLevel" else None
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: Iterable[int]) -> str:
+        names, value = self.names, self.value
+        if value is not None:
+            return self.machine.decode(bytes(value[c] for i in ids for c in names.get(i, "") if c in value))
+        found = [names[i] for i in ids if i in names]
+        begun, self.begun = self.begun, self.begun or bool(found)
+        return (" " if begun and found else "") + " ".join(found)
+
+    def end(self) -> str:
+        return self.machine.decode(b"", True) if self.value is not None else ""
 
 
 @lru_cache(maxsize=4)
@@ -229,17 +295,17 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = load(path)
+        shown = tok.shown
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
-                got = list(tok.pieces(text)) if text else []
-                got = [g for g in got if g[0]]
-                ids = " ".join([g[1] for g in got])
-                if tok.decoder is None:
-                    decoded = " ".join([g[2] for g in got])
-                else:
-                    decoded = tok.decode(map(int, ids.split()))
-                rows.append((sum([g[0] for g in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                n, ids_digest, text_digest, machine = 0, hashlib.sha256(), hashlib.sha256(), Decoder(tok)
+                for ids in tok.batches(text) if text else ():
+                    ids_digest.update(((" " if n else "") + " ".join([shown[i] for i in ids])).encode())
+                    text_digest.update(machine.feed(ids).encode())
+                    n += len(ids)
+                text_digest.update(machine.end().encode())
+                rows.append((n, ids_digest.hexdigest(), text_digest.hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", pdf["doc_id"].values)
             yield out
@@ -261,6 +327,4 @@ def encode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op6_bpe(spark, sf_dir):
-    from .common import table
-
     return encode_decode(table(spark, sf_dir, "documents"))

@@ -142,27 +142,31 @@ def in_blocks(open_: DataFrame, asked: DataFrame, sets: DataFrame, percent: int)
     sizes = mates.groupBy("key").agg(
         *(F.ceil(F.greatest(F.sum(F.when(w, 1).otherwise(0)) / BLOCK, F.sum(F.when(w, F.col("n")).otherwise(0)) / CELLS)).cast("int").alias(b) for w, b in ((some, "lefts"), (F.lit(True), "rights")))).filter("lefts > 0")
     mates = cut(mates.join(sizes, "key"), "mates")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = mates.filter("outside").select("key", "id", "c", own("lefts").alias("i"), every("rights").alias("j"))
-    right = mates.select("key", "id", "c", every("lefts").alias("i"), own("rights").alias("j"))
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        s, t = ([np.sort(np.asarray(x, np.int64)) for x in side["shingles"]] for side in (a, b))
-        both = np.intersect1d(np.concatenate(s), np.concatenate(t))
-        shared = np.zeros((len(s), len(t)), np.float32)
-        for at in range(0, len(both), 8192):
-            part = both[at : at + 8192]
-            shared += incidence(s, part) @ incidence(t, part).T
-        size = np.array([len(x) for x in s])[:, None] + np.array([len(x) for x in t])[None, :]
-        x, y = np.nonzero((shared * (100 + percent) >= percent * size) & (a["c"].to_numpy()[:, None] != b["c"].to_numpy()[None, :]))
-        return pd.DataFrame({"a": a["id"].to_numpy()[x], "b": b["id"].to_numpy()[y]}).drop_duplicates()
-
-    pair = ("key", "i", "j")
-    full = [df.join(sets, "id").select(*(F.col(p).alias(f"{side}_{p}") for p in pair), F.col("id").alias("id"), F.col("c").alias("c"), F.col("shingles").alias("shingles")).groupBy(*(f"{side}_{p}" for p in pair)) for df, side in ((left, "l"), (right, "r"))]
-    out = cut(full[0].cogroup(full[1]).applyInPandas(compare, "a bigint, b bigint").distinct(), "links")
+
+    def blocks(df: DataFrame, name: str, place: str, number: str, others: str, other: str) -> DataFrame:
+        """One row for each block of a side and each block of the other side that it meets."""
+        full = df.withColumn(place, own(number)).join(sets, "id").withColumn("x", F.struct("c", "id", "shingles"))
+        full = full.groupBy("key", place).agg(F.collect_list("x").alias(name), F.first(others).alias(others))  # bounded by BLOCK and CELLS
+        return full.select("key", place, name, F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})]
+            for left, right in zip(pdf["left"], pdf["right"], strict=True):
+                (s, ids, c), (t, others, e) = (([np.sort(np.asarray(x["shingles"], np.int64)) for x in side], *(np.array([x[k] for x in side], np.int64) for k in ("id", "c"))) for side in (left, right))
+                both = np.intersect1d(np.concatenate(s), np.concatenate(t))
+                shared = np.zeros((len(s), len(t)), np.float32)
+                for at in range(0, len(both), 8192):
+                    part = both[at : at + 8192]
+                    shared += incidence(s, part) @ incidence(t, part).T
+                size = np.array([len(x) for x in s])[:, None] + np.array([len(x) for x in t])[None, :]
+                x, y = np.nonzero((shared * (100 + percent) >= percent * size) & (c[:, None] != e[None, :]))
+                found.append(pd.DataFrame({"a": ids[x], "b": others[y]}))
+            yield pd.concat(found).drop_duplicates()
+
+    pairs = blocks(mates.filter("outside"), "left", "i", "lefts", "rights", "j").join(blocks(mates, "right", "j", "rights", "lefts", "i"), ["key", "i", "j"])
+    out = cut(pairs.select("left", "right").mapInPandas(compare, "a bigint, b bigint").distinct(), "links")
     drop_cut(mates)
     return out
 

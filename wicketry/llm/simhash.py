@@ -5,10 +5,13 @@ bits, so its weight is its frequency. All of it is DataFrame functions: the vote
 64-bit sum (32-bit lanes), so a term costs 32 additions inside generated code and counts stay exact up to
 2**31 terms a text.
 
+The order of documents is found in blocks of neighbouring ids; a block's next one comes from a range-partitioned sort of the
+block numbers, of which only each partition's first is carried further, so no task sees all blocks.
+
 Defined results: a null text counts as empty; a text without words has fingerprint 0; a text with fewer words
-than ``n_words`` gets the shorter runs it has; equal texts get equal fingerprints; rows without a doc_id have no
-place in the order of documents and are left out; repeated rows are fingerprinted each; ties of doc_id are
-ordered by text hash; an empty table gives an empty result; further columns are ignored.
+than ``n_words`` gets the shorter runs it has; equal texts get equal fingerprints; rows without a doc_id come after all
+others; ties of doc_id (few rows of one id are expected) and rows without one are ordered by text hash, descending; repeated
+rows are fingerprinted each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +21,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, text_or_empty
+from .common import SPACE, cut, drop_cut, table, text_or_empty
 
-#: Ids per block of the order of documents: no window ever holds more distinct ids than this.
-BLOCK = 256
-#: Blocks per group when blocks are linked to each other.
-GROUP = 4096
+#: A block of the order of documents has 2**BLOCK_BITS neighbouring ids.
+BLOCK_BITS = 8
+#: Searched radius, in bits, and blocks that must agree in a table.
+RADIUS, KEY_BLOCKS = 3, 3
+#: Documents whose id is divisible by this are the queries of the radius search.
+EVERY = 100
 LANES = 0x0000000100000001
 
 
@@ -62,12 +67,14 @@ def hexed(fp: Column) -> Column:
 
 def block_links(blocks: DataFrame) -> DataFrame:
     """``blk`` and ``below``: each block's next lower block; the lowest is followed by the highest."""
-    group = blocks.distinct().withColumn("grp", F.floor(F.col("blk") / GROUP))
-    inside = group.withColumn("below", F.lead("blk").over(Window.partitionBy("grp").orderBy(F.desc("blk"))))
-    order = Window.orderBy(F.desc("grp"))  # one row per GROUP * BLOCK ids
-    tops = group.groupBy("grp").agg(F.max("blk").alias("top")).select(
-        "grp", F.coalesce(F.lead("top").over(order), F.max("top").over(Window.partitionBy())).alias("next_top"))
-    return inside.join(tops, "grp").select("blk", F.coalesce("below", "next_top").alias("below"))
+    ordered = cut(blocks.distinct().repartitionByRange(F.desc("blk")).withColumn("part", F.spark_partition_id()), "blocks")
+    inside = ordered.withColumn("below", F.lead("blk").over(Window.partitionBy("part").orderBy(F.desc("blk"))))
+    # one row for each partition
+    tops = ordered.groupBy("part").agg(F.max("blk").alias("top")).withColumns(
+        {"next_top": F.coalesce(F.lead("top").over(Window.orderBy("part")), F.max("top").over(Window.partitionBy()))}).select("part", "next_top")
+    links = cut(inside.join(tops, "part").select("blk", F.coalesce("below", "next_top").alias("below")), "links")
+    drop_cut(ordered)
+    return links
 
 
 def with_next(rows: DataFrame, links: DataFrame, value: str, order: list[Column]) -> DataFrame:
@@ -82,10 +89,10 @@ def with_next(rows: DataFrame, links: DataFrame, value: str, order: list[Column]
 
 def edited_fingerprints(docs: DataFrame, n_words: int = 3) -> DataFrame:
     """Fingerprints of each text and of its edited text (its second half replaced by the next document's beginning)."""
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(
-        "doc_id", text_or_empty().alias("text"), F.floor(F.col("doc_id") / BLOCK).alias("blk"))
+    number = F.when(F.col("doc_id").isNotNull(), F.shiftright("doc_id", BLOCK_BITS)).otherwise(F.lit(-(1 << 61)) + F.shiftright("h", 4))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("h", F.xxhash64("text")).withColumn("blk", number)
     links = block_links(rows.select("blk"))
-    own = with_next(rows, links, "text", [F.desc("doc_id"), F.xxhash64("text"), F.col("text")])
+    own = with_next(rows, links, "text", [F.desc_nulls_last("doc_id"), F.desc("h"), F.desc("text")])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_value"), F.lit(1), half))
@@ -98,43 +105,46 @@ def edited_fingerprints(docs: DataFrame, n_words: int = 3) -> DataFrame:
     wide = marks.groupBy(*keys[:-1]).agg(
         F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited_fp"))
     wide = cut(wide.withColumnRenamed("rn", "place"), "simhash")
+    asked = F.coalesce(F.col("doc_id") % EVERY == 0, F.lit(False))
+    near = within_radius(wide.filter(asked), wide).filter("distance > 0").groupBy("query_fp").agg(F.count("*").alias("n"))
+    queries = wide.filter(asked).join(near, F.col("fp") == F.col("query_fp"), "left").select(*wide.columns, F.coalesce("n", F.lit(0)).alias("n_within"))
+    wide = queries.unionByName(wide.filter(~asked).withColumn("n_within", F.lit(None).cast("bigint")))
     seq = with_next(wide, links, "fp", [F.col("place")])
     return seq.select(
         "doc_id", "n_chars", "edited_sha256", hexed(F.col("fp")).alias("fingerprint"), hexed(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_value")).alias("near_next"))
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_value")).alias("near_next"), "n_within")
 
 
-def block_keys(fp: Column, radius: int, key_blocks: int) -> list[Column]:
-    """One key for each permuted table: of ``radius + key_blocks`` blocks, every choice of ``key_blocks`` leads once.
+def block_masks(radius: int, key_blocks: int) -> list[int]:
+    """Bits that must agree, for each permuted table: of ``radius + key_blocks`` blocks, every choice of ``key_blocks`` leads once.
 
     Two fingerprints within ``radius`` differ in at most ``radius`` blocks, so they agree on some choice.
     """
     n = radius + key_blocks
     edges = [64 * i // n for i in range(n + 1)]
-    keys = []
-    for t, chosen in enumerate(combinations(range(n), key_blocks)):
-        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
-        mask -= 1 << 64 if mask >> 63 else 0
-        keys.append(F.xxhash64(F.lit(t), fp.bitwiseAND(F.lit(mask))))
-    return keys
+    masks = (sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in combinations(range(n), key_blocks))
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3, key_blocks: int = 3) -> DataFrame:
+def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS, key_blocks: int = KEY_BLOCKS) -> DataFrame:
     """Distinct fingerprints of ``index`` within ``radius`` of each distinct fingerprint of ``queries`` (column ``fp``).
 
     Returns query_fp, fp, distance: pairs of distinct fingerprints, so copies never multiply; members are found by
-    joining on the fingerprint. Null fingerprints take no part.
+    joining on the fingerprint. A pair is told by the first table in which it agrees. Null fingerprints take no part.
     """
-    def tables(df: DataFrame, name: str) -> DataFrame:
+    masks = block_masks(radius, key_blocks)
+
+    def tables(df: DataFrame, name: str, number: str) -> DataFrame:
         one = df.filter(F.col("fp").isNotNull()).select(F.col("fp").alias(name)).distinct()
-        return one.select(name, F.explode(F.array(*block_keys(F.col(name), radius, key_blocks))).alias("key"))
+        keys = F.array(*(F.struct(F.lit(t).alias("t"), F.col(name).bitwiseAND(F.lit(m)).alias("bits")) for t, m in enumerate(masks)))
+        return one.select(name, F.explode(keys).alias("k")).select(name, F.col("k.t").alias(number), F.xxhash64("k.t", "k.bits").alias("key"))
 
-    q, i = tables(queries, "query_fp"), tables(index, "fp")
-    distance = F.bit_count(F.col("query_fp").bitwiseXOR(F.col("fp")))
-    return (q.join(i, "key").filter(distance <= radius).select("query_fp", "fp", distance.cast("int").alias("distance")).distinct())
+    q, i = tables(queries, "query_fp", "t"), tables(index, "fp", "index_t")
+    differ = F.col("query_fp").bitwiseXOR(F.col("fp"))
+    distance = F.bit_count(differ)
+    first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m)) == 0, t) for t, m in enumerate(masks)))
+    return q.join(i, (q.key == i.key) & (distance <= radius) & (F.col("t") == F.col("index_t")) & (first == F.col("t"))).select("query_fp", "fp", distance.cast("int").alias("distance"))
 
 
 def op1_fingerprints(spark, sf_dir):
-    from .common import table
-
     return edited_fingerprints(table(spark, sf_dir, "documents"))
