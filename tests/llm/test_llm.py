@@ -358,20 +358,58 @@ def brute_strings(rows):
 
 
 def test_repeated_strings_equal_brute_force(spark, given, odd):
+    """Also with texts whose triggers are shared by many phrases, in several ranges and parts."""
     periodic = spark.createDataFrame([(1, "ab" * 300), (2, "a" * 250), (6, "é" * 120), (7, "é" * 120), (8, "ab" * 90), (0, "a" * 500 + "q" + "a" * 130)], "doc_id long, text string")
     for df in (periodic, odd, small(spark, given, 200)):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in phrases.suffix_dedup(df).collect()}
         assert got == brute_strings(rows_of(df))
 
 
+def test_hot_triggers_are_split_without_loss(spark, monkeypatch):
+    """One line in every document, with other texts around it, shared in parts: many phrases of few triggers, many small ranges and parts."""
+    common.ship(spark)
+    monkeypatch.setattr(phrases, "PART", 2000)
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, ends = text(90), [text(40) for _ in range(12)]
+    rows = [(i, f"{text(60)}{rng.choice(ends)}{line}{rng.choice(ends)}{text(60)}") for i in range(150)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in phrases.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(9)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == brute_strings(rows)
+
+
+def test_texts_without_or_with_equal_doc_ids_are_kept_apart(spark):
+    """Strings are judged by (doc_id, text): equal rows are one document; other texts of the doc_id, and rows without one, are documents of their own."""
+    common.ship(spark)
+    rng = random.Random(13)
+    t = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3)]
+    rows = [(5, t[0]), (5, t[0]), (5, t[1]), (9, t[1] + t[2]), (None, t[2] + "z"), (None, None)]
+    got = [(r.doc_id, r.n_bytes, r.n_removed) for r in phrases.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(5, 300, 0), (5, 300, 0), (5, 300, 0), (9, 600, 300), (None, 301, 300), (None, 0, 0)], key=str)
+
+
+def test_suffix_ranks_are_exact():
+    rng = np.random.RandomState(2)
+    b = rng.randint(0, 2, 3000).astype(np.uint8)
+    b[1000:1400] = b[200:600]
+    starts = np.arange(len(b) - 99)
+    want = {s: i for i, s in enumerate(sorted({b[i : i + 100].tobytes() for i in starts}))}
+    assert [want[b[i : i + 100].tobytes()] for i in starts] == phrases.ranks(b, starts).tolist()
+
+
 def test_chunks_of_long_texts(spark, monkeypatch):
     rng = random.Random(4)
     t = "".join(rng.choice("ab") for _ in range(5000))
-    rows = [(1, t), (2, t[700:2900] + "x" + t[:300])]
+    texts = [t, t[700:2900] + "x" + t[:300]]
     monkeypatch.setattr(phrases, "CHUNK", 1024)
-    d = phrases.phrases(np.array([1, 2]), [x.encode() for _, x in rows])
-    starts = {(r.doc_id, p) for r in d.itertuples() for p in range(r.p, r.p + r.n)}
-    assert starts == {(i, p) for i, x in rows for p in range(len(x) - 99)}
+    starts = {(r, q) for _, _, row, p, n in phrases.phrases(*words.buffer_of(pa.array(texts))) for r, a, k in zip(row, p, n, strict=True) for q in range(a, a + k)}
+    assert starts == {(i, p) for i, x in enumerate(texts) for p in range(len(x) - 99)}
 
 
 # licences
