@@ -5,9 +5,10 @@ computed in two steps: sums by key range (``bins`` ranges a source, pre-aggregat
 task holds a source, however large it is. A source's target is cut exactly: whole epochs, then the documents below the
 rest of the budget, the last of them in part.
 
-Defined results: a null text has size 0; the null source is a source of its own, after the others; null doc_ids order
-by text like the others; a source without words has target 0; an empty table gives an empty result; repeated rows are
-ordered next to each other and each is taken for itself.
+Defined results: a null text has size 0; the null source is a source of its own, after the others; a row without a doc_id is
+ordered by its text; rows of one doc_id are ordered by size, then text; a source without words has target 0; an empty table
+gives an empty result; repeated rows are ordered next to each other and each is taken for itself; columns of the names that
+are added are replaced, others pass as they are.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_or_empty
+from .common import WORD, cut, table, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -48,21 +49,22 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, cap:
     return s.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("w") * F.col("level")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, cap: float = CAP, seed: str = "mix") -> DataFrame:
-    """``docs`` with size, source_size, target and taken; needs doc_id, text, source."""
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = docs.withColumns({"size": n_words(text_or_empty()), "key": key, "bin": F.substring(key, 1, BIN_DIGITS)})
-    return _cut_budgets(rows, weights, share, cap)
+def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """``_row`` (all columns of a row) and what the mix needs of it: source, size, hash-random key, range of the key, tie-break."""
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text_or_empty())))
+    rows = docs.select(F.struct("*").alias("_row"), "source", "doc_id", n_words(text_or_empty()).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), ident)).alias("key"), F.xxhash64(text_or_empty()).alias("tie"))
+    return rows.withColumn("bin", F.substring("key", 1, BIN_DIGITS))
 
 
-def _cut_budgets(rows: DataFrame, weights, share, cap) -> DataFrame:
+def mixed(rows: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, cap: float = CAP) -> DataFrame:
+    """``_row``, size, source_size, target and taken, from rows as ``sized`` gives them."""
     ranges = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     plan = targets(ranges.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, cap)
     before = F.coalesce(F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = ranges.withColumn("before", before)
     offsets = offsets.join(plan, offsets.source.eqNullSafe(plan.source)).select(
         offsets.source.alias("_source"), F.col("bin").alias("_bin"), "before", "source_size", "target")
-    order = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.withColumn("_own", F.coalesce(F.sum("size").over(order), F.lit(0)))
     joined = inside.join(offsets, inside.source.eqNullSafe(offsets._source) & (inside.bin == offsets._bin))
     budget = F.floor(F.col("target")).cast("bigint")
@@ -70,19 +72,26 @@ def _cut_budgets(rows: DataFrame, weights, share, cap) -> DataFrame:
     epochs = F.when(some, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
     rest = F.when(some, budget % F.col("source_size")).otherwise(F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("_own")))
-    return joined.withColumn("taken", (epochs * F.col("size") + part).cast("bigint")).drop("_source", "_bin", "_own", "before", "key", "bin")
+    return joined.select("_row", "size", "source_size", "target", (epochs * F.col("size") + part).cast("bigint").alias("taken"))
 
 
-def op7_mixing(spark, sf_dir):
-    from .common import table
+ADDED = ("size", "source_size", "target", "taken")
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, cap: float = CAP, seed: str = "mix") -> DataFrame:
+    """``docs`` with size, source_size, target and taken; needs doc_id, text, source."""
+    return mixed(sized(docs.drop(*ADDED), seed), weights, share, cap).select("_row.*", *ADDED)
+
+
+def op7_mixing(spark, sf_dir):
+    rows = sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    rows = cut(rows.withColumn("_row", F.struct("doc_id")), "sizes")  # texts are read once
+    return mixed(rows).select("_row.doc_id", *ADDED)
 
 
 OP7_SQL = r"""
 WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key FROM documents),
+                  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS key FROM documents),
 g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
 n AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w, source_size * 3.0::DOUBLE AS most FROM g),
 f AS (SELECT *, sum(source_size) OVER () AS total,

@@ -1,8 +1,9 @@
 """Personal data: fixed patterns as seeds, and contextual patterns bootstrapped from them.
 
 Seeds are emails, IP addresses, payment cards and phone numbers found by fixed patterns. Every identifier-like stretch of
-a text (one with a digit or an @), seed or not, is an instance; the words around it (two before; one before and one after)
-are its lexical patterns. Spark scores the graph of patterns and instances round by round: a pattern's confidence for
+a text, seed or not, is an instance: a run between white space with a digit or an @, or a group of neighbouring runs of digits
+and their punctuation (7 to 19 digits together). The words around it (two before; one before and one after) are its lexical
+patterns; a word is what stands between white space, and what is glued to the instance's left up to a digit or an @. Spark scores the graph of patterns and instances round by round: a pattern's confidence for
 a kind is the summed score of its instances over their number, an instance's score is the noisy-or of its accepted
 patterns; patterns with enough support and confidence are accepted, and what they find supports others in the next
 round. Instances of accepted patterns that no seed covers are the spans that the method adds.
@@ -25,13 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import cut, drop_cut, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS = 3.0, 0.6, 3
-#: Characters looked at on either side for context words.
-CONTEXT = 80
-
 _LOCAL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 EMAIL_HERE = re.compile(_LOCAL)
 EMAIL_NEXT = re.compile(r"(?<![A-Za-z0-9._%+-])" + _LOCAL)
@@ -40,7 +38,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 MARK = re.compile(r"[0-9@]")
-SPACE = re.compile(r"\s")
+CHUNK = re.compile(r"\S+")
+DIGITS = re.compile(r"[+(]*[0-9][0-9().,-]*")
 EDGES = "\"'.,;:!?()[]{}<>#$%&*"
 
 
@@ -81,16 +80,27 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
 
 
 def stretches(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Identifier-like stretches without the seeds: whole chunks between white space, without outer punctuation."""
-    out, at = [], 0
+    """Identifier-like stretches without the seeds: chunks between white space, or groups of digit chunks, without outer punctuation."""
+    out, chunks = [], []
+    for m in CHUNK.finditer(text):
+        if MARK.search(m[0]):
+            chunks.append(m.span())
+    groups, k = [], 0
+    while k < len(chunks):
+        last = k
+        if DIGITS.fullmatch(text, *chunks[k]):
+            while last + 1 < len(chunks) and chunks[last + 1][0] == chunks[last][1] + 1 and DIGITS.fullmatch(text, *chunks[last + 1]):
+                last += 1
+            n = sum(c.isdigit() for a, b in chunks[k : last + 1] for c in text[a:b])
+            if last > k and 7 <= n <= 19:
+                groups.append((chunks[k][0], chunks[last][1]))
+            else:
+                groups += chunks[k : last + 1]
+        else:
+            groups.append(chunks[k])
+        k = last + 1
     starts, ends = [a for a, _, _ in found], list(accumulate((b for _, _, b in found), max))
-    while m := MARK.search(text, at):
-        start = m.start()
-        while start > 0 and not text[start - 1].isspace():
-            start -= 1
-        stop = SPACE.search(text, m.end())
-        end = stop.start() if stop else len(text)
-        at = end
+    for start, end in groups:
         while start < end and text[start] in EDGES:
             start += 1
         while end > start and text[end - 1] in EDGES:
@@ -101,11 +111,37 @@ def stretches(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    before = text[max(0, start - CONTEXT) : start].lower().split()
-    after = text[end : end + CONTEXT].lower().split()
-    left, right = before[-1] if before else "^", after[0] if after else "$"
-    return [f"2 {before[-2] if len(before) > 1 else '^'} {left}", f"1 {left} | {right}"]
+def token(word: str) -> str:
+    """A context word; long ones by their hash."""
+    word = word.lower()
+    return word if len(word) <= 64 else f"#{number(word):x}"
+
+
+def number(text: str) -> int:
+    """A signed 64-bit hash."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+class Contexts:
+    """Context words of stretches of one text."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.spans = [m.span() for m in CHUNK.finditer(text)]
+        self.starts = [a for a, _ in self.spans]
+
+    def of(self, start: int, end: int) -> list[str]:
+        text, k = self.text, bisect_left(self.starts, start + 1) - 1  # the chunk that holds the start
+        at = start
+        while at > self.starts[k] and text[at - 1] not in "0123456789@":
+            at -= 1
+        before = [token(text[at:start])] if at < start else []
+        for a, b in reversed(self.spans[max(0, k - 2) : k]):
+            before.append(token(text[a:b]))
+        last = bisect_left(self.starts, end) - 1  # the chunk that holds the end
+        after = [token(text[a:b]) for a, b in self.spans[last + 1 : last + 2]]
+        left, right = before[0] if before else "^", after[0] if after else "$"
+        return [f"2 {before[1] if len(before) > 1 else '^'} {left}", f"1 {left} | {right}"]
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -116,7 +152,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
             rows = []
             for text in pdf["text"]:
                 found = seeds(text)
-                near = [{"start": a, "end": b, "kind": k, "instance": text[a:b].lower(), "patterns": contexts(text, a, b)} for a, k, b in sorted(found + stretches(text, found))]
+                all_ = sorted(found + stretches(text, found)) if MARK.search(text) else []
+                around = Contexts(text) if all_ else None
+                near = [{"start": a, "end": b, "kind": k, "instance": number(text[a:b].lower()), "patterns": around.of(a, b)} for a, k, b in all_]
                 kinds = [k for _, k, _ in found]
                 rows.append((shown(found), *map(kinds.count, range(4)), near))
             out = pd.DataFrame(rows, columns=["base", *(f"n_{k}" for k in KINDS), "near"])
@@ -125,7 +163,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             yield out
 
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("hash", F.xxhash64("text"))
-    near = "array<struct<start:int,end:int,kind:int,instance:string,patterns:array<string>>>"
+    near = "array<struct<start:int,end:int,kind:int,instance:bigint,patterns:array<string>>>"
     return rows.mapInPandas(run, f"doc_id bigint, hash bigint, base string, {', '.join(f'n_{k} bigint' for k in KINDS)}, near {near}")
 
 
@@ -134,17 +172,20 @@ def accepted_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     Every round is an aggregation and a join on patterns or instances; hot patterns are pre-aggregated.
     """
-    sizes = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("size"))
+    edges = cut(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("size"))
     seeded = edges.filter("kind >= 0").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
     # only patterns that could reach the support at all
-    known, found = seeded, None
-    links = edges.select("pattern", "instance").distinct()
+    known, found, scratch = seeded, None, [edges]
+    links = edges.select("pattern", "instance")
     for _ in range(rounds):
         votes = links.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("support")).filter(F.col("support") >= MIN_SUPPORT)
         conf = F.col("support") / (F.col("size") + 1)
         found = cut(votes.join(sizes, "pattern").select("pattern", "kind", conf.alias("confidence")).filter(conf >= MIN_CONFIDENCE), "patterns")
         new = links.join(found, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
         known = cut(seeded.unionByName(new).groupBy("instance", "kind").agg(F.max("score").alias("score")), "instances")
+        scratch += [found, known]
+    drop_cut(*(x for x in scratch if x is not found))
     return found
 
 

@@ -5,8 +5,10 @@ A text's terms are its distinct words (letters only, lower case) and their begin
 weight each, and a vector of ``RANK`` factors whose inner products score every pair of terms present, so a pair such
 as an insult with a mention of a group can count for more than its parts.
 
-The model is fitted on a bounded sample of the labelled training rows (``SAMPLE`` expected, chosen by hash of the id);
-scoring reads every whole text and needs no shuffle. Rows whose ``crc32(doc_id as text) mod 5`` is 0 are held out.
+The model is fitted on a bounded sample of the labelled training rows (``SAMPLE`` expected, chosen by hash of the id), which
+is written once and read from there; scoring reads every whole text and needs no shuffle. Rows whose
+``crc32(doc_id as text) mod 5`` is 0 are held out: neither terms nor weights nor the settings below come from them. The
+settings were chosen by ``cross_validated`` on folds of the training rows.
 
 Defined results: null and empty texts have no terms and get the score of the bias; rows without a doc_id are scored too
 (held_out null); repeated rows get equal scores; without labels of both kinds the score is the share of label 1 (0.0
@@ -21,16 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import table, text_or_empty
+from .common import cut, drop_cut, table, text_or_empty
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
 BUCKETS = 1 << 20
 FEATURES = 1024
 RANK = 8
+EPOCHS, DECAY = 25, 2e-4
 #: Labelled rows that the model is fitted on, at most in expectation.
 SAMPLE = 20_000
 REMEMBERED = 100_000
@@ -88,11 +93,11 @@ def selected_terms(sample: DataFrame, features: int = FEATURES) -> np.ndarray:
 class Model:
     """Bias, weights and factors of the selected terms."""
 
-    def __init__(self, terms: np.ndarray, bias: float):
+    def __init__(self, terms: np.ndarray, bias: float, rank: int = RANK):
         rng = np.random.RandomState(5)
         self.terms, self.bias = terms, bias
         self.w = np.zeros(len(terms))
-        self.v = rng.normal(0, 0.02, (len(terms), RANK))
+        self.v = rng.normal(0, 0.02, (len(terms), rank))
         self.place = {int(t): i for i, t in enumerate(terms)}
         self._words: dict[str, tuple[int, ...]] = {}
 
@@ -119,7 +124,9 @@ class Model:
         row = np.repeat(np.arange(len(sizes)), sizes)
         linear = np.bincount(row, self.w[flat], len(sizes))
         v = self.v[flat]
-        total = np.stack([np.bincount(row, v[:, k], len(sizes)) for k in range(RANK)], 1)
+        total = np.zeros((len(sizes), v.shape[1]))
+        for k in range(v.shape[1]):
+            total[:, k] = np.bincount(row, v[:, k], len(sizes))
         square = np.bincount(row, (v * v).sum(1), len(sizes))
         return self.bias + linear + 0.5 * ((total * total).sum(1) - square), total
 
@@ -128,7 +135,7 @@ class Model:
         flat = np.concatenate(rows) if len(rows) and sizes.sum() else np.empty(0, np.int64)
         return 1 / (1 + np.exp(-np.clip(self.raw(flat, sizes)[0], -30, 30)))
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 512, rate: float = 0.03, decay: float = 2e-4) -> None:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, batch: int = 512, rate: float = 0.03, decay: float = DECAY) -> None:
         """Adam on the logistic loss, with L2 decay of weights and factors."""
         rng = np.random.RandomState(11)
         state = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.w, self.v, np.zeros(1))]
@@ -145,7 +152,9 @@ class Model:
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 gw = np.bincount(flat, err[row], len(self.w)) + decay * self.w
                 each = err[row, None] * (total[row] - self.v[flat])
-                gv = np.stack([np.bincount(flat, each[:, k], len(self.w)) for k in range(RANK)], 1) + decay * self.v
+                gv = decay * self.v
+                for k in range(self.v.shape[1]):
+                    gv[:, k] += np.bincount(flat, each[:, k], len(self.w))
                 gb = np.array([err.sum()])
                 step += 1
                 for p, g, (m, s) in zip((self.w, self.v, None), (gw, gv, gb), state, strict=True):
@@ -159,18 +168,21 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = training_sample(docs, labels, sample)
-    terms = selected_terms(rows)
-    if not len(terms):
-        share = rows.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
-        return Model(terms, float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))))
-    model = Model(terms, 0.0)
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"f": [model.features(t) for t in pdf["text"]], "y": (pdf["toxic"] > 0).astype(int).values})
-
-    got = rows.mapInPandas(find, "f array<bigint>, y int").toPandas()  # the bounded sample's selected terms
+    rows = cut(training_sample(docs, labels, sample), "sample")
+    try:
+        terms = selected_terms(rows)
+        if not len(terms):
+            share = rows.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
+            return Model(terms, float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))))
+        model = Model(terms, 0.0)
+
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({"f": [model.features(t) for t in pdf["text"]], "y": (pdf["toxic"] > 0).astype(int).values})
+
+        got = rows.mapInPandas(find, "f array<bigint>, y int").toPandas()  # the bounded sample's selected terms
+    finally:
+        drop_cut(rows)
     got["k"] = [tuple(f) for f in got["f"]]
     got = got.sort_values(["y", "k"], ignore_index=True)  # the same model whatever order the rows come in
     y = got["y"].to_numpy(float)
@@ -180,16 +192,57 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` and ``score``, ``predicted`` (1 if score >= 0.5)."""
-    names, schema = docs.columns, docs.schema.simpleString()[7:-1]
+def cross_validated(texts: list[str], y: np.ndarray, settings: list[dict], folds: int = 4) -> list[tuple[dict, float, float]]:
+    """Of each setting (features, rank, decay): log loss and area under the curve on folds of the given training rows.
+
+    Terms are selected and the model is fitted without the fold at hand; ``rank`` 0 is the linear model on the same terms.
+    """
+    y, found = np.asarray(y, float), [sorted(text_terms(t)) for t in texts]
+    fold = np.array([zlib.crc32(t.encode()) % folds for t in texts])  # copies of a text stay together
+    out = []
+    for s in settings:
+        scores = np.zeros(len(y))
+        for k in range(folds):
+            inside = fold != k
+            seen = np.zeros((2, BUCKETS), np.int32)
+            for f, label in zip((found[i] for i in np.flatnonzero(inside)), y[inside], strict=True):
+                seen[int(label), f] += 1
+            neg, pos = seen.astype(float)
+            n1 = y[inside].sum()
+            n0 = inside.sum() - n1
+            share = (pos + neg) / (n0 + n1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                g = sum(np.nan_to_num(a * np.log(a / b), nan=0.0, neginf=0.0) for a, b in ((pos, share * n1), (neg, share * n0), (n1 - pos, (1 - share) * n1), (n0 - neg, (1 - share) * n0)))
+            g[pos + neg < 4] = 0
+            terms = np.sort(np.argsort(-g, kind="stable")[: s.get("features", FEATURES)])
+            place = {int(t): i for i, t in enumerate(terms)}
+            rows = [np.array([place[t] for t in f if t in place], np.int64) for f in found]
+            model = Model(terms, float(np.log(n1 / n0)), s.get("rank", RANK))
+            model.fit([rows[i] for i in np.flatnonzero(inside)], y[inside], decay=s.get("decay", DECAY))
+            scores[~inside] = model.scores([rows[i] for i in np.flatnonzero(~inside)])
+        p = np.clip(scores, 1e-9, 1 - 1e-9)
+        order = scores.argsort(kind="stable").argsort(kind="stable") + 1
+        area = (order[y > 0].sum() - (y > 0).sum() * ((y > 0).sum() + 1) / 2) / ((y > 0).sum() * (y == 0).sum())
+        out.append((s, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()), float(area)))
+    return out
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``_row`` (all columns of a row), ``_score`` and ``_predicted`` (1 if the score is 0.5 or more); columns of any name pass as they are."""
+    rows = docs.select(F.struct("*").alias("_row"), text_or_empty().alias("_text"))
+    schema = StructType([rows.schema["_row"], StructField("_score", DoubleType()), StructField("_predicted", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = model.scores([model.features(t) for t in batch.column("_text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["_row", "_score", "_predicted"])
+
+    return rows.mapInArrow(run, schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            s = model.scores([model.features(t) for t in pdf["text"]])
-            yield pdf.assign(score=s, predicted=(s >= 0.5).astype(np.int32))[[*names, "score", "predicted"]]
 
-    return docs.mapInPandas(run, f"{schema}, score double, predicted int")
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` and ``score``, ``predicted``, which replace columns of these names."""
+    return scored(docs.drop("score", "predicted"), model).select("_row.*", F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
 def op9_toxicity(spark, sf_dir):
