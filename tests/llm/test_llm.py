@@ -400,7 +400,7 @@ def test_suffix_ranks_are_exact():
     b[1000:1400] = b[200:600]
     starts = np.arange(len(b) - 99)
     want = {s: i for i, s in enumerate(sorted({b[i : i + 100].tobytes() for i in starts}))}
-    assert [want[b[i : i + 100].tobytes()] for i in starts] == phrases.ranks(b, starts).tolist()
+    assert [want[b[i : i + 100].tobytes()] for i in starts] == np.unique(phrases.ranks(b, starts), return_inverse=True)[1].tolist()
 
 
 def test_chunks_of_long_texts(spark, monkeypatch):

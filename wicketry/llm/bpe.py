@@ -110,27 +110,18 @@ class Merges:
             known = self._pairs[a + SEAM + b] = self.merged(self.split(a) + self.split(b)) == [a, b]
         return known
 
-    def stream(self, symbols: Iterable[str]) -> Iterator[str]:
+    def stream(self, symbols: Iterable[str], prefix: str = "") -> Iterator[str]:
         """Tokens of one word, each as soon as no later symbol can change it.
 
         A node is a prefix: (token that ends there, node before it). ``nodes`` has those of the last ``lookahead`` prefixes.
-        Prefixes of at most SHORT symbols are the same for all words that share them and are remembered (bounded).
+        The nodes of prefixes of at most SHORT symbols are remembered (bounded), as they are the same for all words that share
+        them; ``prefix`` is one of them, which the word begins with and ``symbols`` goes on from.
         """
-        root = self.root
-        nodes, recent, emitted, prefix = [root], [], root, ""
+        nodes, recent, emitted = list(self._nodes[prefix]) if prefix else [self.root], list(prefix), self.root
         ends, whole, pairs, most, known_nodes = self.ends, self._whole, self._pairs, self.lookahead, self._nodes
-        if len(known_nodes) > REMEMBERED:
-            known_nodes.clear()
         for s in symbols:
             recent.append(s)
-            node = None
-            if len(recent) <= SHORT and len(prefix) <= 4 * SHORT:
-                prefix += s if len(s) == 1 else s + SEAM
-                node = known_nodes.get(prefix)
-                if node is not None:
-                    nodes.append(node)
-                    continue
-            token = ""
+            node, token = None, ""
             for size in range(1, min(len(recent), len(nodes)) + 1):
                 token = recent[-size] + token
                 if size > 1 and token not in ends:
@@ -152,11 +143,11 @@ class Merges:
                     if not good:
                         continue
                 node = (token, before)
-                if len(recent) <= SHORT:
-                    known_nodes[prefix] = node
                 break
             nodes.append(node)
-            if len(nodes) > 2 * most:
+            if len(recent) <= SHORT and len(s) == 1:
+                known_nodes["".join(recent)] = tuple(nodes)
+            elif len(nodes) > 2 * most:
                 del nodes[: -most - 1], recent[:-most]
                 live = [n for n in nodes if n is not None]
                 chains = [self.chain(n, emitted) for n in live]
@@ -179,7 +170,15 @@ class Merges:
 
     def tokens(self, body: str) -> list[str]:
         """Tokens of a word given as its symbols without the end mark."""
-        return list(self.stream([*body[:-1], body[-1] + self.end]))
+        known = self._nodes
+        if len(known) > REMEMBERED:
+            known.clear()
+        n = min(SHORT, len(body) - 1)
+        while n and body[:n] not in known:
+            n -= 1
+        rest = list(body[n:])
+        rest[-1] += self.end
+        return list(self.stream(rest, body[:n]))
 
 
 class Tokenizer:

@@ -8,8 +8,8 @@ dictionary is the set of distinct phrases, the parse is where they occur.
 * The parse: occurrences are range-sorted by trigger and content. A phrase that occurred before repeats each of its
   strings: all its bytes go.
 * The dictionary: only phrases that share their trigger with a different phrase can share a part of their strings. Suffixes
-  of these phrases are put in order of their first 100 bytes by prefix doubling (ranks of 8, 16, 32, 64 and 100 bytes, exact
-  on bytes); suffixes of equal rank are equal strings, of which all but the first place go.
+  of these phrases are put in order of their first 100 bytes by prefix doubling (ranks of 8, 16, 32 and 100 bytes, exact on
+  bytes); suffixes of equal rank are equal strings, of which all but the first place go.
 
 As phrases overlap by 99 bytes, each string lies in one phrase, so the parse needs no order beyond first places. Phrases of a
 hot trigger are spread over ranges by their content. What a batch repeats is told at once and merged into stretches; what is
@@ -37,7 +37,7 @@ LENGTH, GRAM = 100, 32
 #: Bytes handled at once: bounds memory for texts of any length.
 CHUNK = 1 << 19
 #: Bytes of a trigger's phrases that one task orders at once, about.
-PART = 1 << 21
+PART = 1 << 18
 LOW = np.uint64((1 << 20) - 1)
 
 _rng = np.random.RandomState(77)
@@ -240,17 +240,27 @@ def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ranks(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Rank of the 100 bytes at each start in the order of the suffixes of ``b``, by prefix doubling."""
-    n = len(b)
-    v = np.zeros(n, np.uint64)
+    """Keys of the 100 bytes at each start, in the order of the suffixes of ``b`` and equal for equal bytes, by prefix doubling.
+
+    As in suffix sorting, what the first 32 bytes tell apart is settled and not sorted further.
+    """
+    n = np.int64(len(b) + 1)
+    v = np.zeros(len(b), np.uint64)
     padded = np.concatenate([b, np.zeros(8, np.uint8)]).astype(np.uint64)
     for k in range(8):
-        v = (v << np.uint64(8)) | padded[k : k + n]
+        v = (v << np.uint64(8)) | padded[k : k + len(b)]
     r, have = np.unique(v, return_inverse=True)[1].astype(np.int64), 8
-    while have * 2 <= 64:
+    while have < 32:
         ahead = np.concatenate([r[have:], np.zeros(have, np.int64)])
-        r, have = np.unique(r * np.int64(n + 1) + ahead, return_inverse=True)[1].astype(np.int64), have * 2
-    return np.unique(r[starts] * np.int64(n + 1) + r[starts + LENGTH - have], return_inverse=True)[1]
+        r, have = np.unique(r * n + ahead, return_inverse=True)[1].astype(np.int64), have * 2
+    key = r[starts]
+    open_ = np.bincount(key)[key] > 1
+    s = starts[open_]
+    more = np.unique(r[s + 32] * n + r[s + 64], return_inverse=True)[1].astype(np.int64)
+    more = np.unique(more * n + r[s + LENGTH - 32], return_inverse=True)[1].astype(np.int64)
+    key = key * n
+    key[open_] += more
+    return key
 
 
 class Dictionary:
