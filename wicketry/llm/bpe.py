@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 
 from .common import SPACE, table
 
-#: Words, prefixes and pairs of tokens remembered by each worker; then it starts anew.
-REMEMBERED = 400_000
+#: Words and pairs of tokens, and prefixes, remembered by each worker; then it starts anew.
+REMEMBERED, PREFIXES = 200_000, 100_000
 #: Ids held before they are decoded and hashed.
 FLUSH = 4096
 #: Characters read at once, up to the next white space.
 STRETCH, BLANK = 1 << 16, re.compile(SPACE)
 #: Symbols of prefixes that are remembered; what joins symbols or tokens to keys.
-SHORT, SEAM = 12, "\n"
+SHORT, SEAM = 10, "\n"
 
 
 def byte_symbols() -> list[str]:
@@ -171,7 +171,7 @@ class Merges:
     def tokens(self, body: str) -> list[str]:
         """Tokens of a word given as its symbols without the end mark."""
         known = self._nodes
-        if len(known) > REMEMBERED:
+        if len(known) > PREFIXES:
             known.clear()
         n = min(SHORT, len(body) - 1)
         while n and body[:n] not in known:
