@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import SPACE, table
 
 #: Words and pairs of tokens, and prefixes, remembered by each worker; then it starts anew.
-REMEMBERED, PREFIXES = 200_000, 100_000
+REMEMBERED, PREFIXES = 150_000, 100_000
 #: Ids held before they are decoded and hashed.
 FLUSH = 4096
 #: Characters read at once, up to the next white space.
@@ -64,6 +64,11 @@ class Merges:
         #: Ends of tokens: what no token ends with can't be the beginning of a longer one read backwards.
         self.ends = {t[k:] for t in made for k in range(len(t))}
         self.made = made
+        #: The pair that makes each token; an empty one where several do.
+        self.parts: dict[str, tuple] = {}
+        for pair in self.rank:
+            self.parts[pair[0] + pair[1]] = () if pair[0] + pair[1] in self.parts else pair
+        self._spines: dict[tuple[str, int], list | None] = {}
         self._pairs: dict[str, bool] = {}
         self.root = (None, None)
         self._nodes: dict[str, tuple] = {}
@@ -102,14 +107,50 @@ class Merges:
             known = self._whole[token] = token in self.made and len(self.merged(self.split(token))) == 1
         return known
 
+    def spine(self, token: str, side: int) -> list[tuple[str, float]] | None:
+        """The pieces of a token at its right (side 1) or left (0) border, from the symbol up, each with the rank of the merge that ends it; None if its making isn't plain."""
+        known = self._spines.get((token, side), False)
+        if known is False:
+            out, piece, rank = [], token, float("inf")
+            while piece is not None:
+                out.append((piece, rank))
+                pair = self.parts.get(piece)
+                if pair is None:
+                    known = out[::-1] if self.symbols(piece) == 1 else None
+                    break
+                if pair == () or self.rank[pair] > rank:
+                    known = None
+                    break
+                rank, piece = self.rank[pair], pair[side]
+            self._spines[token, side] = known
+        return known
+
     def neighbours(self, a: str, b: str) -> bool:
+        """Whether no merge across the border of two tokens comes before those that make them."""
         known = self._pairs.get(a + SEAM + b)
         if known is None:
             if len(self._pairs) > REMEMBERED:
                 self._pairs.clear()
-            known = self._pairs[a + SEAM + b] = self.merged(self.split(a) + self.split(b)) == [a, b]
+            known = self._pairs[a + SEAM + b] = self._apart(a, b)
         return known
 
+    def _apart(self, a: str, b: str) -> bool:
+        left, right = self.spine(a, 1), self.spine(b, 0)
+        if left is None or right is None:
+            return self.merged(self.split(a) + self.split(b)) == [a, b]
+        i = j = 0
+        while True:
+            (x, ends_x), (y, ends_y) = left[i], right[j]
+            r = self.rank.get((x, y))
+            if r is not None and r < ends_x and r <= ends_y:  # of equal merges the leftmost comes first
+                return False
+            if i == len(left) - 1 and j == len(right) - 1:
+                return True
+            if ends_x <= ends_y:
+                i += 1
+            else:
+                j += 1
+
     def stream(self, symbols: Iterable[str], prefix: str = "") -> Iterator[str]:
         """Tokens of one word, each as soon as no later symbol can change it.
 
@@ -199,6 +240,7 @@ class Tokenizer:
         self.decoder = (spec.get("decoder") or {}).get("type")
         self.shown = {i: str(i) for i in self.names}
         self._known: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
     def _steps(spec: dict | None) -> list[str]:
@@ -212,18 +254,26 @@ class Tokenizer:
         return text
 
     def _word(self, word: str) -> tuple[int, ...]:
+        if (found := self._older.get(word)) is not None:
+            self._remember(word, found)
+            return found
         body = "".join(map(self.bytes.__getitem__, word.encode()))
         vocab = self.merges.vocab
         found = tuple(vocab[t] for t in self.merges.tokens(body) if t in vocab)
         if len(word) <= 64:
-            if len(self._known) > REMEMBERED:
-                self._known.clear()
-            self._known[word] = found
+            self._remember(word, found)
         return found
 
-    def pieces(self, text: str) -> Iterator[tuple[int, ...]]:
-        """Ids of each word or special token; neither crosses white space, so long texts are read in stretches that end there."""
-        known, at = self._known, 0
+    def _remember(self, word: str, found: tuple[int, ...]) -> None:
+        """Two generations: words that are met again outlast the older one."""
+        if len(self._known) > REMEMBERED:
+            self._older, self._known = self._known, {}
+        self._known[word] = found
+
+    def batches(self, text: str) -> Iterator[list[int]]:
+        """The text's ids, in lists of about FLUSH. Words and special tokens never cross white space, so long texts are read in stretches that end there."""
+        held: list[int] = []
+        at = 0
         while at < len(text):
             m = BLANK.search(text, at + STRETCH) if len(text) - at > STRETCH else None
             end = m.end() if m else len(text)
@@ -231,20 +281,15 @@ class Tokenizer:
             at = end
             for part in self.marks.split(stretch) if self.marks and self.marks.search(stretch) else (stretch,):
                 if part in self.special:
-                    yield (self.special[part],)
+                    held.append(self.special[part])
                 elif part:
+                    known = self._known
                     for w in self.words.findall(self.normal(part)):
                         ids = known.get(w)
-                        yield self._word(w) if ids is None else ids
-
-    def batches(self, text: str) -> Iterator[list[int]]:
-        """The text's ids, in lists of about FLUSH."""
-        held: list[int] = []
-        for ids in self.pieces(text):
-            held += ids
-            if len(held) >= FLUSH:
-                yield held
-                held = []
+                        held += self._word(w) if ids is None else ids
+                        if len(held) >= FLUSH:
+                            yield held
+                            held = []
         if held:
             yield held
 
@@ -269,7 +314,10 @@ class Decoder:
         names, value = self.names, self.value
         if value is not None:
             return self.machine.decode(bytes(value[c] for i in ids for c in names.get(i, "") if c in value))
-        found = [names[i] for i in ids if i in names]
+        try:
+            found = list(map(names.__getitem__, ids))
+        except KeyError:
+            found = [names[i] for i in ids if i in names]
         begun, self.begun = self.begun, self.begun or bool(found)
         return (" " if begun and found else "") + " ".join(found)
 
@@ -300,7 +348,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
             for text in pdf["text"]:
                 n, ids_digest, text_digest, machine = 0, hashlib.sha256(), hashlib.sha256(), Decoder(tok)
                 for ids in tok.batches(text) if text else ():
-                    ids_digest.update(((" " if n else "") + " ".join([shown[i] for i in ids])).encode())
+                    ids_digest.update(((" " if n else "") + " ".join(map(shown.__getitem__, ids))).encode())
                     text_digest.update(machine.feed(ids).encode())
                     n += len(ids)
                 text_digest.update(machine.end().encode())
