@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from .common import SPACE, table
 
 #: Words and pairs of tokens, and prefixes, remembered by each worker; then it starts anew.
-REMEMBERED, PREFIXES = 200_000, 250_000
+REMEMBERED, PREFIXES = 120_000, 120_000
 #: Ids held before they are decoded and hashed.
 FLUSH = 4096
 #: Characters read at once, up to the next white space.
