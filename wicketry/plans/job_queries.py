@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..sources.enrichment import derive_style_groups, enrich
-from ..sources.ingest import freshness, integrity, registry, summary, unseen
+from ..sources.ingest import export_documents, flatten, freshness, integrity, parse_documents, registry, split_bad, summary, unseen
 from .oracle import q
 
 
@@ -12,11 +12,24 @@ def _people(t):
     return d.select("match_id", "date_start", F.col("batter").alias("player_name"), F.col("batter_id").alias("player_id"))
 
 
+def _documents(t):
+    """Match documents of the derived tables; for each match without a venue a text that breaks off comes on top."""
+    texts = export_documents(t)
+    broken = t.matches.filter("venue is null").select(F.concat(F.lit("broken-"), "match_id").alias("match_id"), F.lit('{"info": {"teams": ').alias("document"))
+    return split_bad(parse_documents(texts.unionByName(broken)))
+
+
 def build() -> dict:
     count = lambda name, sql: f"SELECT '{name}' AS what, count(*) AS n FROM {sql}"
     twice = lambda name, table, k: f"SELECT '{name}' AS \"check\", count(*) AS violations FROM (SELECT {k} FROM {table} GROUP BY {k} HAVING count(*) > 1)"
     anti = lambda name, a, b, k: f"SELECT '{name}' AS \"check\", count(*) AS violations FROM {a} ANTI JOIN {b} USING ({k})"
     return {
+        "ingest_matches": (lambda t: flatten(_documents(t)[0])["matches"], q("SELECT * REPLACE (date_start AS date_end) FROM matches")),
+        "ingest_innings": (lambda t: flatten(_documents(t)[0])["innings"], q("SELECT * FROM innings")),
+        "ingest_deliveries": (lambda t: flatten(_documents(t)[0])["deliveries"], q("SELECT * FROM deliveries")),
+        "ingest_people": (lambda t: registry(flatten(_documents(t)[0])["people"]).select("player_id", "player_name"), q(
+            "SELECT DISTINCT i AS player_id, n AS player_name FROM (SELECT unnest([batter_id, bowler_id, non_striker_id, wicket_player_out_id]) AS i, unnest([batter, bowler, non_striker, wicket_player_out]) AS n FROM deliveries) WHERE i IS NOT NULL")),
+        "ingest_failed": (lambda t: _documents(t)[1], q("SELECT concat('broken-', match_id) AS match_id, '{\"info\": {\"teams\": ' AS _corrupt_record FROM matches WHERE venue IS NULL")),
         "freshness": (lambda t: freshness(t.matches, "1999-01-15"), q(
             "x AS (SELECT count(*) AS matches, max(date_start) AS latest, CAST(date_diff('day', max(date_start), DATE '1999-01-15') AS INT) AS days_behind FROM matches)", "y AS (SELECT *, CAST(CASE WHEN days_behind + 1 <= 2 THEN 2 WHEN days_behind + 1 <= 7 THEN 7 WHEN days_behind + 1 <= 30 THEN 30 END AS INT) AS feed_days FROM x)",
             "SELECT *, CASE WHEN latest IS NULL OR feed_days IS NULL THEN 'needs rebuild' WHEN days_behind <= 1 THEN 'fresh' WHEN days_behind > 10 THEN 'stale' ELSE 'ok' END AS state FROM y")),

@@ -29,6 +29,42 @@ def with_match_id(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("match_id"))
 
 
+def parse_documents(texts: DataFrame) -> DataFrame:
+    """Documents from rows of match_id and document (JSON text), by the same schema; bad texts stay in _corrupt_record."""
+    parsed = F.from_json("document", DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return texts.select("match_id", parsed.alias("d")).select("d.*", "match_id")
+
+
+def export_documents(t) -> DataFrame:
+    """match_id and document: the star schema as match documents again, so that ``flatten`` gives the same rows back.
+
+    Each grouping key is at most a match, whose size has a bound by the rules of the game.
+    """
+    d, m = t.deliveries, t.matches
+    named = lambda c, n: F.col(c).alias(n)
+    fielders = F.filter(F.array(F.struct(named("wicket_fielder1", "name")), F.struct(named("wicket_fielder2", "name"))), lambda x: x["name"].isNotNull())
+    wickets = F.when(F.col("is_wicket"), F.array(F.struct(named("wicket_player_out", "player_out"), named("wicket_kind", "kind"), fielders.alias("fielders"))))
+    ball = F.struct(
+        "batter", "bowler", "non_striker", F.struct(*(named(f"runs_{x}", x) for x in ("batter", "extras", "total", "non_boundary"))).alias("runs"),
+        F.struct(*(named(f"extras_{x}", x) for x in ("wides", "noballs", "byes", "legbyes", "penalty"))).alias("extras"), wickets.alias("wickets"))
+    in_order = lambda n, x, name: F.transform(F.sort_array(F.collect_list(F.struct(n, x.alias("x")))), lambda e: e["x"]).alias(name)
+    people = F.array(*(F.struct(named(c, "key"), named(f"{c}_id", "value")) for c in ("batter", "bowler", "non_striker", "wicket_player_out")))
+    overs = d.groupBy("match_id", "innings_number", "over_number").agg(in_order("ball_number", ball, "deliveries"), F.array_distinct(F.flatten(F.collect_set(people))).alias("people"))
+    played = overs.groupBy("match_id", "innings_number").agg(
+        in_order("over_number", F.struct(named("over_number", "over"), F.col("deliveries")), "overs"), F.array_distinct(F.flatten(F.collect_list("people"))).alias("people"))
+    innings = t.innings.join(played, ["match_id", "innings_number"], "left")
+    one = F.struct(named("batting_team", "team"), F.col("declared"), F.col("forfeited"), named("is_super_over", "super_over"), F.struct(named("target_runs", "runs"), named("target_overs", "overs")).alias("target"), F.col("overs"))
+    whole = innings.groupBy("match_id").agg(in_order("innings_number", one, "innings"), F.array_distinct(F.flatten(F.collect_list("people"))).alias("people"))
+    known = F.map_from_entries(F.filter("people", lambda x: x["key"].isNotNull() & x["value"].isNotNull()))
+    info = F.struct(
+        "balls_per_over", "city", F.array_compact(F.array("date_start", "date_end")).cast("array<string>").alias("dates"),
+        F.struct(named("event_name", "name"), named("event_match_number", "match_number"), named("event_group", "group"), named("event_stage", "stage")).alias("event"), "gender", "match_type",
+        F.struct(named("outcome_winner", "winner"), F.struct(*(named(f"outcome_by_{x}", x) for x in ("runs", "wickets", "innings"))).alias("by"), named("outcome_result", "result"), named("outcome_method", "method")).alias("outcome"),
+        named("overs_per_side", "overs"), F.array_compact(F.array("player_of_match")).alias("player_of_match"), F.struct(known.alias("people")).alias("registry"), "season", "team_type", F.array("team1", "team2").alias("teams"),
+        F.struct(named("toss_decision", "decision"), named("toss_winner", "winner")).alias("toss"), "venue")
+    return m.join(whole, "match_id", "left").select("match_id", F.to_json(F.struct(info.alias("info"), "innings")).alias("document"))
+
+
 def split_bad(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that parsed and have what a match needs, and the quarantine of the others."""
     good = F.col("_corrupt_record").isNull() & F.col("info").isNotNull() & (F.size("info.teams") >= 2) & (F.size("info.dates") >= 1)
