@@ -1,6 +1,6 @@
 """Words of a batch of texts, at once: places and hashes by array operations on the texts' UTF-8 bytes.
 
-A word is a run of bytes other than ASCII white space (common.WORD); A-Z count as a-z. Memory is bounded by the batch.
+A word is a run of bytes other than ASCII white space (common.WORD), or than the bytes given; A-Z count as a-z. Memory is bounded by the batch.
 """
 
 from __future__ import annotations
@@ -78,8 +78,8 @@ def powers() -> list[np.ndarray]:
 class Words:
     """``hash``, ``start`` and ``end`` (bytes) of all words of some texts; ``first``: number of the first word of each text, and of all words."""
 
-    def __init__(self, b: np.ndarray, offsets: np.ndarray):
-        inside = ~IS_SPACE[b]
+    def __init__(self, b: np.ndarray, offsets: np.ndarray, outside: np.ndarray = IS_SPACE):
+        inside = ~outside[b]
         begin, finish = inside.copy(), inside.copy()
         begin[1:] &= ~inside[:-1]
         finish[:-1] &= ~inside[1:]
