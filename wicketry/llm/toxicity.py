@@ -12,7 +12,8 @@ settings, the lengths of word beginnings among them, were chosen by ``cross_vali
 
 Defined results: null and empty texts have no terms and get the score of the bias; rows without a doc_id are scored too
 (held_out null); repeated rows get equal scores; without labels of both kinds the score is the share of label 1 (0.0
-without any); an empty table gives an empty result; further columns are ignored; a label is a doc_id's largest.
+without any); an empty table gives an empty result; further columns are ignored; a label is a doc_id's largest; a doc_id with several texts is
+learned from by the first of them; texts of any length are read whole; scores tie only for equal sets of selected terms.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ PREFIXES = (4, 5, 6, 7, 8)
 BUCKETS = 1 << 20
 FEATURES = 1024
 RANK = 8
-EPOCHS, DECAY = 25, 2e-4
+EPOCHS, DECAY = 25, 4e-4
+#: Steps of each part of the fit, at least.
+STEPS = 200
 #: Labelled rows that the model is fitted on, at most in expectation.
 SAMPLE = 20_000
 REMEMBERED = 100_000
@@ -60,9 +63,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     share = min(1.0, sample / max(n, 1))
-    some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    # at most the sample's rows are broadcast
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id").select("text", "toxic")
+    some = known.filter(F.xxhash64("doc_id") <= int(share * (1 << 64)) - (1 << 63) - 1)
+    # at most the sample's rows are broadcast; of a doc_id's texts the first counts, so ids bound the rows
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def selected_terms(sample: DataFrame, features: int = FEATURES) -> np.ndarray:
@@ -136,35 +140,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.raw(flat, sizes)[0], -30, 30)))
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, batch: int = 512, rate: float = 0.03, decay: float = DECAY) -> None:
-        """Adam on the logistic loss, with L2 decay of weights and factors."""
+        """Adam on the logistic loss with L2 decay: bias and weights first, then the factors on what these leave unexplained.
+
+        So a term that tells by itself has a weight of its own, whatever it comes with. Each part takes ``epochs``
+        passes, and at least ``STEPS`` steps, so that few rows are fitted as far as many.
+        """
         rng = np.random.RandomState(11)
-        state = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.w, self.v, np.zeros(1))]
-        step = 0
-        for _ in range(epochs):
-            order = rng.permutation(len(rows))
-            for at in range(0, len(rows), batch):
-                pick = order[at : at + batch]
-                some = [rows[i] for i in pick]
-                sizes = np.array([len(r) for r in some])
-                flat = np.concatenate(some) if sizes.sum() else np.empty(0, np.int64)
-                raw, total = self.raw(flat, sizes)
-                err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[pick]) / len(pick)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                gw = np.bincount(flat, err[row], len(self.w)) + decay * self.w
-                each = err[row, None] * (total[row] - self.v[flat])
-                gv = decay * self.v
-                for k in range(self.v.shape[1]):
-                    gv[:, k] += np.bincount(flat, each[:, k], len(self.w))
-                gb = np.array([err.sum()])
-                step += 1
-                for p, g, (m, s) in zip((self.w, self.v, None), (gw, gv, gb), state, strict=True):
-                    m += 0.1 * (g - m)
-                    s += 0.001 * (g * g - s)
-                    move = rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-                    if p is None:
-                        self.bias -= float(move[0])
+        epochs = max(epochs, -(-STEPS // max(1, -(-len(rows) // batch))))
+        for pairs in (False, True)[: 1 + (self.v.shape[1] > 0)]:
+            params = [self.v] if pairs else [self.w, np.array([self.bias])]
+            state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+            step = 0
+            for _ in range(epochs):
+                order = rng.permutation(len(rows))
+                for at in range(0, len(rows), batch):
+                    pick = order[at : at + batch]
+                    some = [rows[i] for i in pick]
+                    sizes = np.array([len(r) for r in some])
+                    flat = np.concatenate(some) if sizes.sum() else np.empty(0, np.int64)
+                    row = np.repeat(np.arange(len(sizes)), sizes)
+                    if pairs:
+                        raw, total = self.raw(flat, sizes)
+                    else:
+                        raw = self.bias + np.bincount(row, self.w[flat], len(sizes))
+                    err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[pick]) / len(pick)
+                    if pairs:
+                        each = err[row, None] * (total[row] - self.v[flat])
+                        grads = [decay * self.v + np.column_stack([np.bincount(flat, each[:, k], len(self.w)) for k in range(self.v.shape[1])])]
                     else:
-                        p -= move
+                        grads = [np.bincount(flat, err[row], len(self.w)) + decay * self.w, np.array([err.sum()])]
+                    step += 1
+                    for p, g, (m, s) in zip(params, grads, state, strict=True):
+                        m += 0.1 * (g - m)
+                        s += 0.001 * (g * g - s)
+                        p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+                    if not pairs:
+                        self.bias = float(params[1][0])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
