@@ -668,9 +668,9 @@ def odd_tables(spark, tmp_path_factory):
     text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
     base = text(80)
     texts = [(1, None), (2, ""), (3, "   "), (4, "one"), (5, base), (6, base), (5, base), (7, base.replace("alpha", "zeta", 1)), (8, text(30_000)), (9, f"mail {text(3)} a@b.org now"), (None, text(12)), (None, text(12))] + [(20 + i, text(40)) for i in range(30)]
-    names = ["key", "bin", "size", "taken", "source_size", "target", "score", "predicted", "copy", "tie", "kept", "spans", "added", "_s", "d", "h"]
+    names = ["key", "bin", "size", "taken", "source_size", "target", "score", "predicted", "copy", "tie", "kept", "spans", "added", "_s", "d", "h", "_hash", "_h", "_doc", "_added", "_row", "_text", "_id", "my col", "a:b", "c,d"]
     docs = spark.createDataFrame([(i, t, "en", None if k % 5 == 0 else f"s{k % 2}", None if t is None else len(t), *[f"x{k}"] * len(names)) for k, (i, t) in enumerate(texts)],
-                                 ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"{n} string" for n in names)]))
+                                 ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{n}` string" for n in names)]))
     labels = spark.createDataFrame([(i, i % 2) for i in range(20, 50)], "doc_id long, toxic int")
     out = []
     for name, share in (("odd", 1), ("none", 0)):

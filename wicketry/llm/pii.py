@@ -23,8 +23,10 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import cut, drop_cut, table, text_or_empty
 
@@ -229,32 +231,35 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return wide.mapInPandas(_digests, f"doc_id bigint, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, spans string")
 
 
+def masked(text: str | None, added) -> str | None:
+    if not text:
+        return text
+    spans = seeds(text) + [(int(x["start"]), int(x["kind"]), int(x["end"])) for x in added or ()]
+    parts, at = [], 0
+    for a, k, b in sorted(spans):
+        if b > at:
+            parts += [text[at : max(a, at)], f"[{KINDS[k].upper()}]"]
+            at = b
+    return "".join(parts) + text[at:] if spans else text
+
+
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of a text replaced by its kind in brackets; texts without spans stay as they are."""
-    rows, added = find(docs)
-    names, schema = docs.columns, docs.schema.simpleString()[7:-1]
-    each = added.select("doc_id", "hash", "start", "end", "kind").groupBy(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash")).agg(
-        F.collect_list(F.struct("start", "end", "kind")).alias("_added"))
+    """``docs`` with every span of a text replaced by its kind in brackets; texts without spans stay as they are.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text, added in zip(pdf["text"], pdf["_added"], strict=True):
-                if text:
-                    spans = seeds(text) + ([(int(x["start"]), int(x["kind"]), int(x["end"])) for x in added] if added is not None else [])
-                    parts, at = [], 0
-                    for a, k, b in sorted(spans):
-                        if b <= at:
-                            continue
-                        parts += [text[at : max(a, at)], f"[{KINDS[k].upper()}]"]
-                        at = b
-                    text = "".join(parts) + text[at:] if spans else text
-                out.append(text)
-            yield pdf.assign(text=out)[names]
-
-    keyed = docs.withColumn("_h", F.xxhash64(text_or_empty()))
-    wide = keyed.join(each, keyed.doc_id.eqNullSafe(each._doc) & (keyed._h == each._hash), "left").drop("_doc", "_hash", "_h")
-    return wide.mapInPandas(run, schema)
+    Further columns pass as they are, whatever their names.
+    """
+    _, added = find(docs.select("doc_id", "text"))
+    each = added.groupBy(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash")).agg(F.collect_list(F.struct("start", "end", "kind")).alias("_added"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.xxhash64(text_or_empty()).alias("_h"))
+    wide = rows.join(each, rows._id.eqNullSafe(each._doc) & (rows._h == each._hash), "left").select("_row", "_text", "_added")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [masked(t, x) for t, x in zip(batch.column("_text").to_pylist(), batch.column("_added").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(text, pa.string())], ["_row", "_text"])
+
+    new = wide.mapInArrow(run, StructType([rows.schema["_row"], rows.schema["_text"]]))
+    return new.select(*(F.col("_text").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def op3_pii(spark, sf_dir):
