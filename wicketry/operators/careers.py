@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import like, phase
 from ..functions.measures import conceded, economy, overs_text, ratio, rounded
 from ..plans.fixture import Tables
-from ..plans.grains import balls, batting_innings, bowling_innings, down, top, up
+from ..plans.grains import balls, batting_innings, batting_of, bowling_innings, bowling_of, down, top, up
 
 BATTER = ["batter", "batter_id"]
 BOWLER = ["bowler", "bowler_id"]
@@ -25,15 +25,16 @@ def batting_table(innings: DataFrame, *keys: str) -> DataFrame:
         ratio("runs", "balls_faced", 100.0).alias("strike_rate"), "balls_faced", "fours", "sixes", "centuries", "fifties", "ducks", "dots", "outs")
 
 
-def bowling_table(innings: DataFrame, *keys: str) -> DataFrame:
-    """Measures of bowling careers (D3) but for maidens: one row per key."""
+def bowling_table(innings: DataFrame, *keys: str, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Measures of bowling careers (D3), one row per key, and ``more`` aggregates (maidens, where the grain has them)."""
     best = F.max_by(F.struct("wickets", "conceded"), F.struct("wickets", -F.col("conceded"))).alias("b")
     sums = innings.groupBy(*keys).agg(
         F.countDistinct("match_id").alias("matches"), F.count("*").alias("innings"), F.sum("balls").alias("balls"), F.sum("conceded").alias("runs_conceded"), F.sum("wickets").alias("wickets"), best,
         F.sum("dots").alias("dots"), F.sum("fours").alias("fours"), F.sum("sixes").alias("sixes"),
-        F.count_if(F.col("wickets") >= 5).alias("five_wicket_hauls"), F.count_if(F.col("wickets") >= 4).alias("four_wicket_hauls"))
+        F.count_if(F.col("wickets") >= 5).alias("five_wicket_hauls"), F.count_if(F.col("wickets") >= 4).alias("four_wicket_hauls"), *more)
+    extra = [c for c in sums.columns if c == "maidens"]
     return sums.select(
-        *keys, "matches", "innings", "balls", overs_text(F.col("balls")).alias("overs"), "runs_conceded", "wickets", F.concat("b.wickets", F.lit("/"), "b.conceded").alias("best_figures"),
+        *keys, *extra, "matches", "innings", "balls", overs_text(F.col("balls")).alias("overs"), "runs_conceded", "wickets", F.concat("b.wickets", F.lit("/"), "b.conceded").alias("best_figures"),
         ratio("runs_conceded", "wickets").alias("average"), economy("runs_conceded", "balls").alias("economy"), ratio("balls", "wickets").alias("strike_rate"), "dots", "fours", "sixes", "five_wicket_hauls", "four_wicket_hauls")
 
 
@@ -43,11 +44,13 @@ BOWL_OUT = ["matches", "innings", "overs", "runs_conceded", "wickets", "best_fig
 
 def player_batting(t: Tables, player: str, **f) -> DataFrame:
     """D2."""
-    return batting_table(batting_innings(balls(t, like("batter", player), **f)), *BATTER).select(*BATTER, *BAT_OUT)
+    return batting_table(batting_of(t, like("batter", player), **f), *BATTER).select(*BATTER, *BAT_OUT)
 
 
 def player_bowling(t: Tables, player: str, **f) -> DataFrame:
     """D3: maidens are overs without runs conceded; best figures and maidens belong to (name, id)."""
+    if t.bowling is not None:
+        return bowling_table(bowling_of(t, like("bowler", player), **f), *BOWLER, more=(F.sum("maidens").alias("maidens"),)).select(*BOWLER, *BOWL_OUT, "maidens")
     b = balls(t, like("bowler", player), **f)
     overs = b.groupBy(*BOWLER, "match_id", "innings_number", "over_number").agg(F.sum(conceded()).alias("r"))
     maidens = overs.groupBy(*BOWLER).agg(F.count_if(F.col("r") == 0).alias("maidens"))
@@ -60,7 +63,7 @@ BATTING_ORDERS = {"most_runs": "runs", "highest_average": "average", "highest_st
 
 def batting_records(t: Tables, record_type: str = "most_runs", min_innings: int = 10, limit: int = 10, **f) -> DataFrame:
     """An unknown type means most_runs."""
-    table = batting_table(batting_innings(balls(t, **f)), *BATTER).filter(F.col("innings") >= min_innings).select(*BATTER, *BAT_OUT)
+    table = batting_table(batting_of(t, **f), *BATTER).filter(F.col("innings") >= min_innings).select(*BATTER, *BAT_OUT)
     return top(table, limit, down(BATTING_ORDERS.get(record_type, "runs")), *map(up, BATTER))
 
 
@@ -69,7 +72,7 @@ BOWLING_ORDERS = {"most_wickets": (down, "wickets"), "best_average": (up, "avera
 
 def bowling_records(t: Tables, record_type: str = "most_wickets", min_innings: int = 10, limit: int = 10, **f) -> DataFrame:
     """D8."""
-    table = bowling_table(bowling_innings(balls(t, **f)), *BOWLER).filter(F.col("innings") >= min_innings).select(*BOWLER, *BOWL_OUT)
+    table = bowling_table(bowling_of(t, **f), *BOWLER).filter(F.col("innings") >= min_innings).select(*BOWLER, *BOWL_OUT)
     order, column = BOWLING_ORDERS[record_type]
     return top(table, limit, order(column), *map(up, BOWLER))
 
@@ -120,13 +123,13 @@ def situational(t: Tables, situation: str, position: int | None = None, player:
 
 def tournament_batters(t: Tables, event: str, limit: int = 10, **f) -> DataFrame:
     """By name."""
-    table = batting_table(batting_innings(balls(t, event_name=event, **f)), "batter")
+    table = batting_table(batting_of(t, event_name=event, **f), "batter")
     return top(table.select("batter", "matches", "innings", "runs", "average", "strike_rate", "highest_score"), limit, down("runs"), up("batter"))
 
 
 def tournament_bowlers(t: Tables, event: str, limit: int = 10, **f) -> DataFrame:
     """By name."""
-    table = bowling_table(bowling_innings(balls(t, event_name=event, **f)), "bowler")
+    table = bowling_table(bowling_of(t, event_name=event, **f), "bowler")
     return top(table.select("bowler", "matches", "innings", "wickets", "runs_conceded", "average", "economy"), limit, down("wickets"), up("bowler"))
 
 
@@ -134,9 +137,9 @@ def milestone(t: Tables, kind: str, threshold: int, proximity: int | None = None
     """Players near or past a threshold; proximity defaults to a tenth, rounded up."""
     near = proximity if proximity is not None else -(-threshold // 10)
     if kind in ("runs", "centuries", "fifties"):
-        table = batting_table(batting_innings(balls(t, **f)), *BATTER).selectExpr("batter AS player", "batter_id AS player_id", f"{kind} AS value")
+        table = batting_table(batting_of(t, **f), *BATTER).selectExpr("batter AS player", "batter_id AS player_id", f"{kind} AS value")
     elif kind in ("wickets", "five_wicket_hauls"):
-        table = bowling_table(bowling_innings(balls(t, **f)), *BOWLER).selectExpr("bowler AS player", "bowler_id AS player_id", f"{kind} AS value")
+        table = bowling_table(bowling_of(t, **f), *BOWLER).selectExpr("bowler AS player", "bowler_id AS player_id", f"{kind} AS value")
     else:
         b = balls(t, **f)
         pairs = b.select(F.col("batter_id").alias("player_id"), "match_id").union(b.select(F.col("bowler_id"), "match_id")).distinct()
@@ -221,19 +224,19 @@ def what_if_bowling(t: Tables, player: str, exclude: dict[str, str], **f) -> Dat
 
 def season_batting(t: Tables, player: str, sort_by: str = "season", **f) -> DataFrame:
     """D35."""
-    table = batting_table(batting_innings(balls(t, like("batter", player), ("season",), **f), "season"), "season", *BATTER).select("season", *BATTER, *BAT_OUT)
+    table = batting_table(batting_of(t, like("batter", player), ("season",), **f), "season", *BATTER).select("season", *BATTER, *BAT_OUT)
     return table.orderBy({"season": up("season"), "average": down("average")}.get(sort_by, down("runs")), up("season"), *map(up, BATTER))
 
 
 def season_bowling(t: Tables, player: str, sort_by: str = "season", **f) -> DataFrame:
     """D35."""
-    table = bowling_table(bowling_innings(balls(t, like("bowler", player), ("season",), **f), "season"), "season", *BOWLER).select("season", *BOWLER, *BOWL_OUT)
+    table = bowling_table(bowling_of(t, like("bowler", player), ("season",), **f), "season", *BOWLER).select("season", *BOWLER, *BOWL_OUT)
     return table.orderBy({"season": up("season"), "average": up("average")}.get(sort_by, down("wickets")), up("season"), *map(up, BOWLER))
 
 
 def comparison(t: Tables, side: str, player1: str, player2: str, **f) -> DataFrame:
     """Either name, in name order."""
     keys, name = (BATTER, "batter") if side == "batting" else (BOWLER, "bowler")
-    b = balls(t, like(name, player1) | like(name, player2), **f)
-    table = batting_table(batting_innings(b), *keys).select(*keys, *BAT_OUT) if side == "batting" else bowling_table(bowling_innings(b), *keys).select(*keys, *BOWL_OUT)
+    either = like(name, player1) | like(name, player2)
+    table = batting_table(batting_of(t, either, **f), *keys).select(*keys, *BAT_OUT) if side == "batting" else bowling_table(bowling_of(t, either, **f), *keys).select(*keys, *BOWL_OUT)
     return table.orderBy(*map(up, keys))

@@ -56,9 +56,9 @@ def roles(d: DataFrame) -> DataFrame:
 
 def players_of_innings(d: DataFrame) -> DataFrame:
     """One row for each role of a player in an innings, with the levels of its match and innings."""
-    keys = ["role", "name", "id", "other", "other_id", "kind", "fielder", "stand"]
+    keys = ["asked", "role", "name", "id", "other", "other_id", "kind", "fielder", "stand"]  # asked is one value a match: as a key it needs no sort
     x = roles(d).groupBy(*INN, *keys).agg(
-        F.sum("r").alias("runs"), F.sum("b").alias("balls"), F.sum("t").alias("total"), F.max("o").alias("out"), F.min("down").alias("entry"), F.min("place").alias("place"), F.count("*").alias("n"), F.first("asked").alias("asked"),
+        F.sum("r").alias("runs"), F.sum("b").alias("balls"), F.sum("t").alias("total"), F.max("o").alias("out"), F.min("down").alias("entry"), F.min("place").alias("place"), F.count("*").alias("n"),
         *(F.sum(F.when(at, F.col(c)).otherwise(0)).alias(f"{n}_{m}") for n, at, _ in phases() for c, m in (("r", "runs"), ("b", "balls"))))
     person, innings, match = Window.partitionBy(*INN, "name"), Window.partitionBy(*INN), Window.partitionBy("match_id")
     bat, bowl, named = F.col("role") == "bat", F.col("role") == "bowl", F.col("name").isNotNull()
@@ -145,8 +145,8 @@ def scored(t: Tables, asked: DataFrame | None, formula: str, player: str | None,
     if asked is not None:
         x = x.filter(F.exists("asked", lambda p: p["player"] == F.col("player")))
     measures = [F.sum(F.when(F.col("role") == F.col("as"), F.col(c)).otherwise(0)).alias(c) for c in ("runs", "balls", *(f"{n}_{m}" for n, _, _ in phases() for m in ("runs", "balls")))]
-    same = ["tr", "lb", "innings_total", "asked", *(f"{n}_{k}" for n, _, _ in phases() for k in "rb")]
-    x = x.groupBy(*INN, "as", "player", "player_id").agg(*measures, F.sum("points").alias("points"), F.max("out").alias("out"), F.min("entry").alias("entry"), *(F.first(c).alias(c) for c in same))
+    same = ["tr", "lb", "innings_total", *(f"{n}_{k}" for n, _, _ in phases() for k in "rb")]
+    x = x.groupBy(*INN, "asked", "as", "player", "player_id").agg(*measures, F.sum("points").alias("points"), F.max("out").alias("out"), F.min("entry").alias("entry"), *(F.first(c).alias(c) for c in same))
     x = with_levels(x.join(match_context(t, formula), "match_id"), formula)
     x = x.withColumn("inn", F.try_element_at(F.filter("innings", lambda i: i["innings_number"] == F.col("innings_number")), F.lit(1)))
     value = F.when(F.col("as") == "bat", batting_value(formula)).when(F.col("as") == "bowl", bowling_value(formula)).otherwise(F.col("points"))
@@ -154,7 +154,7 @@ def scored(t: Tables, asked: DataFrame | None, formula: str, player: str | None,
     names = t.players.groupBy(F.col("player_name").alias("player")).agg(F.min("player_id").alias("known_id"))
     x = x.join(names, "player", "left").withColumn("player_id", F.when(F.col("as") == "field", F.col("known_id")).otherwise(F.col("player_id")))  # fielders have names only
     kinds = {"bat": "batting", "bowl": "bowling", "field": "fielding"}
-    x = x.groupBy("match_id", "player", "player_id").agg(*(rounded(F.sum(F.when(F.col("as") == k, F.col("value")).otherwise(0.0)), 6).alias(v) for k, v in kinds.items()), *(F.first(c).alias(c) for c in ("date_start", "importance", "asked")))
+    x = x.groupBy("match_id", "asked", "player", "player_id").agg(*(rounded(F.sum(F.when(F.col("as") == k, F.col("value")).otherwise(0.0)), 6).alias(v) for k, v in kinds.items()), *(F.first(c).alias(c) for c in ("date_start", "importance")))
     if asked is not None:
         x = x.filter(F.exists("asked", lambda p: (p["player"] == F.col("player")) & p["player_id"].eqNullSafe(F.col("player_id"))))
     total = rounded((F.col("batting") + F.col("bowling") + F.col("fielding")) * F.col("importance"), 6)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import like, match_filter
 from ..functions.measures import bowler_wicket, conceded, economy, faced, four, legal, overs_text, ratio, rounded, six
 from ..plans.fixture import Tables
-from ..plans.grains import balls, batting_innings, bowling_innings, down, top, up
+from ..plans.grains import balls, batting_innings, batting_of, bowling_innings, down, top, up
 from .matches import islands
 
 WHERE = ["match_id", "innings_number"]
@@ -131,7 +131,7 @@ def partnership_pairs(t: Tables, player: str | None = None, player2: str | None
 
 def batter_streaks(t: Tables, kind: str = "fifty_plus", threshold: int = 50, player: str | None = None, min_length: int = 2, limit: int = 10, **f) -> DataFrame:
     """Consecutive innings of fifty or more, or ducks."""
-    inn = batting_innings(balls(t, like("batter", player) if player else None, ("date_start",), **f), "date_start")
+    inn = batting_of(t, like("batter", player) if player else None, ("date_start",), **f)
     hit = F.col("runs") >= threshold if kind == "fifty_plus" else (F.col("runs") == 0) & (F.col("out") == 1)
     x = islands(inn, ["batter", "batter_id"], hit, ["date_start", *WHERE]).groupBy("batter", "batter_id", "island").agg(
         F.count("*").alias("length"), F.sum("runs").alias("runs"), F.max("runs").alias("highest_score"), F.min("date_start").alias("start_date"), F.max("date_start").alias("end_date"))

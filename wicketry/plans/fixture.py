@@ -1,7 +1,7 @@
 """The cricket star schema derived from the supplied order tables by integer arithmetic.
 
 One text serves both engines; ``DIV`` stands for integer division. Spark writes the four tables once per application
-and folder, so that every query scans columnar files.
+and folder, so that every query scans bucketed columnar files.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.storage import remove, shared_path
+from ..sources.storage import GRAINS, STAR, remove, scan, shared_path, write_star
 
 STEPS = """
 l0 AS (SELECT *, l_orderkey DIV 60 AS mk, row_number() OVER (PARTITION BY l_orderkey DIV 60
@@ -84,12 +84,17 @@ players AS (SELECT player_id, player_name, batting_style, bowling_style,
 
 @dataclass(frozen=True)
 class Tables:
-    """The star schema."""
+    """The star schema and, where they are kept, its innings grains."""
 
     players: DataFrame
     matches: DataFrame
     innings: DataFrame
     deliveries: DataFrame
+    batting: DataFrame | None = None
+    bowling: DataFrame | None = None
+
+    def star(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in ("players", "matches", "innings", "deliveries")}
 
 
 #: Columns of step l7 that the later steps read.
@@ -116,20 +121,18 @@ def derive(spark: SparkSession, sf_dir: str, path: str) -> Tables:
     return Tables(players, matches, innings, deliveries)
 
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str], Tables] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The four tables, written once per application and folder."""
+    """The four tables and the grains, written once per application and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         path = shared_path(spark, "star")
-        for name, df in vars(derive(spark, sf_dir, path)).items():
-            df.write.parquet(f"{path}/{name}")
+        write_star(derive(spark, sf_dir, path).star(), path)
         remove(spark, f"{path}/l7")
-        _written[key] = path
-    path = _written[key]
-    return Tables(*(spark.read.parquet(f"{path}/{name}") for name in ("players", "matches", "innings", "deliveries")))
+        _written[key] = Tables(**{name: df for name, df in scan(spark, path).items() if name in (*STAR, *GRAINS)})
+    return _written[key]
 
 
 def oracle_prefix() -> str:

@@ -30,6 +30,28 @@ def bowling_innings(b: DataFrame, *keys: str) -> DataFrame:
     return b.groupBy("match_id", "innings_number", "bowler", "bowler_id", *keys).agg(*bowling())
 
 
+def batting_of(t: Tables, where: Column | None = None, context: tuple = (), **filters) -> DataFrame:
+    """Batting innings of the matches that pass the filters, from the kept grain where there is one; ``where`` may test the batter only.
+
+    Filters and names are constant in an innings of a player, so they commute with the roll-up.
+    """
+    if t.batting is None:
+        return batting_innings(balls(t, where, context, **filters), *context)
+    return _kept(t, t.batting, where, context, filters)
+
+
+def bowling_of(t: Tables, where: Column | None = None, context: tuple = (), **filters) -> DataFrame:
+    """Bowling innings, with maidens where they come from the kept grain; ``where`` may test the bowler only."""
+    if t.bowling is None:
+        return bowling_innings(balls(t, where, context, **filters), *context)
+    return _kept(t, t.bowling, where, context, filters)
+
+
+def _kept(t: Tables, grain: DataFrame, where: Column | None, context: tuple, filters: dict) -> DataFrame:
+    m = t.matches.filter(match_filter(**filters)).select("match_id", *context)
+    return (grain if where is None else grain.filter(where)).join(m, "match_id")
+
+
 def innings_totals(t: Tables, super_overs: bool = True) -> DataFrame:
     """One row per innings: teams, runs, wickets, legal balls."""
     i = t.innings if super_overs else t.innings.filter(~F.col("is_super_over"))

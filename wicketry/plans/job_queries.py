@@ -33,8 +33,8 @@ def build() -> dict:
         "freshness": (lambda t: freshness(t.matches, "1999-01-15"), q(
             "x AS (SELECT count(*) AS matches, max(date_start) AS latest, CAST(date_diff('day', max(date_start), DATE '1999-01-15') AS INT) AS days_behind FROM matches)", "y AS (SELECT *, CAST(CASE WHEN days_behind + 1 <= 2 THEN 2 WHEN days_behind + 1 <= 7 THEN 7 WHEN days_behind + 1 <= 30 THEN 30 END AS INT) AS feed_days FROM x)",
             "SELECT *, CASE WHEN latest IS NULL OR feed_days IS NULL THEN 'needs rebuild' WHEN days_behind <= 1 THEN 'fresh' WHEN days_behind > 10 THEN 'stale' ELSE 'ok' END AS state FROM y")),
-        "ingest_summary": (lambda t: summary(vars(t)), q(" UNION ALL ".join([*(count(n, n) for n in ("players", "matches", "innings", "deliveries")), "SELECT 'enriched_players', count(*) FROM players WHERE batting_style IS NOT NULL OR bowling_style IS NOT NULL"]))),
-        "integrity": (lambda t: integrity(vars(t)), q(" UNION ALL ".join([
+        "ingest_summary": (lambda t: summary(t.star()), q(" UNION ALL ".join([*(count(n, n) for n in ("players", "matches", "innings", "deliveries")), "SELECT 'enriched_players', count(*) FROM players WHERE batting_style IS NOT NULL OR bowling_style IS NOT NULL"]))),
+        "integrity": (lambda t: integrity(t.star()), q(" UNION ALL ".join([
             anti("orphan_deliveries", "deliveries", "matches", "match_id"), anti("orphan_innings", "innings", "matches", "match_id"), anti("deliveries_without_innings", "deliveries", "innings", "match_id, innings_number"),
             twice("repeated_matches", "matches", "match_id"), twice("repeated_innings", "innings", "match_id, innings_number"), twice("repeated_deliveries", "deliveries", "match_id, innings_number, over_number, ball_number"), twice("repeated_players", "players", "player_id"),
             "SELECT 'overs_outside_phases', count(*) FROM deliveries SEMI JOIN (SELECT match_id FROM matches WHERE match_type IN ('T20', 'IT20')) USING (match_id) WHERE NOT over_number BETWEEN 0 AND 19"]))),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import career_queries, impact_queries, innings_queries, job_queries, match_queries, player_queries
+from .plans import career_queries, file_queries, impact_queries, innings_queries, job_queries, match_queries, player_queries
 from .plans.fixture import tables
 
-MODULES = (career_queries, match_queries, innings_queries, player_queries, impact_queries, job_queries)
+MODULES = (career_queries, match_queries, innings_queries, player_queries, impact_queries, job_queries, file_queries)
 
 
 def _found() -> dict:

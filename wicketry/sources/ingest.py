@@ -20,13 +20,20 @@ _corrupt_record string
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file, with match_id from the file's name; files that can't be parsed keep their text in _corrupt_record."""
-    docs = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    """One row per file, with match_id from the file's name or folder; files that can't be parsed keep their text in _corrupt_record."""
+    docs = spark.read.schema(DOCUMENT).option("recursiveFileLookup", True).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return with_match_id(docs)
 
 
 def with_match_id(docs: DataFrame) -> DataFrame:
-    return docs.select("*", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("match_id"))
+    """The match is the stem of the file's name, or what a folder ``match_id=...`` says."""
+    folder = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), "/match_id=([^/]+)/", 1), F.lit(""))
+    return docs.select("*", F.coalesce(folder, F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")).alias("match_id"))
+
+
+def write_documents(texts: DataFrame, path: str) -> None:
+    """One file per match below ``path``, from rows of match_id and document."""
+    texts.select("match_id", "document").write.mode("append").partitionBy("match_id").text(path)
 
 
 def parse_documents(texts: DataFrame) -> DataFrame:
@@ -127,18 +134,38 @@ def load(docs: DataFrame, known_players: DataFrame | None = None) -> dict[str, D
     return {"players": registry(t.pop("people"), known_players), **t}
 
 
-def update(spark: SparkSession, feed: str, path: str) -> dict[str, int]:
-    """Append the unseen matches of a feed folder to the tables below ``path``; counts of added, skipped, failed (A5).
+def add(docs: DataFrame, path: str, stream: tuple[str, int] | None = None) -> dict[str, int]:
+    """Append the unseen matches of some documents, and quarantine the bad ones, as one batch; counts of added, skipped, failed.
 
-    All tables of an update become visible at once, or none: after a failure the same feed can be read again.
+    Tables and quarantine become visible at once, or none, so after a failure the same documents can be read again: matches
+    that are there are skipped, and a bad document is quarantined once. ``stream`` is the name and number of a stream's batch;
+    a number that was committed before adds nothing.
     """
-    from .storage import append_star, scan
+    from .storage import QUARANTINE, current, scan, write_star
+
+    spark = docs.sparkSession
+    state = current(spark, path)
+    if stream and state["streams"].get(stream[0], -1) >= stream[1]:
+        return {"added": 0, "skipped": 0, "failed": 0}
+    docs = docs.persist()  # parsed once for all tables; what is lost with an executor is parsed again
+    try:
+        have = scan(spark, path, state["version"])
+        good, bad = split_bad(docs)
+        new = unseen(good, have["matches"])
+        known = have[QUARANTINE].select("match_id", F.col("_corrupt_record").alias("_known"))
+        fresh = bad.join(known, (bad.match_id == known.match_id) & bad._corrupt_record.eqNullSafe(known._known), "left_anti").distinct()
+        total, failed, added, more = good.select("match_id").distinct().count(), bad.count(), new.count(), fresh.count()
+        tables = (load(new, have["players"]) if added else {}) | ({QUARANTINE: fresh} if more else {})
+        if tables:
+            write_star(tables, path, stream=stream)
+        return {"added": added, "skipped": total - added, "failed": failed}
+    finally:
+        docs.unpersist()
 
-    good, bad = split_bad(read_documents(spark, feed))
-    have = scan(spark, path)
-    total = good.select("match_id").distinct().count()
-    added = append_star(load(unseen(good, have["matches"]), have["players"]), path)
-    return {"added": added, "skipped": total - added, "failed": bad.count()}
+
+def update(spark: SparkSession, feed: str, path: str) -> dict[str, int]:
+    """Append the unseen matches of a feed folder to the tables below ``path``; counts of added, skipped, failed (A5)."""
+    return add(read_documents(spark, feed), path)
 
 
 FEEDS = (2, 7, 30)

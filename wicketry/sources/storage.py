@@ -1,21 +1,35 @@
-"""Reading and writing the star schema, and the folder that executors share.
+"""The star schema on shared storage: batches, a pointer that names the live ones, buckets by match, kept grains.
 
-Every write is a batch: its rows lie below ``<table>/batch=<id>``, and the batch counts only once its marker file is there,
-which is made after all four tables. A failed write leaves rows that no reader sees; the next write removes them. One
-writer at a time is assumed.
+A write is one batch below ``<table>/batch=<id>``. What readers see is what the newest pointer file names: ``_pointer/v<n>.json`` lists the live
+batches, and comes into being by one rename after all tables are written. So there is no moment without a table, a
+failed write leaves only files that no pointer names (the next write removes them), and a reader that has begun keeps
+its batches until ``vacuum`` drops the versions that named them. One writer at a time is assumed; two that meet don't both commit.
+
+Matches, innings, deliveries and the innings grains are bucketed by match and sorted inside a bucket, with the same
+number of buckets everywhere, so joins and roll-ups by match need no exchange, over several batches too. ``compact``
+rewrites the live batches as one. The grains (batting and bowling innings, one row per player and innings) are made from each
+batch's own deliveries: a match lies in one batch, so they are exact, and an update adds its share only.
 """
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from ..functions.measures import batting, bowling, conceded
 
 STAR = ("players", "innings", "deliveries", "matches")
-MARKERS = "_batches"
+GRAINS = ("batting", "bowling")
+QUARANTINE = "quarantine"
+POINTER = "_pointer"
+#: Buckets of a new table, if none are asked for; a table keeps its number until it is rebuilt or compacted.
+BUCKETS = 8
+INNINGS = ("match_id", "innings_number")
+SORTED = {"matches": ("match_id",), "innings": INNINGS, "deliveries": (*INNINGS, "over_number", "ball_number"), "batting": INNINGS, "bowling": INNINGS}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -39,86 +53,154 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def committed(spark: SparkSession, path: str) -> list[str]:
-    """Ids of the batches whose marker is there: one for each write since the last rebuild."""
-    fs, p = _file_system(spark, f"{path}/{MARKERS}")
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _file_system(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def remove_uncommitted(spark: SparkSession, path: str) -> None:
-    """Delete what failed writes left."""
-    keep = set(committed(spark, path))
-    for name in STAR:
-        fs, p = _file_system(spark, f"{path}/{name}")
-        for s in fs.listStatus(p) if fs.exists(p) else ():
-            if s.getPath().getName().startswith("batch=") and s.getPath().getName()[6:] not in keep:
-                fs.delete(s.getPath(), True)
-
-
-def scan(spark: SparkSession, path: str, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """The four tables below ``path`` (committed batches only) and, where there is one, player_enrichment (A2)."""
-    ids = committed(spark, path)
-    found = {t: spark.read.format(fmt).load(f"{path}/{t}").filter(F.col("batch").cast("string").isin(ids)).drop("batch") for t in STAR}
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _file_system(spark, path)
+    stream = fs.open(p)
     try:
-        found["player_enrichment"] = spark.read.format(fmt).load(f"{path}/player_enrichment")
-    except AnalysisException:
-        pass
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def versions(spark: SparkSession, path: str) -> list[dict]:
+    """All pointers that are whole, newest first."""
+    out = []
+    for name in reversed([n for n in _names(spark, f"{path}/{POINTER}") if n.startswith("v")]):
+        try:
+            state = json.loads(read_text(spark, f"{path}/{POINTER}/{name}"))
+        except ValueError:  # a store without atomic renames may leave a part of one
+            continue
+        out.append(state)
+    return out
+
+
+def current(spark: SparkSession, path: str) -> dict | None:
+    """The newest pointer: version, buckets, batches (id, counts, and the columns of each of its tables), streams (last batch of each)."""
+    return next(iter(versions(spark, path)), None)
+
+
+def commit(spark: SparkSession, path: str, state: dict) -> None:
+    """Make ``state`` the newest pointer, by one rename; fails if its version exists."""
+    fs, made = _file_system(spark, f"{path}/{POINTER}/_new-{uuid.uuid4().hex}")
+    out = fs.create(made, False)
+    out.write(bytearray(json.dumps(state), "utf-8"))
+    out.close()
+    _, target = _file_system(spark, f"{path}/{POINTER}/v{state['version']:09d}.json")
+    if fs.exists(target) or not fs.rename(made, target):
+        fs.delete(made, False)
+        raise OSError(f"version {state['version']} of {path} was committed by another writer")
+
+
+def remove_unnamed(spark: SparkSession, path: str, keep: list[dict]) -> None:
+    """Delete batches that none of these pointers names."""
+    ids = {b["id"] for state in keep for b in state["batches"]}
+    for name in (*STAR, *GRAINS, QUARANTINE):
+        for folder in _names(spark, f"{path}/{name}"):
+            if folder.startswith("batch=") and folder[6:] not in ids:
+                remove(spark, f"{path}/{name}/{folder}")
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Forget all but the newest ``keep`` versions and delete what only the others named."""
+    found = versions(spark, path)
+    for state in found[keep:]:
+        remove(spark, f"{path}/{POINTER}/v{state['version']:09d}.json")
+    remove_unnamed(spark, path, found[:keep])
+
+
+def _read(spark: SparkSession, path: str, name: str, batch: dict, buckets: int) -> DataFrame:
+    """One table of one batch; its buckets are declared by a catalog entry that is dropped once the plan holds them."""
+    at, columns = f"{path}/{name}/batch={batch['id']}", batch["columns"][name]
+    if name not in SORTED:
+        return spark.read.schema(columns).parquet(at)
+    entry = f"read_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {entry} ({columns}) USING parquet CLUSTERED BY (match_id) SORTED BY ({', '.join(SORTED[name])}) INTO {buckets} BUCKETS LOCATION '{at}'")
+    try:
+        return spark.table(entry)
+    finally:
+        spark.sql(f"DROP TABLE {entry}")
+
+
+def scan(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The live tables below ``path``, or those of a version (A2): the star, its grains, quarantine and, where there is one, player_enrichment."""
+    state = current(spark, path) if version is None else next((s for s in versions(spark, path) if s["version"] == version), None)
+    if state is None:
+        raise FileNotFoundError(f"no table at {path}")
+    found = {}
+    for name in (*STAR, *GRAINS, QUARANTINE):
+        for batch in state["batches"]:
+            if name in batch["columns"]:
+                part = _read(spark, path, name, batch, state["buckets"])
+                found[name] = found[name].unionByName(part) if name in found else part
+    found.setdefault(QUARANTINE, spark.createDataFrame([], "match_id string, _corrupt_record string"))
+    if _names(spark, f"{path}/player_enrichment"):
+        found["player_enrichment"] = spark.read.parquet(f"{path}/player_enrichment")
     return found
 
 
-def write_star(tables: dict[str, DataFrame], path: str, mode: str = "append") -> None:
-    """Write the tables as one batch; deliveries are partitioned by match type and clustered by match (A3).
-
-    Small batches make few files, as adaptive execution joins small shuffle partitions.
-    """
-    spark = tables["matches"].sparkSession
-    batch = f"b{uuid.uuid4().hex}"
-    if mode == "append":
-        remove_uncommitted(spark, path)
-    else:
-        remove(spark, path)
-    for name in STAR:
-        df, at = tables[name], f"{path}/{name}/batch={batch}"
-        if name == "deliveries":
-            types = tables["matches"].select("match_id", "match_type")
-            df = df.drop("match_type").join(types, "match_id").repartition("match_type", "match_id").sortWithinPartitions("match_id", "innings_number", "over_number", "ball_number")
-            df.write.partitionBy("match_type").parquet(at)
+def grains(deliveries: DataFrame) -> dict[str, DataFrame]:
+    """Batting and bowling innings, one row per player; maidens are overs without runs conceded, as in D3."""
+    overs = deliveries.groupBy(*INNINGS, "bowler", "bowler_id", "over_number").agg(F.sum(conceded()).alias("r"))
+    maidens = overs.groupBy(*INNINGS, "bowler", "bowler_id").agg(F.count_if(F.col("r") == 0).alias("maidens"))
+    b = deliveries.groupBy(*INNINGS, "bowler", "bowler_id").agg(*bowling())
+    same = b.bowler.eqNullSafe(maidens.bowler) & b.bowler_id.eqNullSafe(maidens.bowler_id) & (b.match_id == maidens.match_id) & (b.innings_number == maidens.innings_number)
+    return {"batting": deliveries.groupBy(*INNINGS, "batter", "batter_id").agg(*batting()), "bowling": b.join(maidens, same).select(*(b[c] for c in b.columns), "maidens")}
+
+
+def write_batch(tables: dict[str, DataFrame], path: str, buckets: int) -> dict:
+    """Write the tables as one batch, which no pointer names yet; its entry for one, with rows counted during the write."""
+    spark = next(iter(tables.values())).sparkSession
+    batch = {"id": f"b{uuid.uuid4().hex}", "columns": {}, "counts": {}}
+
+    def write(name: str, df: DataFrame) -> None:
+        at, seen = f"{path}/{name}/batch={batch['id']}", Observation()
+        batch["columns"][name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        df = df.observe(seen, F.count(F.lit(1)).alias("n"))
+        if name in SORTED:
+            entry = f"write_{uuid.uuid4().hex}"
+            try:
+                df.repartition(buckets, "match_id").write.format("parquet").bucketBy(buckets, "match_id").sortBy(*SORTED[name]).option("path", at).saveAsTable(entry)
+            finally:
+                spark.sql(f"DROP TABLE IF EXISTS {entry}")  # the files stay
         else:
             df.write.parquet(at)
-    fs, marker = _file_system(spark, f"{path}/{MARKERS}/{batch}")
-    fs.create(marker).close()
-
-
-def append_star(tables: dict[str, DataFrame], path: str) -> int:
-    """Append rows derived from what is below ``path`` itself: they are fixed in the shared folder first, which is emptied after. Returns the number of matches."""
-    spark = tables["matches"].sparkSession
-    at = shared_path(spark, "append")
-    try:
-        new = {}
-        for name, df in tables.items():
-            df.write.parquet(f"{at}/{name}")
-            new[name] = spark.read.schema(df.schema).parquet(f"{at}/{name}")
-        added = new["matches"].count()
-        if added:
-            write_star(new, path)
-        return added
-    finally:
-        remove(spark, at)
-
-
-def rebuild(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> None:
-    """Write a fresh copy beside the old one and swap names only when it is complete (A4)."""
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    write_star(tables, new, "overwrite")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target, fresh, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old))
-    fs = target.getFileSystem(conf)
-    had = fs.exists(target)
-    if had:
-        fs.rename(target, aside)
-    if not fs.rename(fresh, target):
-        if had:
-            fs.rename(aside, target)
-        raise OSError(f"{path} could not be replaced")
-    if had:
-        fs.delete(aside, True)
+        batch["counts"][name] = seen.get["n"]
+
+    for name in (*STAR, QUARANTINE):
+        if name in tables:
+            write(name, tables[name])
+    if "deliveries" in tables:
+        for name, df in grains(_read(spark, path, "deliveries", batch, buckets)).items():
+            write(name, df)
+    return batch
+
+
+def write_star(tables: dict[str, DataFrame], path: str, mode: str = "append", buckets: int | None = None, stream: tuple[str, int] | None = None) -> dict:
+    """Write the tables as one batch and commit it (A3): beside the live ones, or in their place. ``stream``: name and batch to remember. Returns the rows written."""
+    spark = next(iter(tables.values())).sparkSession
+    known = versions(spark, path)
+    old = known[0] if known else {"version": 0, "buckets": buckets or BUCKETS, "batches": [], "streams": {}}
+    remove_unnamed(spark, path, known)
+    n = old["buckets"] if mode == "append" else buckets or old["buckets"]
+    batch = write_batch(tables, path, n)
+    streams = old["streams"] | ({stream[0]: stream[1]} if stream else {})
+    commit(spark, path, {"version": old["version"] + 1, "buckets": n, "batches": [*(old["batches"] if mode == "append" else ()), batch], "streams": streams})
+    return batch["counts"]
+
+
+def rebuild(spark: SparkSession, tables: dict[str, DataFrame], path: str, buckets: int | None = None) -> None:
+    """Put a fresh copy in place of all batches (A4); until it is committed readers see the old ones, which go with the next but one version."""
+    write_star(tables, path, "overwrite", buckets)
+    vacuum(spark, path, keep=2)
+
+
+def compact(spark: SparkSession, path: str, buckets: int | None = None) -> None:
+    """Rewrite the live batches as one; the rows stay as they are. Files afterwards: at most one a table and bucket."""
+    live = scan(spark, path)
+    write_star({name: live[name] for name in (*STAR, QUARANTINE) if name in live}, path, "overwrite", buckets)
+    vacuum(spark, path, keep=2)

@@ -1,24 +1,25 @@
-"""The recent-match feed as a file stream: each batch appends only unseen matches (A5)."""
+"""The recent-match feed as a file stream: each batch appends only unseen matches, and bad documents to quarantine."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.ingest import DOCUMENT, load, split_bad, unseen, with_match_id
-from ..sources.storage import append_star, scan
+from ..sources.ingest import DOCUMENT, add, with_match_id
+from ..sources.storage import read_text
 
 
 def follow(spark: SparkSession, feed: str, path: str, checkpoint: str) -> StreamingQuery:
     """Start the stream over what is there now (availableNow); the checkpoint remembers files between runs.
 
-    A batch that is repeated after a failure adds what is missing: its tables became visible together, or not at all.
+    Each batch is committed with the stream's id and its number, so a batch that is repeated after a failure counts once.
     """
-    docs = spark.readStream.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(feed)
+    docs = spark.readStream.schema(DOCUMENT).option("recursiveFileLookup", True).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(feed)
 
-    def append(batch: DataFrame, _: int) -> None:
-        have = scan(batch.sparkSession, path)
-        good, _bad = split_bad(batch)
-        append_star(load(unseen(good, have["matches"]), have["players"]), path)
+    def append(batch, number: int) -> None:
+        stream = json.loads(read_text(batch.sparkSession, f"{checkpoint}/metadata"))["id"]
+        add(batch, path, (stream, number))
 
     return with_match_id(docs).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
