@@ -141,8 +141,7 @@ def milestone(t: Tables, kind: str, threshold: int, proximity: int | None = None
     elif kind in ("wickets", "five_wicket_hauls"):
         table = bowling_table(bowling_of(t, **f), *BOWLER).selectExpr("bowler AS player", "bowler_id AS player_id", f"{kind} AS value")
     else:
-        b = balls(t, **f)
-        pairs = b.select(F.col("batter_id").alias("player_id"), "match_id").union(b.select(F.col("bowler_id"), "match_id")).distinct()
+        pairs = batting_of(t, **f).select(F.col("batter_id").alias("player_id"), "match_id").union(bowling_of(t, **f).select("bowler_id", "match_id")).distinct()
         table = pairs.groupBy("player_id").agg(F.count("*").alias("value")).join(t.players, "player_id").select(F.col("player_name").alias("player"), "player_id", "value")
     table = table.filter(F.col("value") >= threshold - near).select(
         "player", "player_id", "value", F.greatest(F.lit(threshold) - F.col("value"), F.lit(0)).cast("bigint").alias("remaining"), (F.col("value") >= threshold).alias("reached"))
