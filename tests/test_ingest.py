@@ -224,3 +224,20 @@ def test_freshness_states(spark):
         m = spark.createDataFrame([("1", "2020-01-01")], "match_id string, d string").select("match_id", F.col("d").cast("date").alias("date_start"))
         assert ingest.freshness(m, day).first().state == state
     assert ingest.freshness(spark.createDataFrame([], "match_id string, date_start date"), "2020-01-01").first().state == "needs rebuild"
+
+
+def test_integrity_counts_what_joins_count(spark):
+    """Orphans, repeats, missing keys and overs of no phase, planted; equal to anti joins and groups counted one by one."""
+    m = spark.createDataFrame([("1", "T20"), ("1", "T20"), ("2", "ODI"), (None, "T20"), (None, "IT20"), ("5", "IT20"), ("6", None)], "match_id string, match_type string")
+    i = spark.createDataFrame([("1", 1), ("1", 1), ("2", 1), ("9", 1), (None, 1), ("5", None), ("5", None)], "match_id string, innings_number int")
+    d = spark.createDataFrame([("1", 1, 0, 1), ("1", 1, 0, 1), ("1", 1, 0, 1), ("1", 1, 20, 1), ("1", 2, None, 1), ("2", 1, 30, 1), ("9", 1, 25, 0), ("8", 1, 0, 0), (None, 1, 40, 1), (None, 1, 40, 1), ("5", None, 19, 1), ("5", 1, -1, 1), ("5", 1, -1, 1), ("6", 1, 77, 1)],
+                              "match_id string, innings_number int, over_number int, ball_number int")
+    p = spark.createDataFrame([("a",), ("a",), (None,), (None,), ("b",)], "player_id string")
+    got = {r.check: r.violations for r in ingest.integrity({"matches": m, "innings": i, "deliveries": d, "players": p}).collect()}
+    twice = lambda df, *k: df.groupBy(*k).count().filter("count > 1").count()
+    t20 = d.join(m.filter("match_type IN ('T20', 'IT20')"), "match_id", "left_semi")
+    assert got == {"orphan_deliveries": d.join(m, "match_id", "left_anti").count(), "orphan_innings": i.join(m, "match_id", "left_anti").count(), "deliveries_without_innings": d.join(i, ["match_id", "innings_number"], "left_anti").count(),
+                   "repeated_matches": twice(m, "match_id"), "repeated_innings": twice(i, "match_id", "innings_number"), "repeated_deliveries": twice(d, "match_id", "innings_number", "over_number", "ball_number"),
+                   "repeated_players": twice(p, "player_id"), "overs_outside_phases": t20.filter("NOT over_number BETWEEN 0 AND 19").count()}
+    assert min(got.values()) > 0
+    assert all(r.violations == 0 for r in ingest.integrity({k: v.limit(0) for k, v in {"matches": m, "innings": i, "deliveries": d, "players": p}.items()}).collect())

@@ -1,9 +1,13 @@
 """A hand-computed match, and invariants of the operators."""
 
+import datetime
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from wicketry.operators import careers, impact, innings, matches, players
+from wicketry.operators.streaks import streaks
 from wicketry.plans.fixture import Tables, tables
 from wicketry.plans.grains import balls
 
@@ -108,3 +112,40 @@ def test_career_impact_counts_matches_with_bat_or_ball_only(spark, mini):
     t = Tables(mini.players, later(mini.matches, date_start=F.date_add("date_start", 1)), later(mini.innings), later(mini.deliveries))
     assert [r.match_id for r in impact.career_impact_matches(t, "X", limit=1).collect()] == ["n"]
     assert impact.career_impact(t, "X").first().matches == 2
+
+
+def plain_streaks(rows):
+    """(key, length, first day, last day, runs, most) of unbroken hits, from rows of (key, day, number, runs, hit)."""
+    out, last = [], None
+    for key, day, _, runs, hit in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2])):
+        if hit and last and last[0] == key:
+            last[1:] = [last[1] + 1, min(filter(None, (last[2], day)), default=None), max(filter(None, (last[3], day)), default=None), last[4] + runs, max(last[5], runs)]
+        elif hit:
+            last = [key, 1, day, day, runs, runs]
+            out.append(last)
+        else:
+            last = None
+    return sorted(map(tuple, out), key=str)
+
+
+def test_streaks_merge_over_years_like_one_pass(spark):
+    """Random histories over years: runs across several borders, years without a hit, one day with many rows, no day, a missing key, a test that is null."""
+    rng, rows = random.Random(5), []
+    for key in (None, "a", "b", "c", "d"):
+        for n in range(150):
+            day = None if rng.random() < 0.05 else datetime.date(2000 + rng.randrange(9), rng.choice((1, 12)), rng.choice((1, 31)))
+            rows.append((key, day, n, rng.randrange(100), {"a": True, "b": False}.get(key, rng.choice((True, True, True, False, None)))))
+    df = spark.createDataFrame(rows, "key string, date_start date, n int, runs int, good boolean")
+    got = streaks(df.withColumn("most", F.col("runs")), ["key"], F.col("good"), ["date_start", "n"], ("runs",), ("most",))
+    assert got.columns == ["key", "length", "start_date", "end_date", "runs", "most"]
+    want = plain_streaks(rows)
+    assert sorted(map(tuple, got.collect()), key=str) == want and max(r[1] for r in want) == 150
+    assert streaks(df.limit(0), ["key"], F.col("good"), ["date_start", "n"]).count() == 0
+
+
+def test_streaks_have_no_window_over_a_whole_history(spark):
+    """Rows are exchanged by key and year; only what is rolled up meets by key."""
+    df = spark.range(10).selectExpr("'k' AS key", "date_add(date'2000-01-01', cast(id as int)) AS date_start", "id % 3 = 0 AS good")
+    plan = streaks(df, ["key"], F.col("good"), ["date_start"])._jdf.queryExecution().executedPlan().toString()
+    keys = [line.split("hashpartitioning(")[1].split("), ")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert len(keys) == 2 and "_slot" in keys[0] and "_year" in keys[1]

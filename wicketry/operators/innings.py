@@ -9,7 +9,7 @@ from ..functions.filters import like, match_filter
 from ..functions.measures import bowler_wicket, conceded, economy, faced, four, legal, overs_text, ratio, rounded, six
 from ..plans.fixture import Tables
 from ..plans.grains import balls, batting_innings, batting_of, bowling_innings, down, top, up
-from .matches import islands
+from .streaks import streaks
 
 WHERE = ["match_id", "innings_number"]
 CONTEXT = ["match_type", "date_start", "venue"]
@@ -133,9 +133,8 @@ def batter_streaks(t: Tables, kind: str = "fifty_plus", threshold: int = 50, pla
     """Consecutive innings of fifty or more, or ducks."""
     inn = batting_of(t, like("batter", player) if player else None, ("date_start",), **f)
     hit = F.col("runs") >= threshold if kind == "fifty_plus" else (F.col("runs") == 0) & (F.col("out") == 1)
-    x = islands(inn, ["batter", "batter_id"], hit, ["date_start", *WHERE]).groupBy("batter", "batter_id", "island").agg(
-        F.count("*").alias("length"), F.sum("runs").alias("runs"), F.max("runs").alias("highest_score"), F.min("date_start").alias("start_date"), F.max("date_start").alias("end_date"))
-    return top(x.filter(F.col("length") >= min_length).drop("island"), limit, down("length"), down("runs"), up("batter"), up("batter_id"), up("start_date"))
+    x = streaks(inn.withColumn("highest_score", F.col("runs")), ["batter", "batter_id"], hit, ["date_start", *WHERE], ("runs",), ("highest_score",))
+    return top(x.filter(F.col("length") >= min_length), limit, down("length"), down("runs"), up("batter"), up("batter_id"), up("start_date"))
 
 
 def _form(inn: DataFrame, last_n: int, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.filters import match_filter
 from ..functions.measures import ratio, rounded
 from ..plans.fixture import Tables
 from ..plans.grains import down, innings_totals, team_matches, top, up
+from .streaks import streaks
 
 MATCH_COLUMNS = ["match_id", "match_type", "gender", "season", "date_start", "team1", "team2", "venue", "city", "toss_winner", "toss_decision", "outcome_winner",
                  "outcome_by_runs", "outcome_by_wickets", "outcome_result", "player_of_match", "event_name", "event_stage"]
@@ -179,18 +180,10 @@ def super_over_records(t: Tables, **f) -> DataFrame:
     return x.orderBy(down("won"), up("lost"), up("team"))
 
 
-def islands(df: DataFrame, keys: list[str], hit: Column, order: list[str]) -> DataFrame:
-    """Rows of unbroken runs of ``hit``, with ``island`` numbering the runs of a key."""
-    w, wh = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys, "hit").orderBy(*order)
-    x = df.withColumn("hit", hit)
-    return x.withColumn("island", F.row_number().over(w) - F.row_number().over(wh)).filter("hit")
-
-
 def team_streaks(t: Tables, kind: str = "wins", team: str | None = None, min_length: int = 2, limit: int = 10, **f) -> DataFrame:
     """Matches with neither winner, draw nor tie are skipped; draws and ties end a streak."""
     x = team_matches(t, **f).filter(F.col("outcome_winner").isNotNull() | F.col("outcome_result").isin("draw", "tie"))
     if team:
         x = x.filter(F.col("team").ilike(f"%{team}%"))
-    runs = islands(x, ["team"], F.coalesce(won() if kind == "wins" else lost(), F.lit(False)), ["date_start", "match_id"])
-    table = runs.groupBy("team", "island").agg(F.count("*").alias("length"), F.min("date_start").alias("start_date"), F.max("date_start").alias("end_date")).filter(F.col("length") >= min_length).drop("island")
+    table = streaks(x, ["team"], won() if kind == "wins" else lost(), ["date_start", "match_id"]).filter(F.col("length") >= min_length)
     return top(table, limit, down("length"), down("end_date"), up("team"))
