@@ -189,40 +189,29 @@ def summary(tables: dict[str, DataFrame], bad: DataFrame | None = None) -> DataF
     return reduce(DataFrame.unionByName, counts)
 
 
-#: The checks in order of the report, each a sum over matches; repeated_players is counted apart.
-CHECKS = ("orphan_deliveries", "orphan_innings", "deliveries_without_innings", "repeated_matches", "repeated_innings", "repeated_deliveries", "overs_outside_phases")
-
-
 def integrity(tables: dict[str, DataFrame]) -> DataFrame:
     """Violations by check: orphans, repeated keys, overs of no phase in twenty-over matches.
 
-    Every table is read once. Rows of all three tables are counted by key, then by innings, then by match; each key holds the match, so
-    tables bucketed by match need no exchange before the one row of sums. A missing match_id or innings_number matches nothing, as in a join.
+    Deliveries are read once, counted by key, then by innings, then by match, and meet innings and matches as such counts. Every step
+    holds the match, so tables bucketed by match need no exchange before the one row of sums. A missing match_id or
+    innings_number matches nothing.
     """
-    keys = ("match_id", "innings_number", "over_number", "ball_number")
-    short = F.col("match_type").isin("T20", "IT20")
-
-    def rows(kind: str, n: int) -> DataFrame:
-        have = [F.col(c) if k < n else F.lit(None).cast("int").alias(c) for k, c in enumerate(keys)]
-        return tables[kind].select(*have, F.lit(kind).alias("kind"), (short if kind == "matches" else F.lit(None).cast("boolean")).alias("short"))
-
-    def number(kind: str, value: Column, where: Column | None = None) -> Column:
-        of = F.col("kind") == kind
-        return F.coalesce(F.sum(F.when(of if where is None else of & where, value)), F.lit(0))
-
-    n, one, again = F.col("n"), F.lit(1), F.col("n") > 1
-    by_key = reduce(DataFrame.unionByName, [rows("matches", 1), rows("innings", 2), rows("deliveries", 4)]).groupBy(*keys, "kind").agg(F.count("*").alias("n"), F.max("short").alias("short"))
-    by_innings = by_key.groupBy(*keys[:2]).agg(
-        *(number(kind, n).alias(kind) for kind in ("matches", "innings", "deliveries")), *(number(kind, one, again).alias(f"repeated_{kind}") for kind in ("matches", "innings", "deliveries")),
-        number("deliveries", n, ~F.col("over_number").between(0, 19)).alias("outside"), F.max("short").alias("short"))
-    lone = F.when((F.col("innings") == 0) | F.col("match_id").isNull() | F.col("innings_number").isNull(), F.col("deliveries")).otherwise(0)
-    by_match = by_innings.withColumn("lone", lone).groupBy("match_id").agg(
-        *(F.sum(c).alias(c) for c in by_innings.columns if c not in (*keys, "short")), F.sum("lone").alias("deliveries_without_innings"), F.max("short").alias("short"))
-    orphan = (F.col("matches") == 0) | F.col("match_id").isNull()
-    x = by_match.select(
-        F.when(orphan, F.col("deliveries")).otherwise(0).alias("orphan_deliveries"), F.when(orphan, F.col("innings")).otherwise(0).alias("orphan_innings"), "deliveries_without_innings", "repeated_matches", "repeated_innings", "repeated_deliveries",
-        F.when(F.col("short") & F.col("match_id").isNotNull(), F.col("outside")).otherwise(0).alias("overs_outside_phases"))
-    sums = x.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CHECKS))
-    report = sums.select(F.stack(F.lit(len(CHECKS)), *(y for c in CHECKS for y in (F.lit(c), F.col(c)))).alias("check", "violations"))
-    players = tables["players"].groupBy("player_id").count().agg(F.count_if(F.col("count") > 1).alias("violations")).select(F.lit("repeated_players").alias("check"), "violations")
-    return report.unionByName(players)
+    m, i, d, p = (tables[n] for n in ("matches", "innings", "deliveries", "players"))
+    n, again = F.sum("n"), F.count_if(F.col("n") > 1)
+    short = F.max(F.col("match_type").isin("T20", "IT20"))
+    by_match = m.groupBy("match_id").agg(F.count("*").alias("n"), short.alias("short"))
+    known = by_match.select(F.col("match_id").alias("_match"), "short")
+    by_innings = i.groupBy("match_id", "innings_number").agg(F.count("*").alias("n"))
+    played = by_innings.select(F.col("match_id").alias("_of"), F.col("innings_number").alias("_innings"))
+    balls = d.groupBy("match_id", "innings_number", "over_number", "ball_number").agg(F.count("*").alias("n")).groupBy("match_id", "innings_number").agg(
+        n.alias("balls"), again.alias("repeated"), F.sum(F.when(~F.col("over_number").between(0, 19), F.col("n"))).alias("outside"))
+    # joined by match, the innings only a condition, as elsewhere
+    balls = balls.join(played, (F.col("match_id") == F.col("_of")) & (F.col("innings_number") - F.col("_innings") == 0), "left").join(known, F.col("match_id") == F.col("_match"), "left")
+    rows = by_innings.groupBy("match_id").agg(n.alias("rows"), again.alias("repeated")).join(known, F.col("match_id") == F.col("_match"), "left")
+    orphan = F.col("_match").isNull()
+    total = lambda value, where=None: F.coalesce(F.sum(value if where is None else F.when(where, value)), F.lit(0))
+    sums = balls.agg(total(F.col("balls"), orphan).alias("orphan_deliveries"), total(F.col("balls"), F.col("_of").isNull()).alias("deliveries_without_innings"), total(F.col("repeated")).alias("repeated_deliveries"), total(F.col("outside"), F.col("short")).alias("overs_outside_phases"))
+    more = (rows.agg(total(F.col("rows"), orphan).alias("orphan_innings"), total(F.col("repeated")).alias("repeated_innings")), by_match.agg(again.alias("repeated_matches")),
+            p.groupBy("player_id").agg(F.count("*").alias("n")).agg(again.alias("repeated_players")))
+    one = reduce(DataFrame.crossJoin, more, sums)  # one row each
+    return one.select(F.stack(F.lit(len(one.columns)), *(x for c in one.columns for x in (F.lit(c), F.col(c)))).alias("check", "violations"))
