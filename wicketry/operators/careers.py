@@ -44,14 +44,14 @@ BOWL_OUT = ["matches", "innings", "overs", "runs_conceded", "wickets", "best_fig
 
 def player_batting(t: Tables, player: str, **f) -> DataFrame:
     """D2."""
-    return batting_table(batting_of(t, like("batter", player), **f), *BATTER).select(*BATTER, *BAT_OUT)
+    return batting_table(batting_of(t, like("batter", player), names=(player,), **f), *BATTER).select(*BATTER, *BAT_OUT)
 
 
 def player_bowling(t: Tables, player: str, **f) -> DataFrame:
     """D3: maidens are overs without runs conceded; best figures and maidens belong to (name, id)."""
     if t.bowling is not None:
-        return bowling_table(bowling_of(t, like("bowler", player), **f), *BOWLER, more=(F.sum("maidens").alias("maidens"),)).select(*BOWLER, *BOWL_OUT, "maidens")
-    b = balls(t, like("bowler", player), **f)
+        return bowling_table(bowling_of(t, like("bowler", player), names=(player,), **f), *BOWLER, more=(F.sum("maidens").alias("maidens"),)).select(*BOWLER, *BOWL_OUT, "maidens")
+    b = balls(t, like("bowler", player), names=(player,), **f)
     overs = b.groupBy(*BOWLER, "match_id", "innings_number", "over_number").agg(F.sum(conceded()).alias("r"))
     maidens = overs.groupBy(*BOWLER).agg(F.count_if(F.col("r") == 0).alias("maidens"))
     return bowling_table(bowling_innings(b), *BOWLER).join(maidens, BOWLER).select(*BOWLER, *BOWL_OUT, "maidens")
@@ -80,7 +80,7 @@ def bowling_records(t: Tables, record_type: str = "most_wickets", min_innings: i
 def phase_batting(t: Tables, phase_name: str, player: str | None = None, sort_by: str = "runs", min_balls: int = 50, limit: int = 10, **f) -> DataFrame:
     """D15."""
     where = phase(phase_name) & (like("batter", player) if player else F.lit(True))
-    table = batting_table(batting_innings(balls(t, where, **f)), *BATTER).filter(F.col("balls_faced") >= min_balls)
+    table = batting_table(batting_innings(balls(t, where, names=(player,), **f)), *BATTER).filter(F.col("balls_faced") >= min_balls)
     table = table.select(*BATTER, "matches", "innings", "not_outs", "runs", "average", "strike_rate", "balls_faced", "fours", "sixes", "dots",
                          ratio("dots", "balls_faced", 100.0).alias("dot_pct"), ratio(F.col("fours") + F.col("sixes"), F.col("balls_faced"), 100.0).alias("boundary_pct"))
     order = {"strike_rate": down("strike_rate"), "average": down("average"), "dot_pct": up("dot_pct")}.get(sort_by, down("runs"))
@@ -90,7 +90,7 @@ def phase_batting(t: Tables, phase_name: str, player: str | None = None, sort_by
 def phase_bowling(t: Tables, phase_name: str, player: str | None = None, sort_by: str = "wickets", min_balls: int = 50, limit: int = 10, **f) -> DataFrame:
     """D16."""
     where = phase(phase_name) & (like("bowler", player) if player else F.lit(True))
-    table = bowling_table(bowling_innings(balls(t, where, **f)), *BOWLER).filter(F.col("balls") >= min_balls)
+    table = bowling_table(bowling_innings(balls(t, where, names=(player,), **f)), *BOWLER).filter(F.col("balls") >= min_balls)
     table = table.select(*BOWLER, "matches", "innings", "balls", "overs", "runs_conceded", "wickets", "dots", "fours", "sixes", "average", "economy", "strike_rate",
                          ratio("dots", "balls", 100.0).alias("dot_pct"), ratio(F.col("fours") + F.col("sixes"), F.col("balls"), 100.0).alias("boundary_pct"))
     order = {"strike_rate": up("strike_rate"), "average": up("average"), "economy": up("economy"), "dot_pct": down("dot_pct")}.get(sort_by, down("wickets"))
@@ -99,7 +99,7 @@ def phase_bowling(t: Tables, phase_name: str, player: str | None = None, sort_by
 
 def situational(t: Tables, situation: str, position: int | None = None, player: str | None = None, min_innings: int = 5, sort_by: str = "runs", limit: int = 10, **f) -> DataFrame:
     """Chasing, setting, pressure or batting_position; the last needs a position."""
-    b = balls(t, context=("match_type",), **f)
+    b = balls(t, context=("match_type",), names=(player,), **f)
     n, test = F.col("innings_number"), F.col("match_type") == "Test"
     if situation == "chasing":
         b = b.filter(F.when(test, n == 4).otherwise(n == 2))
@@ -200,7 +200,7 @@ def _both_careers(b: DataFrame, keep: Column, innings, table, keys: list[str], c
 
 def what_if_batting(t: Tables, player: str, exclude: dict[str, str], **f) -> DataFrame:
     """Original and modified career side by side; missing ratios count as 0 in deltas."""
-    b = balls(t, like("batter", player), ("team1", "team2", "venue", "event_name"), **f)
+    b = balls(t, like("batter", player), ("team1", "team2", "venue", "event_name"), (player,), **f)
     wide = _both_careers(b, _kept(exclude, "bowler"), batting_innings, batting_table, BATTER, ("matches", "innings", "runs", "average", "strike_rate"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return wide.select(
@@ -212,7 +212,7 @@ def what_if_batting(t: Tables, player: str, exclude: dict[str, str], **f) -> Dat
 
 def what_if_bowling(t: Tables, player: str, exclude: dict[str, str], **f) -> DataFrame:
     """D32."""
-    b = balls(t, like("bowler", player), ("team1", "team2", "venue", "event_name"), **f)
+    b = balls(t, like("bowler", player), ("team1", "team2", "venue", "event_name"), (player,), **f)
     wide = _both_careers(b, _kept(exclude, "batter"), bowling_innings, bowling_table, BOWLER, ("matches", "innings", "wickets", "runs_conceded", "average", "economy"))
     return wide.select(
         *BOWLER, "o_matches", "o_innings", "o_wickets", "o_runs_conceded", "o_average", "o_economy", "m_matches", "m_innings", "m_wickets", "m_runs_conceded", "m_average", "m_economy",
@@ -223,13 +223,13 @@ def what_if_bowling(t: Tables, player: str, exclude: dict[str, str], **f) -> Dat
 
 def season_batting(t: Tables, player: str, sort_by: str = "season", **f) -> DataFrame:
     """D35."""
-    table = batting_table(batting_of(t, like("batter", player), ("season",), **f), "season", *BATTER).select("season", *BATTER, *BAT_OUT)
+    table = batting_table(batting_of(t, like("batter", player), ("season",), (player,), **f), "season", *BATTER).select("season", *BATTER, *BAT_OUT)
     return table.orderBy({"season": up("season"), "average": down("average")}.get(sort_by, down("runs")), up("season"), *map(up, BATTER))
 
 
 def season_bowling(t: Tables, player: str, sort_by: str = "season", **f) -> DataFrame:
     """D35."""
-    table = bowling_table(bowling_of(t, like("bowler", player), ("season",), **f), "season", *BOWLER).select("season", *BOWLER, *BOWL_OUT)
+    table = bowling_table(bowling_of(t, like("bowler", player), ("season",), (player,), **f), "season", *BOWLER).select("season", *BOWLER, *BOWL_OUT)
     return table.orderBy({"season": up("season"), "average": up("average")}.get(sort_by, down("wickets")), up("season"), *map(up, BOWLER))
 
 

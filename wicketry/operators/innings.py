@@ -69,7 +69,7 @@ def innings_progression(t: Tables, match_id: str, innings: int = 1) -> DataFrame
 
 def innings_records(t: Tables, record_type: str = "highest_score", player: str | None = None, limit: int = 10, **f) -> DataFrame:
     """Super overs left out."""
-    b = balls(t, like("batter", player) if player else None, tuple(CONTEXT), **f)
+    b = balls(t, like("batter", player) if player else None, tuple(CONTEXT), (player,), **f)
     x = batting_innings(b, *CONTEXT).join(_main(t), WHERE).select(
         "batter", "batter_id", *WHERE, "runs", "balls", ratio("runs", "balls", 100.0).alias("strike_rate"), "fours", "sixes", (F.col("out") == 0).alias("not_out"), "team", "opposition", *CONTEXT)
     order = {"most_sixes": [down("sixes"), down("runs")], "most_fours": [down("fours"), down("runs")]}.get(record_type, [down("runs"), up("balls")])
@@ -78,7 +78,7 @@ def innings_records(t: Tables, record_type: str = "highest_score", player: str |
 
 def fastest(t: Tables, threshold: int = 50, player: str | None = None, limit: int = 10, **f) -> DataFrame:
     """Balls faced when the running score first reaches the threshold."""
-    b = balls(t, like("batter", player) if player else None, ("match_type", "date_start"), **f).join(_main(t), WHERE)
+    b = balls(t, like("batter", player) if player else None, ("match_type", "date_start"), (player,), **f).join(_main(t), WHERE)
     keys = [*WHERE, "batter", "batter_id"]
     w = Window.partitionBy(*keys).orderBy("over_number", "ball_number").rowsBetween(Window.unboundedPreceding, 0)
     run = b.withColumn("cr", F.sum("runs_batter").over(w)).withColumn("cb", F.sum(faced().cast("int")).over(w))
@@ -89,7 +89,7 @@ def fastest(t: Tables, threshold: int = 50, player: str | None = None, limit: in
 
 def best_bowling_figures(t: Tables, player: str | None = None, limit: int = 10, **f) -> DataFrame:
     """D46."""
-    b = balls(t, like("bowler", player) if player else None, tuple(CONTEXT), **f)
+    b = balls(t, like("bowler", player) if player else None, tuple(CONTEXT), (player,), **f)
     x = bowling_innings(b, *CONTEXT).join(_main(t), WHERE).select(
         "bowler", "bowler_id", *WHERE, F.concat(F.col("wickets").cast("string"), F.lit("/"), F.col("conceded").cast("string")).alias("figures"), "wickets", F.col("conceded").alias("runs_conceded"),
         overs_text(F.col("balls")).alias("overs"), economy("conceded", "balls").alias("economy"), F.col("opposition").alias("team"), F.col("team").alias("against"), *CONTEXT)
@@ -99,7 +99,7 @@ def best_bowling_figures(t: Tables, player: str | None = None, limit: int = 10,
 def over_records(t: Tables, side: str = "batting", player: str | None = None, limit: int = 10, **f) -> DataFrame:
     """Most runs off the bat by one batter in an over, or most runs conceded in one."""
     name, runs = ("batter", F.col("runs_batter")) if side == "batting" else ("bowler", conceded())
-    b = balls(t, like(name, player) if player else None, ("match_type", "date_start"), **f)
+    b = balls(t, like(name, player) if player else None, ("match_type", "date_start"), (player,), **f)
     x = b.groupBy(name, f"{name}_id", *WHERE, "over_number", "match_type", "date_start").agg(F.sum(runs).alias("runs"), F.count_if(six()).alias("sixes"), F.count_if(four()).alias("fours")).join(_main(t), WHERE)
     return top(x, limit, down("runs"), down("sixes"), *map(up, WHERE), up("over_number"), up(f"{name}_id"))
 
@@ -110,7 +110,7 @@ def stands(t: Tables, player: str | None = None, player2: str | None = None, **f
     for p in (player, player2):
         if p:
             pair = pair & (like("batter", p) | like("non_striker", p))
-    b = balls(t, pair, tuple(CONTEXT), **f)
+    b = balls(t, pair, tuple(CONTEXT), (player, player2), **f)
     return b.groupBy(*WHERE, F.least("batter", "non_striker").alias("player_a"), F.greatest("batter", "non_striker").alias("player_b"), *CONTEXT).agg(
         F.sum("runs_total").alias("partnership_runs"), F.count_if(faced()).alias("balls"))
 
@@ -131,7 +131,7 @@ def partnership_pairs(t: Tables, player: str | None = None, player2: str | None
 
 def batter_streaks(t: Tables, kind: str = "fifty_plus", threshold: int = 50, player: str | None = None, min_length: int = 2, limit: int = 10, **f) -> DataFrame:
     """Consecutive innings of fifty or more, or ducks."""
-    inn = batting_of(t, like("batter", player) if player else None, ("date_start",), **f)
+    inn = batting_of(t, like("batter", player) if player else None, ("date_start",), (player,), **f)
     hit = F.col("runs") >= threshold if kind == "fifty_plus" else (F.col("runs") == 0) & (F.col("out") == 1)
     x = streaks(inn.withColumn("highest_score", F.col("runs")), ["batter", "batter_id"], hit, ["date_start", *WHERE], ("runs",), ("highest_score",))
     return top(x.filter(F.col("length") >= min_length), limit, down("length"), down("runs"), up("batter"), up("batter_id"), up("start_date"))
@@ -143,7 +143,7 @@ def _form(inn: DataFrame, last_n: int, key: str) -> DataFrame:
 
 def form_batting(t: Tables, player: str, last_n: int = 10, **f) -> DataFrame:
     """The last innings, newest first, with dismissal and bowler of the last dismissal ball."""
-    b = balls(t, like("batter", player), ("date_start", "match_type"), **f)
+    b = balls(t, like("batter", player), ("date_start", "match_type"), (player,), **f)
     out = F.col("is_wicket") & (F.col("wicket_player_out") == F.col("batter"))
     how = b.groupBy(*WHERE, "batter_id").agg(F.max_by(F.struct("wicket_kind", "bowler"), F.when(out, place())).alias("w"), F.count_if(out).alias("o"))
     inn = batting_innings(b, "date_start", "match_type").join(how, [*WHERE, "batter_id"]).join(t.innings.select(*WHERE, F.col("bowling_team").alias("opposition")), WHERE)
@@ -160,7 +160,7 @@ def form_batting_summary(t: Tables, player: str, last_n: int = 10, **f) -> DataF
 
 def form_bowling(t: Tables, player: str, last_n: int = 10, **f) -> DataFrame:
     """Dots are legal balls without runs off the bat."""
-    b = balls(t, like("bowler", player), ("date_start", "match_type"), **f)
+    b = balls(t, like("bowler", player), ("date_start", "match_type"), (player,), **f)
     x = bowling_innings(b, "date_start", "match_type").join(t.innings.select(*WHERE, F.col("batting_team").alias("opposition")), WHERE)
     x = x.select("bowler", "bowler_id", *WHERE, "date_start", "match_type", "opposition", overs_text(F.col("balls")).alias("overs"), "balls", F.col("conceded").alias("runs_conceded"), "wickets", F.col("bat_dots").alias("dots"),
                  economy("conceded", "balls").alias("economy"), F.concat(F.col("wickets").cast("string"), F.lit("/"), F.col("conceded").cast("string")).alias("figures"))

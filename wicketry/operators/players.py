@@ -43,14 +43,14 @@ def _matchup(b: DataFrame, *keys: str) -> DataFrame:
 
 def matchup_pair(t: Tables, batter: str, bowler: str, perspective: str = "batting", limit: int = 10, **f) -> DataFrame:
     """Economy on balls faced; kinds sorted."""
-    x = _matchup(balls(t, like("batter", batter) & like("bowler", bowler), **f), *PAIR)
+    x = _matchup(balls(t, like("batter", batter) & like("bowler", bowler), names=(batter, bowler), **f), *PAIR)
     order = [down("runs")] if perspective == "batting" else [down("dismissals"), up("runs_conceded")]
     return top(x, limit, *order, *map(up, PAIR))
 
 
 def matchup_vs_team(t: Tables, batter: str, opposition: str, sort_by: str = "balls", min_balls: int = 6, limit: int = 10, **f) -> DataFrame:
     """By bowler, in matches that involve the opposition; filtered, then cut."""
-    x = _matchup(balls(t, like("batter", batter), opposition=opposition, **f), *PAIR).filter(F.col("balls") >= min_balls)
+    x = _matchup(balls(t, like("batter", batter), names=(batter,), opposition=opposition, **f), *PAIR).filter(F.col("balls") >= min_balls)
     order = {"dismissals": [down("dismissals"), down("balls")], "average": [up("average")], "strike_rate": [up("strike_rate")]}.get(sort_by, [down("balls")])
     return top(x, limit, *order, *map(up, PAIR))
 
@@ -59,7 +59,7 @@ def matchup_leaderboard(t: Tables, batter: str | None = None, bowler: str | None
     """One fixed name, grouped by the other side."""
     where = like("batter", batter) if batter else like("bowler", bowler)
     keys = ["bowler", "bowler_id"] if batter else ["batter", "batter_id"]
-    x = _matchup(balls(t, where, **f), *keys).filter((F.col("balls") >= min_balls) & (F.col("innings") >= min_innings))
+    x = _matchup(balls(t, where, names=(batter or bowler,), **f), *keys).filter((F.col("balls") >= min_balls) & (F.col("innings") >= min_innings))
     most = [down("dismissals"), down("balls")]
     orders = {"best_average": [up("average")], "best_strike_rate": [up("strike_rate")], "most_dots": [down("dot_pct")]} if batter else {
         "most_runs": [down("runs_conceded")], "highest_strike_rate": [down("strike_rate")], "best_average": [up("average")]}
@@ -68,7 +68,7 @@ def matchup_leaderboard(t: Tables, batter: str | None = None, bowler: str | None
 
 def discipline_bowling(t: Tables, player: str | None = None, phase_name: str | None = None, sort_by: str = "dot_pct", min_balls: int = 100, limit: int = 10, **f) -> DataFrame:
     """Wide and no-ball percentages count runs over deliveries."""
-    b = balls(t, phase(phase_name) & (like("bowler", player) if player else F.lit(True)), **f)
+    b = balls(t, phase(phase_name) & (like("bowler", player) if player else F.lit(True)), names=(player,), **f)
     s = b.groupBy("bowler", "bowler_id").agg(
         F.count("*").alias("deliveries"), F.count_if(legal()).alias("legal_balls"), F.count_if(legal() & (F.col("runs_total") == 0)).alias("dots"), F.sum("extras_wides").alias("wides"), F.sum("extras_noballs").alias("noballs"),
         F.count_if(four() | six()).alias("boundaries")).filter(F.col("legal_balls") >= min_balls)
@@ -80,7 +80,7 @@ def discipline_bowling(t: Tables, player: str | None = None, phase_name: str | N
 
 def discipline_batting(t: Tables, player: str | None = None, phase_name: str | None = None, sort_by: str = "dot_pct", min_balls: int = 100, limit: int = 10, **f) -> DataFrame:
     """D28."""
-    b = balls(t, phase(phase_name) & (like("batter", player) if player else F.lit(True)), **f)
+    b = balls(t, phase(phase_name) & (like("batter", player) if player else F.lit(True)), names=(player,), **f)
     s = b.groupBy("batter", "batter_id").agg(F.count_if(faced()).alias("balls"), F.sum("runs_batter").alias("runs"), F.count_if(bat_dot()).alias("dots"), F.count_if(four() | six()).alias("boundaries")).filter(F.col("balls") >= min_balls)
     x = s.select("batter", "batter_id", "balls", "runs", "dots", "boundaries", ratio("dots", "balls", 100.0).alias("dot_pct"), ratio("boundaries", "balls", 100.0).alias("boundary_pct"), ratio("runs", "balls", 100.0).alias("strike_rate"))
     return top(x, limit, down("boundary_pct") if sort_by == "boundary_pct" else up("dot_pct"), up("batter"), up("batter_id"))
@@ -89,7 +89,7 @@ def discipline_batting(t: Tables, player: str | None = None, phase_name: str | N
 def fielding(t: Tables, player: str | None = None, sort_by: str = "total", min_matches: int = 10, limit: int = 10, **f) -> DataFrame:
     """Both fielders count; matches are those with a dismissal."""
     kind = F.col("wicket_kind")
-    x = balls(t, F.col("is_wicket"), **f).select("match_id", "wicket_kind", F.explode(F.array("wicket_fielder1", "wicket_fielder2")).alias("fielder")).filter("fielder is not null")
+    x = balls(t, F.col("is_wicket"), names=(player,), **f).select("match_id", "wicket_kind", F.explode(F.array("wicket_fielder1", "wicket_fielder2")).alias("fielder")).filter("fielder is not null")
     if player:
         x = x.filter(like("fielder", player))
     s = x.groupBy("fielder").agg(F.countDistinct("match_id").alias("matches"), F.count_if(kind.isin("caught", "caught and bowled")).alias("catches"), F.count_if(kind == "run out").alias("run_outs"), F.count_if(kind == "stumped").alias("stumpings"), F.count("*").alias("total"))
@@ -101,7 +101,7 @@ def dismissals(t: Tables, player: str, perspective: str = "batting", vs_player:
     where = F.col("is_wicket") & (like("wicket_player_out", player) if perspective == "batting" else like("bowler", player) & F.col("wicket_kind").isin(*BOWLER_KINDS))
     if vs_player:
         where = where & like("bowler" if perspective == "batting" else "batter", vs_player)
-    x = balls(t, where, **f).groupBy(F.col("wicket_kind").alias("kind")).agg(F.count("*").alias("count"))
+    x = balls(t, where, names=(player, vs_player), **f).groupBy(F.col("wicket_kind").alias("kind")).agg(F.count("*").alias("count"))
     x = x.withColumn("total", F.sum("count").over(Window.partitionBy()))  # a dozen kinds at most
     return x.select("kind", "count", ratio("count", "total", 100.0, 1).alias("pct"), "total").orderBy(down("count"), up("kind"))
 
@@ -111,7 +111,7 @@ def style_matchup(t: Tables, player: str, side: str = "batting", grouping: str =
     name, other = ("batter", "bowler_id") if side == "batting" else ("bowler", "batter_id")
     column = "batting_style" if side == "bowling" else {"broad": "bowling_style_broad", "arm": "bowling_style_arm"}.get(grouping, "bowling_style")
     styles = t.players.select(F.col("player_id").alias(other), F.col(column).alias("style"))
-    b = balls(t, like(name, player) & phase(phase_name), **f).join(styles, other, "left").withColumn("style", F.coalesce("style", F.lit("Unknown")))
+    b = balls(t, like(name, player) & phase(phase_name), names=(player,), **f).join(styles, other, "left").withColumn("style", F.coalesce("style", F.lit("Unknown")))
     s = b.groupBy("style").agg(
         F.countDistinct("match_id", "innings_number").alias("innings"), F.count_if(faced()).alias("balls"), F.sum("runs_batter").alias("runs"), F.count_if(credited()).alias("dismissals"), F.count_if(bat_dot()).alias("dots"), F.count_if(four()).alias("fours"), F.count_if(six()).alias("sixes"))
     x = s.filter(F.col("balls") >= min_balls).select("style", "innings", "balls", "runs", "dismissals", "dots", "fours", "sixes", ratio("runs", "dismissals").alias("average"), ratio("runs", "balls", 100.0).alias("strike_rate"),
@@ -124,7 +124,7 @@ SPLITS = {"overall": ("league", "knockout", "final", "placement"), "league": ("l
 
 def _stage_innings(t: Tables, player: str, side: str, **f) -> DataFrame:
     name = "batter" if side == "batting" else "bowler"
-    b = balls(t, like(name, player), ("event_stage",), **f).withColumn("stage", stage_bucket())
+    b = balls(t, like(name, player), ("event_stage",), (player,), **f).withColumn("stage", stage_bucket())
     return batting_innings(b, "stage") if side == "batting" else bowling_innings(b, "stage")
 
 

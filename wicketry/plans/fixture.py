@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.storage import GRAINS, STAR, remove, scan, shared_path, write_star
+from ..sources.storage import GRAINS, INDEX, STAR, live_rows, remove, scan, shared_path, write_star
 
 STEPS = """
 l0 AS (SELECT *, l_orderkey DIV 60 AS mk, row_number() OVER (PARTITION BY l_orderkey DIV 60
@@ -84,7 +84,7 @@ players AS (SELECT player_id, player_name, batting_style, bowling_style,
 
 @dataclass(frozen=True)
 class Tables:
-    """The star schema and, where they are kept, its innings grains."""
+    """The star schema and, where they are kept, its innings grains and index of names; ``rows``: deliveries, as far as known."""
 
     players: DataFrame
     matches: DataFrame
@@ -92,6 +92,9 @@ class Tables:
     deliveries: DataFrame
     batting: DataFrame | None = None
     bowling: DataFrame | None = None
+    appearances: DataFrame | None = None
+    grams: DataFrame | None = None
+    rows: int = 0
 
     def star(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in ("players", "matches", "innings", "deliveries")}
@@ -131,7 +134,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         path = shared_path(spark, "star")
         write_star(derive(spark, sf_dir, path).star(), path)
         remove(spark, f"{path}/l7")
-        _written[key] = Tables(**{name: df for name, df in scan(spark, path).items() if name in (*STAR, *GRAINS)})
+        _written[key] = Tables(**{name: df for name, df in scan(spark, path).items() if name in (*STAR, *GRAINS, *INDEX)}, rows=live_rows(spark, path, "deliveries"))
     return _written[key]
 
 

@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import match_filter
 from ..functions.measures import batting, bowling, legal
+from ..sources.names import within
 from .fixture import Tables
 
 
-def balls(t: Tables, where: Column | None = None, context: tuple = (), **filters) -> DataFrame:
+def balls(t: Tables, where: Column | None = None, context: tuple = (), names: tuple[str | None, ...] = (), **filters) -> DataFrame:
     """Deliveries of the matches that pass the filters, with the match columns asked for.
 
-    The filter acts on the matches before the join; the optimizer picks the join by size.
+    The filter acts on the matches before the join; the optimizer picks the join by size. ``names`` are parts of names that ``where`` asks
+    for, each in any role: on large tables the index of names then says which matches to read.
     """
     m = t.matches.filter(match_filter(**filters)).select("match_id", *context)
     d = t.deliveries if where is None else t.deliveries.filter(where)
+    few = within(t, names)
+    if few is not None:
+        m, d = m.filter(few), d.filter(few)
     return d.join(m, "match_id")
 
 
@@ -30,25 +35,28 @@ def bowling_innings(b: DataFrame, *keys: str) -> DataFrame:
     return b.groupBy("match_id", "innings_number", "bowler", "bowler_id", *keys).agg(*bowling())
 
 
-def batting_of(t: Tables, where: Column | None = None, context: tuple = (), **filters) -> DataFrame:
+def batting_of(t: Tables, where: Column | None = None, context: tuple = (), names: tuple[str | None, ...] = (), **filters) -> DataFrame:
     """Batting innings of the matches that pass the filters, from the kept grain where there is one; ``where`` may test the batter only.
 
     Filters and names are constant in an innings of a player, so they commute with the roll-up.
     """
     if t.batting is None:
-        return batting_innings(balls(t, where, context, **filters), *context)
-    return _kept(t, t.batting, where, context, filters)
+        return batting_innings(balls(t, where, context, names, **filters), *context)
+    return _kept(t, t.batting, where, context, names, filters)
 
 
-def bowling_of(t: Tables, where: Column | None = None, context: tuple = (), **filters) -> DataFrame:
+def bowling_of(t: Tables, where: Column | None = None, context: tuple = (), names: tuple[str | None, ...] = (), **filters) -> DataFrame:
     """Bowling innings, with maidens where they come from the kept grain; ``where`` may test the bowler only."""
     if t.bowling is None:
-        return bowling_innings(balls(t, where, context, **filters), *context)
-    return _kept(t, t.bowling, where, context, filters)
+        return bowling_innings(balls(t, where, context, names, **filters), *context)
+    return _kept(t, t.bowling, where, context, names, filters)
 
 
-def _kept(t: Tables, grain: DataFrame, where: Column | None, context: tuple, filters: dict) -> DataFrame:
+def _kept(t: Tables, grain: DataFrame, where: Column | None, context: tuple, names: tuple, filters: dict) -> DataFrame:
     m = t.matches.filter(match_filter(**filters)).select("match_id", *context)
+    few = within(t, names)
+    if few is not None:
+        m, grain = m.filter(few), grain.filter(few)
     return (grain if where is None else grain.filter(where)).join(m, "match_id")
 
 

@@ -8,7 +8,7 @@ its batches until ``vacuum`` drops the versions that named them. One writer at a
 Matches, innings, deliveries and the innings grains are bucketed by match and sorted inside a bucket, with the same
 number of buckets everywhere, so joins and roll-ups by match need no exchange, over several batches too. ``compact``
 rewrites the live batches as one. The grains (batting and bowling innings, one row per player and innings) are made from each
-batch's own deliveries: a match lies in one batch, so they are exact, and an update adds its share only.
+batch's own deliveries: a match lies in one batch, so they are exact, and an update adds its share only. So is the index of names (``names``).
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.measures import batting, bowling, conceded
+from .names import INDEX, appearances, grams
 
 STAR = ("players", "innings", "deliveries", "matches")
 GRAINS = ("batting", "bowling")
@@ -99,12 +100,18 @@ def commit(spark: SparkSession, path: str, state: dict) -> None:
 def remove_unnamed(spark: SparkSession, path: str, keep: list[dict]) -> None:
     """Delete batches that none of these pointers names."""
     ids = {b["id"] for state in keep for b in state["batches"]}
-    for name in (*STAR, *GRAINS, QUARANTINE):
+    for name in (*STAR, *GRAINS, *INDEX, QUARANTINE):
         for folder in _names(spark, f"{path}/{name}"):
             if folder.startswith("batch=") and folder[6:] not in ids:
                 remove(spark, f"{path}/{name}/{folder}")
 
 
+def live_rows(spark: SparkSession, path: str, name: str) -> int:
+    """Rows of a live table, as counted when they were written."""
+    state = current(spark, path)
+    return sum(b["counts"].get(name, 0) for b in state["batches"]) if state else 0
+
+
 def vacuum(spark: SparkSession, path: str, keep: int = 1) -> None:
     """Forget all but the newest ``keep`` versions and delete what only the others named."""
     found = versions(spark, path)
@@ -127,12 +134,12 @@ def _read(spark: SparkSession, path: str, name: str, batch: dict, buckets: int)
 
 
 def scan(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
-    """The live tables below ``path``, or those of a version (A2): the star, its grains, quarantine and, where there is one, player_enrichment."""
+    """The live tables below ``path``, or those of a version (A2): the star, its grains and name index, quarantine and, where there is one, player_enrichment."""
     state = current(spark, path) if version is None else next((s for s in versions(spark, path) if s["version"] == version), None)
     if state is None:
         raise FileNotFoundError(f"no table at {path}")
     found = {}
-    for name in (*STAR, *GRAINS, QUARANTINE):
+    for name in (*STAR, *GRAINS, *INDEX, QUARANTINE):
         for batch in state["batches"]:
             if name in batch["columns"]:
                 part = _read(spark, path, name, batch, state["buckets"])
@@ -175,8 +182,11 @@ def write_batch(tables: dict[str, DataFrame], path: str, buckets: int) -> dict:
         if name in tables:
             write(name, tables[name])
     if "deliveries" in tables:
-        for name, df in grains(_read(spark, path, "deliveries", batch, buckets)).items():
+        written = _read(spark, path, "deliveries", batch, buckets)
+        for name, df in grains(written).items():
             write(name, df)
+        write("appearances", appearances(written))
+        write("grams", grams(_read(spark, path, "appearances", batch, buckets)))
     return batch
 
 
