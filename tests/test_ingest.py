@@ -5,7 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from wicketry.sources import enrichment, ingest, storage
+from wicketry.operators import careers, matches
+from wicketry.plans.fixture import Tables
+from wicketry.plans.grains import participation
+from wicketry.sources import checks, enrichment, ingest, storage
 from wicketry.streaming.feed import follow
 
 
@@ -48,7 +51,7 @@ def test_flatten_and_bad_files(spark, feed):
     i = t["innings"].filter("match_id = '1'").orderBy("innings_number").collect()
     assert i[0].bowling_team == "T" and not i[0].is_super_over and i[1].is_super_over and i[1].target_runs == 5 and i[1].bowling_team == "S"
     assert sorted(r.player_id for r in t["players"].collect()) == ["a1", "b1", "x1"]
-    assert {r.check: r.violations for r in ingest.integrity(t).collect()}["orphan_deliveries"] == 0
+    assert {r.check: r.violations for r in checks.integrity(t).collect()}["orphan_deliveries"] == 0
 
 
 def test_update_and_stream_add_only_what_is_new(spark, feed, tmp_path):
@@ -233,11 +236,53 @@ def test_integrity_counts_what_joins_count(spark):
     d = spark.createDataFrame([("1", 1, 0, 1), ("1", 1, 0, 1), ("1", 1, 0, 1), ("1", 1, 20, 1), ("1", 2, None, 1), ("2", 1, 30, 1), ("9", 1, 25, 0), ("8", 1, 0, 0), (None, 1, 40, 1), (None, 1, 40, 1), ("5", None, 19, 1), ("5", 1, -1, 1), ("5", 1, -1, 1), ("6", 1, 77, 1)],
                               "match_id string, innings_number int, over_number int, ball_number int")
     p = spark.createDataFrame([("a",), ("a",), (None,), (None,), ("b",)], "player_id string")
-    got = {r.check: r.violations for r in ingest.integrity({"matches": m, "innings": i, "deliveries": d, "players": p}).collect()}
+    got = {r.check: r.violations for r in checks.integrity({"matches": m, "innings": i, "deliveries": d, "players": p}).collect()}
     twice = lambda df, *k: df.groupBy(*k).count().filter("count > 1").count()
     t20 = d.join(m.filter("match_type IN ('T20', 'IT20')"), "match_id", "left_semi")
     assert got == {"orphan_deliveries": d.join(m, "match_id", "left_anti").count(), "orphan_innings": i.join(m, "match_id", "left_anti").count(), "deliveries_without_innings": d.join(i, ["match_id", "innings_number"], "left_anti").count(),
                    "repeated_matches": twice(m, "match_id"), "repeated_innings": twice(i, "match_id", "innings_number"), "repeated_deliveries": twice(d, "match_id", "innings_number", "over_number", "ball_number"),
                    "repeated_players": twice(p, "player_id"), "overs_outside_phases": t20.filter("NOT over_number BETWEEN 0 AND 19").count()}
     assert min(got.values()) > 0
-    assert all(r.violations == 0 for r in ingest.integrity({k: v.limit(0) for k, v in {"matches": m, "innings": i, "deliveries": d, "players": p}.items()}).collect())
+    assert all(r.violations == 0 for r in checks.integrity({k: v.limit(0) for k, v in {"matches": m, "innings": i, "deliveries": d, "players": p}.items()}).collect())
+
+
+def listed(df):
+    return {r.check: r.violations for r in df.collect()}
+
+
+def test_kept_checks_equal_a_recount(spark, tmp_path):
+    """Planted violations in one batch, a clean update beside it: the pointer, the kept grain and a recount agree, also once compacted."""
+    have = storage.scan(spark, grown(spark, tmp_path, 1))
+    d, i, m, p = (have[n] for n in ("deliveries", "innings", "matches", "players"))
+    planted = {"deliveries": d.union(d.limit(2)).union(d.limit(1).withColumn("match_id", F.lit("nowhere"))).union(d.limit(1).withColumn("innings_number", F.lit(7))).union(d.limit(1).withColumn("over_number", F.lit(31))).union(d.limit(1).withColumn("match_id", F.lit(None).cast("string"))),
+               "innings": i.union(i.limit(1)).union(i.limit(1).withColumn("match_id", F.lit("elsewhere"))), "matches": m.union(m.limit(1)), "players": p.union(p.limit(1))}
+    base = str(tmp_path / "planted")
+    storage.write_star(planted, base, buckets=2)
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "9.json").write_text(json.dumps(document(season=2030)))
+    assert ingest.update(spark, str(tmp_path / "more"), base)["added"] == 1
+    for _ in range(2):
+        tables = storage.scan(spark, base)
+        want = listed(checks.integrity(tables))
+        assert want == listed(checks.integrity_kept(tables)) == storage.violations(spark, base) and min(want.values()) > 0
+        storage.compact(spark, base)
+    storage.write_star({"matches": m}, base)  # a match in a second batch, by a writer that doesn't look
+    assert listed(checks.integrity_kept(storage.scan(spark, base)))["repeated_matches"] == want["repeated_matches"] == m.count()
+
+
+def test_checks_and_distinct_matches_need_no_exchange_by_match(spark, tmp_path):
+    """Distinct matches by player have none, careers, venues and milestones one, for the roll-up; checks one, of rows by match."""
+    base = grown(spark, tmp_path, 2)
+    storage.compact(spark, base)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        have = storage.scan(spark, base)
+        t = Tables(**{n: have[n] for n in (*storage.STAR, *storage.GRAINS)})
+        exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        assert exchanges(checks.match_checks(have)) == 1 and exchanges(participation(t)) == 0
+        for df in (careers.batting_records(t), careers.emerging(t, "batting", "average", recent="2020"), matches.venue_stats(t), participation(t).groupBy("player_id").count()):
+            assert exchanges(df) == 1
+        assert sorted(map(tuple, participation(t).collect())) == sorted(map(tuple, participation(Tables(*(have[n] for n in ("players", "matches", "innings", "deliveries")))).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import like, phase
 from ..functions.measures import conceded, economy, overs_text, ratio, rounded
 from ..plans.fixture import Tables
-from ..plans.grains import balls, batting_innings, batting_of, bowling_innings, bowling_of, down, top, up
+from ..plans.grains import balls, batting_innings, batting_of, bowling_innings, bowling_of, down, participation, top, up
 
 BATTER = ["batter", "batter_id"]
 BOWLER = ["bowler", "bowler_id"]
@@ -141,8 +141,7 @@ def milestone(t: Tables, kind: str, threshold: int, proximity: int | None = None
     elif kind in ("wickets", "five_wicket_hauls"):
         table = bowling_table(bowling_of(t, **f), *BOWLER).selectExpr("bowler AS player", "bowler_id AS player_id", f"{kind} AS value")
     else:
-        pairs = batting_of(t, **f).select(F.col("batter_id").alias("player_id"), "match_id").union(bowling_of(t, **f).select("bowler_id", "match_id")).distinct()
-        table = pairs.groupBy("player_id").agg(F.count("*").alias("value")).join(t.players, "player_id").select(F.col("player_name").alias("player"), "player_id", "value")
+        table = participation(t, **f).groupBy("player_id").agg(F.count("*").alias("value")).join(t.players, "player_id").select(F.col("player_name").alias("player"), "player_id", "value")
     table = table.filter(F.col("value") >= threshold - near).select(
         "player", "player_id", "value", F.greatest(F.lit(threshold) - F.col("value"), F.lit(0)).cast("bigint").alias("remaining"), (F.col("value") >= threshold).alias("reached"))
     return top(table, limit, down("value"), up("player"), up("player_id"))
@@ -150,16 +149,18 @@ def milestone(t: Tables, kind: str, threshold: int, proximity: int | None = None
 
 def emerging(t: Tables, side: str, metric: str, recent: str | None = None, min_recent: int = 5, min_career: int = 20, threshold: float = 20.0, limit: int = 10, **f) -> DataFrame:
     """Career against the recent season in one pass; the default season is the largest text over all matches."""
-    b = balls(t, context=("season",), **f)
-    inn = (batting_innings if side == "batting" else bowling_innings)(b, "season")
+    inn = (batting_of if side == "batting" else bowling_of)(t, context=("season",), **f)
     last = t.matches.agg(F.max("season").alias("last")) if recent is None else None
     inn = inn.crossJoin(last) if last is not None else inn.withColumn("last", F.lit(recent))  # one row
     now = F.col("season") == F.col("last")
     keys = BATTER if side == "batting" else BOWLER
     fields = ("runs", "balls", "out") if side == "batting" else ("conceded", "balls", "wickets")
-    sums = inn.groupBy(*keys).agg(
-        F.count("*").alias("innings"), F.count_if(now).alias("recent_innings"), F.countDistinct("match_id").alias("m"), F.countDistinct(F.when(now, F.col("match_id"))).alias("rm"),
-        *(F.sum(x).alias(x) for x in fields), *(F.sum(F.when(now, F.col(x)).otherwise(0)).alias(f"r_{x}") for x in fields))
+    # the season is constant in a match, so match rows are counted where distinct matches are asked for
+    per = inn.groupBy("match_id", *keys).agg(F.count("*").alias("n"), F.max(now).alias("now"), *(F.sum(x).alias(x) for x in fields))
+    fresh_of = lambda x: F.sum(F.when(F.col("now"), F.col(x)).otherwise(0))
+    sums = per.groupBy(*keys).agg(
+        F.sum("n").alias("innings"), fresh_of("n").alias("recent_innings"), F.count("*").alias("m"), F.count_if("now").alias("rm"),
+        *(F.sum(x).alias(x) for x in fields), *(fresh_of(x).alias(f"r_{x}") for x in fields))
     if side == "batting":
         pick = {"average": ("runs", "out", 1.0), "strike_rate": ("runs", "balls", 100.0)}[metric]
         career, fresh = ratio(pick[0], pick[1], pick[2]), ratio(f"r_{pick[0]}", f"r_{pick[1]}", pick[2])

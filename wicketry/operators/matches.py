@@ -53,10 +53,16 @@ def venue_stats(t: Tables, limit: int = 10, **f) -> DataFrame:
     i = innings_totals(t).select("match_id", "innings_number", "batting_team", "total")
     x = m.select("match_id", "venue", "outcome_winner").join(i, "match_id")
     first = F.col("innings_number") == 1
-    table = x.groupBy("venue").agg(
-        F.countDistinct("match_id").alias("matches"), rounded(F.avg(F.when(first, F.col("total"))), 1).alias("avg_first_innings"),
-        rounded(F.avg(F.when(F.col("innings_number") == 2, F.col("total"))), 1).alias("avg_second_innings"), F.max("total").alias("highest_total"), F.min("total").alias("lowest_total"),
-        F.countDistinct(F.when(first & (F.col("outcome_winner") == F.col("batting_team")), F.col("match_id"))).alias("bat_first_wins"))
+    second = F.col("innings_number") == 2
+    won = first & (F.col("outcome_winner") == F.col("batting_team"))
+    of = lambda where: (F.sum(F.when(where, F.col("total"))), F.count(F.when(where, F.col("total"))))
+    # by match first, which needs no exchange, so that matches are counted as rows
+    per = x.groupBy("match_id", "venue").agg(
+        *(c.alias(n) for n, c in zip(("sum1", "n1", "sum2", "n2"), (*of(first), *of(second)), strict=True)), F.max("total").alias("high"), F.min("total").alias("low"), F.max(won).alias("won"))
+    mean = lambda k: rounded(F.try_divide(F.sum(f"sum{k}").cast("double"), F.sum(f"n{k}").cast("double")), 1)
+    table = per.groupBy("venue").agg(
+        F.count("*").alias("matches"), mean(1).alias("avg_first_innings"), mean(2).alias("avg_second_innings"), F.max("high").alias("highest_total"), F.min("low").alias("lowest_total"),
+        F.count_if("won").alias("bat_first_wins"))
     table = table.withColumn("bat_first_win_pct", ratio("bat_first_wins", "matches", 100.0, 1))
     return top(table, limit, down("matches"), up("venue"))
 

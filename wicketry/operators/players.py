@@ -32,10 +32,15 @@ def search_players(t: Tables, query: str, limit: int = 10) -> DataFrame:
 
 
 def _matchup(b: DataFrame, *keys: str) -> DataFrame:
-    sums = b.groupBy(*keys).agg(
-        F.countDistinct("match_id").alias("matches"), F.countDistinct("match_id", "innings_number").alias("innings"), F.count_if(faced()).alias("balls"), F.sum("runs_batter").alias("runs"), F.sum(conceded()).alias("runs_conceded"),
+    """Balls are added up by innings, then by match, then by key; the first two need no exchange, and what is distinct is counted as rows."""
+    names = ("balls", "runs", "runs_conceded", "dismissals", "dots", "fours", "sixes")
+    level = b.groupBy("match_id", "innings_number", *keys).agg(
+        F.count_if(faced()).alias("balls"), F.sum("runs_batter").alias("runs"), F.sum(conceded()).alias("runs_conceded"),
         F.count_if(credited()).alias("dismissals"), F.count_if(bat_dot()).alias("dots"), F.count_if(four()).alias("fours"), F.count_if(six()).alias("sixes"),
-        F.array_join(F.sort_array(F.collect_list(F.when(credited(), F.col("wicket_kind")))), ", ").alias("kinds"))
+        F.collect_list(F.when(credited(), F.col("wicket_kind"))).alias("kinds"))
+    more = [F.sum(c).alias(c) for c in names]
+    level = level.groupBy("match_id", *keys).agg(F.count("innings_number").alias("innings"), *more, F.flatten(F.collect_list("kinds")).alias("kinds"))
+    sums = level.groupBy(*keys).agg(F.count("match_id").alias("matches"), F.sum("innings").alias("innings"), *more, F.array_join(F.sort_array(F.flatten(F.collect_list("kinds"))), ", ").alias("kinds"))
     return sums.select(
         *keys, "matches", "innings", "balls", "runs", "runs_conceded", "dismissals", "dots", "fours", "sixes", "kinds", ratio("runs", "dismissals").alias("average"), ratio("runs", "balls", 100.0).alias("strike_rate"),
         economy("runs_conceded", "balls").alias("economy"), ratio("balls", "dismissals").alias("bowling_strike_rate"), ratio("dots", "balls", 100.0).alias("dot_pct"), ratio(F.col("fours") + F.col("sixes"), F.col("balls"), 100.0).alias("boundary_pct"))
@@ -112,8 +117,7 @@ def style_matchup(t: Tables, player: str, side: str = "batting", grouping: str =
     column = "batting_style" if side == "bowling" else {"broad": "bowling_style_broad", "arm": "bowling_style_arm"}.get(grouping, "bowling_style")
     styles = t.players.select(F.col("player_id").alias(other), F.col(column).alias("style"))
     b = balls(t, like(name, player) & phase(phase_name), names=(player,), **f).join(styles, other, "left").withColumn("style", F.coalesce("style", F.lit("Unknown")))
-    s = b.groupBy("style").agg(
-        F.countDistinct("match_id", "innings_number").alias("innings"), F.count_if(faced()).alias("balls"), F.sum("runs_batter").alias("runs"), F.count_if(credited()).alias("dismissals"), F.count_if(bat_dot()).alias("dots"), F.count_if(four()).alias("fours"), F.count_if(six()).alias("sixes"))
+    s = _matchup(b, "style")
     x = s.filter(F.col("balls") >= min_balls).select("style", "innings", "balls", "runs", "dismissals", "dots", "fours", "sixes", ratio("runs", "dismissals").alias("average"), ratio("runs", "balls", 100.0).alias("strike_rate"),
                                                      ratio("dots", "balls", 100.0).alias("dot_pct"), ratio(F.col("fours") + F.col("sixes"), F.col("balls"), 100.0).alias("boundary_pct"))
     return top(x, limit, down("balls"), up("style"))

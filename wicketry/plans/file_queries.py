@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import enrichment, ingest, storage
+from ..sources import checks, enrichment, ingest, storage
 from ..streaming.feed import follow
 from .fixture import Tables
+from .job_queries import checks_sql
 from .oracle import BW, CONCEDED, FOUR, LEGAL, OUT, SIX, n, q, s
 
 _made: dict[int, tuple[Tables, dict[str, DataFrame]]] = {}
@@ -32,6 +33,8 @@ def jobs(t: Tables) -> dict[str, DataFrame]:
         storage.rebuild(spark, ingest.load(good.join(first, "match_id", "left_semi")), f"{at}/{name}")
     counts = ingest.update(spark, f"{at}/feed", f"{at}/star")
     out = {f"updated_{k}": v for k, v in storage.scan(spark, f"{at}/star").items()}
+    at_write = F.create_map(*(F.lit(x) for item in storage.violations(spark, f"{at}/star").items() for x in item))
+    out["checks"] = checks.integrity_kept(storage.scan(spark, f"{at}/star")).withColumn("at_write", at_write[F.col("check")].cast("bigint"))
     storage.compact(spark, f"{at}/star")
     out |= {f"compacted_{k}": v for k, v in storage.scan(spark, f"{at}/star").items()}
     follow(spark, f"{at}/feed", f"{at}/streamed", f"{at}/checkpoint").awaitTermination()
@@ -62,6 +65,7 @@ def build() -> dict:
         "files_compacted_deliveries": (get("compacted_deliveries"), q("SELECT * FROM deliveries")),
         "files_kept_batting": (get("compacted_batting"), q(batting)),
         "files_kept_bowling": (get("updated_bowling"), q(bowling, "SELECT b.*, maidens FROM b JOIN m USING (match_id, innings_number, bowler, bowler_id)")),
+        "files_kept_checks": (get("checks"), q(f"x AS ({checks_sql()})", 'SELECT "check", violations, violations AS at_write FROM x')),
         "files_streamed_matches": (get("streamed_matches"), matches),
         "files_streamed_deliveries": (get("streamed_deliveries"), q("SELECT * FROM deliveries")),
         "files_streamed_quarantine": (get("streamed_quarantine"), quarantine),

@@ -60,6 +60,16 @@ def _kept(t: Tables, grain: DataFrame, where: Column | None, context: tuple, nam
     return (grain if where is None else grain.filter(where)).join(m, "match_id")
 
 
+def participation(t: Tables, **filters) -> DataFrame:
+    """One row per match and player id with bat or ball; a match's two dozen ids meet inside the match, so tables bucketed by match need no exchange."""
+    ids = t.matches.filter(match_filter(**filters)).groupBy("match_id").agg(F.lit(1).alias("_one")).drop("_one")
+    sides = [(t.deliveries, "batter_id"), (t.deliveries, "bowler_id")] if t.batting is None or t.bowling is None else [(t.batting, "batter_id"), (t.bowling, "bowler_id")]
+    for grain, column in sides:
+        ids = ids.join(grain.groupBy("match_id").agg(F.collect_set(column).alias(column)), "match_id", "left")
+    none = F.array().cast("array<string>")
+    return ids.select("match_id", F.explode(F.array_union(F.coalesce("batter_id", none), F.coalesce("bowler_id", none))).alias("player_id"))
+
+
 def innings_totals(t: Tables, super_overs: bool = True) -> DataFrame:
     """One row per innings: teams, runs, wickets, legal balls."""
     i = t.innings if super_overs else t.innings.filter(~F.col("is_super_over"))

@@ -187,31 +187,3 @@ def summary(tables: dict[str, DataFrame], bad: DataFrame | None = None) -> DataF
     if bad is not None:
         counts.append(bad.agg(F.count("*").alias("n")).select(F.lit("failed_files").alias("what"), "n"))
     return reduce(DataFrame.unionByName, counts)
-
-
-def integrity(tables: dict[str, DataFrame]) -> DataFrame:
-    """Violations by check: orphans, repeated keys, overs of no phase in twenty-over matches.
-
-    Deliveries are read once, counted by key, then by innings, then by match, and meet innings and matches as such counts. Every step
-    holds the match, so tables bucketed by match need no exchange before the one row of sums. A missing match_id or
-    innings_number matches nothing.
-    """
-    m, i, d, p = (tables[n] for n in ("matches", "innings", "deliveries", "players"))
-    n, again = F.sum("n"), F.count_if(F.col("n") > 1)
-    short = F.max(F.col("match_type").isin("T20", "IT20"))
-    by_match = m.groupBy("match_id").agg(F.count("*").alias("n"), short.alias("short"))
-    known = by_match.select(F.col("match_id").alias("_match"), "short")
-    by_innings = i.groupBy("match_id", "innings_number").agg(F.count("*").alias("n"))
-    played = by_innings.select(F.col("match_id").alias("_of"), F.col("innings_number").alias("_innings"))
-    balls = d.groupBy("match_id", "innings_number", "over_number", "ball_number").agg(F.count("*").alias("n")).groupBy("match_id", "innings_number").agg(
-        n.alias("balls"), again.alias("repeated"), F.sum(F.when(~F.col("over_number").between(0, 19), F.col("n"))).alias("outside"))
-    # joined by match, the innings only a condition, as elsewhere
-    balls = balls.join(played, (F.col("match_id") == F.col("_of")) & (F.col("innings_number") - F.col("_innings") == 0), "left").join(known, F.col("match_id") == F.col("_match"), "left")
-    rows = by_innings.groupBy("match_id").agg(n.alias("rows"), again.alias("repeated")).join(known, F.col("match_id") == F.col("_match"), "left")
-    orphan = F.col("_match").isNull()
-    total = lambda value, where=None: F.coalesce(F.sum(value if where is None else F.when(where, value)), F.lit(0))
-    sums = balls.agg(total(F.col("balls"), orphan).alias("orphan_deliveries"), total(F.col("balls"), F.col("_of").isNull()).alias("deliveries_without_innings"), total(F.col("repeated")).alias("repeated_deliveries"), total(F.col("outside"), F.col("short")).alias("overs_outside_phases"))
-    more = (rows.agg(total(F.col("rows"), orphan).alias("orphan_innings"), total(F.col("repeated")).alias("repeated_innings")), by_match.agg(again.alias("repeated_matches")),
-            p.groupBy("player_id").agg(F.count("*").alias("n")).agg(again.alias("repeated_players")))
-    one = reduce(DataFrame.crossJoin, more, sums)  # one row each
-    return one.select(F.stack(F.lit(len(one.columns)), *(x for c in one.columns for x in (F.lit(c), F.col(c)))).alias("check", "violations"))

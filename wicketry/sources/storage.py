@@ -17,20 +17,22 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.measures import batting, bowling, conceded
+from .checks import match_checks, repeated_players, violations as found_by
 from .names import INDEX, appearances, grams
 
 STAR = ("players", "innings", "deliveries", "matches")
 GRAINS = ("batting", "bowling")
+CHECKS = "checks"
 QUARANTINE = "quarantine"
 POINTER = "_pointer"
 #: Buckets of a new table, if none are asked for; a table keeps its number until it is rebuilt or compacted.
 BUCKETS = 8
 INNINGS = ("match_id", "innings_number")
-SORTED = {"matches": ("match_id",), "innings": INNINGS, "deliveries": (*INNINGS, "over_number", "ball_number"), "batting": INNINGS, "bowling": INNINGS}
+SORTED = {"matches": ("match_id",), "innings": INNINGS, "deliveries": (*INNINGS, "over_number", "ball_number"), "batting": INNINGS, "bowling": INNINGS, CHECKS: ("match_id",)}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -100,7 +102,7 @@ def commit(spark: SparkSession, path: str, state: dict) -> None:
 def remove_unnamed(spark: SparkSession, path: str, keep: list[dict]) -> None:
     """Delete batches that none of these pointers names."""
     ids = {b["id"] for state in keep for b in state["batches"]}
-    for name in (*STAR, *GRAINS, *INDEX, QUARANTINE):
+    for name in (*STAR, *GRAINS, *INDEX, CHECKS, QUARANTINE):
         for folder in _names(spark, f"{path}/{name}"):
             if folder.startswith("batch=") and folder[6:] not in ids:
                 remove(spark, f"{path}/{name}/{folder}")
@@ -112,6 +114,15 @@ def live_rows(spark: SparkSession, path: str, name: str) -> int:
     return sum(b["counts"].get(name, 0) for b in state["batches"]) if state else 0
 
 
+def violations(spark: SparkSession, path: str) -> dict[str, int]:
+    """Violations by check in the live batches, as counted when they were written (A13): only the pointer is read."""
+    state, found = current(spark, path), {}
+    for batch in state["batches"] if state else ():
+        for name, n in batch.get("violations", {}).items():
+            found[name] = found.get(name, 0) + n
+    return found
+
+
 def vacuum(spark: SparkSession, path: str, keep: int = 1) -> None:
     """Forget all but the newest ``keep`` versions and delete what only the others named."""
     found = versions(spark, path)
@@ -139,7 +150,7 @@ def scan(spark: SparkSession, path: str, version: int | None = None) -> dict[str
     if state is None:
         raise FileNotFoundError(f"no table at {path}")
     found = {}
-    for name in (*STAR, *GRAINS, *INDEX, QUARANTINE):
+    for name in (*STAR, *GRAINS, *INDEX, CHECKS, QUARANTINE):
         for batch in state["batches"]:
             if name in batch["columns"]:
                 part = _read(spark, path, name, batch, state["buckets"])
@@ -160,14 +171,14 @@ def grains(deliveries: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_batch(tables: dict[str, DataFrame], path: str, buckets: int) -> dict:
-    """Write the tables as one batch, which no pointer names yet; its entry for one, with rows counted during the write."""
+    """Write the tables as one batch, which no pointer names yet; its entry for one, with rows and violations counted during the write."""
     spark = next(iter(tables.values())).sparkSession
     batch = {"id": f"b{uuid.uuid4().hex}", "columns": {}, "counts": {}}
 
-    def write(name: str, df: DataFrame) -> None:
+    def write(name: str, df: DataFrame, *more: Column) -> dict:
         at, seen = f"{path}/{name}/batch={batch['id']}", Observation()
         batch["columns"][name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        df = df.observe(seen, F.count(F.lit(1)).alias("n"))
+        df = df.observe(seen, F.count(F.lit(1)).alias("n"), *more)
         if name in SORTED:
             entry = f"write_{uuid.uuid4().hex}"
             try:
@@ -177,6 +188,7 @@ def write_batch(tables: dict[str, DataFrame], path: str, buckets: int) -> dict:
         else:
             df.write.parquet(at)
         batch["counts"][name] = seen.get["n"]
+        return {k: v for k, v in seen.get.items() if k != "n"}
 
     for name in (*STAR, QUARANTINE):
         if name in tables:
@@ -187,6 +199,9 @@ def write_batch(tables: dict[str, DataFrame], path: str, buckets: int) -> dict:
             write(name, df)
         write("appearances", appearances(written))
         write("grams", grams(_read(spark, path, "appearances", batch, buckets)))
+    if all(name in tables for name in STAR):
+        mine = {name: _read(spark, path, name, batch, buckets) for name in STAR}
+        batch["violations"] = write(CHECKS, match_checks(mine), *found_by()) | repeated_players(mine["players"]).first().asDict()
     return batch
 
 
