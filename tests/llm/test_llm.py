@@ -261,7 +261,7 @@ def test_contexts_find_more_and_mask(spark):
 
 def brute_passages(rows):
     """Spans (bytes) that go, by doc_id: paragraphs as cut by the operator, compared all with all."""
-    units, parent, seen = {}, {}, []
+    units, parent, seen, words, places = {}, {}, [], {}, {}
 
     def top(x):
         while parent[x] != x:
@@ -271,10 +271,12 @@ def brute_passages(rows):
     for i, t in sorted({(i, t or "") for i, t in rows}):
         b = t.encode()
         u = paragraphs.Units(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+        places[i] = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        words[i] = [b[a:z].lower() for a, z in places[i]]
         for k in range(len(u.start)):
-            x = set(u.shingles[u.start[k] : u.end[k] - paragraphs.N_WORDS + 1].tolist())
-            assert len(x) and b[u.a[k] : u.z[k]].split()
-            units[i, k] = (int(u.a[k]), int(u.z[k]), int(u.end[k] - u.start[k]))
+            x = {tuple(u.words.tolist())} if u.whole[k] else set(u.shingles[u.start[k] : u.end[k] - paragraphs.N_WORDS + 1].tolist())
+            assert len(x) and u.start[k] < u.end[k]
+            units[i, k] = (int(u.start[k]), int(u.end[k]), paragraphs.LEAST if u.whole[k] else int(u.end[k] - u.start[k]))
             parent.setdefault((i, k), (i, k))
             for key, y in seen:
                 c = len(x & y)
@@ -289,10 +291,24 @@ def brute_passages(rows):
             runs[-1].append((i, k))
         else:
             runs.append([(i, k)])
-    for run in runs:
-        if sum(units[x][2] for x in run) >= paragraphs.LEAST:
-            out.setdefault(run[0][0], []).append((units[run[0]][0], units[run[-1]][1]))
-    return out
+    for r, run in enumerate(runs):
+        i, (a, z) = run[0][0], (units[run[0]][0], units[run[-1]][1])
+        low = units[runs[r - 1][-1]][1] if r and runs[r - 1][0][0] == i else 0
+        high = units[runs[r + 1][0]][0] if r + 1 < len(runs) and runs[r + 1][0][0] == i else len(words[i])
+        (p, k), (q, m) = top(run[0]), top(run[-1])
+        at, to = units[p, k][0], units[q, m][1]
+        first, last = units[p, max(k - 2, 0)][0], units[max(y for y in units if y[0] == q and y[1] <= m + 2)][1]
+        while a > low and at > first and words[i][a - 1] == words[p][at - 1]:
+            a, at = a - 1, at - 1
+        while z < high and to < last and words[i][z] == words[q][to]:
+            z, to = z + 1, to + 1
+        if sum(units[x][2] for x in run) >= paragraphs.LEAST or z - a >= paragraphs.LONG:
+            mine = out.setdefault(i, [])
+            if mine and a <= mine[-1][1]:
+                mine[-1] = (mine[-1][0], z)
+            else:
+                mine.append((a, z))
+    return {i: [(places[i][a][0], places[i][z - 1][1]) for a, z in spans] for i, spans in out.items()}
 
 
 def test_passages_equal_brute_force(spark, given, odd):
@@ -328,7 +344,7 @@ def test_passage_goes_after_any_lead(spark, stops):
         else:
             at = dict(rows)[r.doc_id].index(passage)
             inside = all(at <= int(a) and int(b) <= at + len(passage) for a, b in (x.split(":") for x in r.spans.split(",")))
-            assert inside and gone >= len(passage) * 0.5
+            assert inside and gone >= len(passage) * 0.9
 
 
 def test_short_repeats_stay_and_near_paragraphs_go(spark):
@@ -734,3 +750,34 @@ def test_context_is_found_whatever_stands_near(spark):
     right = sum(got[i] == f"phone:{a}:{b}" for i, (a, b) in hidden.items())
     wrong = sum(bool(got[i]) for i in range(60, 100))
     assert right == 20 and wrong == 0
+
+
+@pytest.mark.parametrize("size", [51, 60, 80])
+def test_planted_passages_go_almost_whole(spark, size):
+    """A passage in forty documents: nine tenths of its words go from all but the first, and nothing else but a word beside it.
+
+    A paragraph at an end is verified at similarity 0.8, which lets one of its words be another than the first place's.
+    """
+    common.ship(spark)
+    rng = random.Random(size)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage = text(size)
+    rows = [(i, f"{text(rng.randint(20, 90))} {passage} {text(rng.randint(20, 90))}") for i in range(40)] + [(100 + i, text(150)) for i in range(40)]
+    given, gone = dict(rows), {}
+    for r in paragraphs.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        at = given[r.doc_id].find(passage)
+        spans = [tuple(map(int, x.split(":"))) for x in r.spans.split(",") if x]
+        assert all(0 <= at <= a + 7 and z <= at + len(passage) + 7 for a, z in spans), r.doc_id
+        gone[r.doc_id] = r.removed_chars
+    assert not any(gone[i] for i in [0, *range(100, 140)])
+    assert sum(min(gone[i], len(passage)) for i in range(1, 40)) >= 0.9 * 39 * len(passage)
+
+
+def test_rows_without_id_and_short_texts_keep_one_copy(spark):
+    common.ship(spark)
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    long, other = text(240), text(240)
+    rows = [(None, long)] * 3 + [(None, other), (None, None), (None, None), (None, "")] + [(7, "too short"), (5, "Too  short"), (6, "short too"), (None, "too short"), (8, "one"), (9, "one")]
+    got = sorted(((r.doc_id, r.kept, r.n_removed) for r in paragraphs.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, long, 0), (None, "", 1), (None, "", 1), (None, other, 0)] + [(None, "", 0)] * 3 + [(5, "Too  short", 0), (6, "short too", 0), (7, "", 1), (None, "", 1), (8, "one", 0), (9, "", 1)], key=str)
