@@ -53,7 +53,7 @@ def repeated_players(players: DataFrame) -> DataFrame:
 
 
 def integrity(tables: dict[str, DataFrame]) -> DataFrame:
-    """Violations by check, counted anew: orphans, repeated keys, overs of no phase in twenty-over matches (A13). Reads each table once."""
+    """Violations by check, counted anew: orphans, repeated keys, overs of no phase in twenty-over matches (A13). Reads deliveries once."""
     return _listed(match_checks(tables), tables["players"])
 
 
