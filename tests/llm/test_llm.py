@@ -473,6 +473,20 @@ def test_licences_equal_brute_force(spark, given, odd):
     assert brute_licences(extra[0][1]).keys() == {(0, "MIT"), (1, "CC-BY-NC"), (1, "proprietary")}
 
 
+def test_notices_without_the_usual_words_are_found(spark, monkeypatch):
+    """No word is needed that a notice can lack: wordings with words left out give what looking at every window gives."""
+    rng = random.Random(8)
+    templates = [licenses.words_of(x) for f, texts in licenses.NOTICES.items() for x in texts if f != "proprietary"]
+    rows = [(0, "under the terms of the GNU Affero General Public as published by the Free Software Foundation"), (1, "Use in source and binary forms, with or without modification, are permitted provided that the following conditions are met")]
+    rows += [(k, " ".join(w for w in templates[k % len(templates)] if rng.random() > 0.2)) for k in range(2, 300)]
+    got = {r.doc_id: r.families for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    short = spark.createDataFrame([(1, "All rights of way were closed in the storm."), (2, "All rights reserved.")], "doc_id long, text string")
+    assert {r.doc_id: r.families for r in licenses.license_scan(short).collect()} == {1: "unknown", 2: "proprietary"}
+    monkeypatch.setattr(licenses, "CUES", [""])  # every text holds it
+    assert got == {k: ",".join(sorted({f for _, f in brute_licences(x)})) or "unknown" for k, x in rows}
+    assert "AGPL" in got[0] and got[1] == "BSD"
+
+
 def test_licence_families_of_unseen_wordings():
     """Wordings that took no part in training: few families are wrong, few notices are missed by the regression."""
     m = licenses.fitted()

@@ -8,8 +8,9 @@ family stands if its probability is at least ``MIN_PROBABILITY``, above that of
 ``MIN_TEMPLATE`` of the n-grams of one of its templates.
 
 The model is fitted on the driver from the fixed texts below, not from the corpus. Scoring is DataFrame functions only.
-A notice holds one of the ``CUES``; only paragraphs that do are taken apart into n-grams, which are joined with the weights (a
-table bounded by the templates' vocabulary, so it is broadcast).
+No window without one of the ``CUES`` can hold enough of a template (they are derived from the templates for that), so only
+paragraphs that have one are taken apart into n-grams, which are joined with the weights (a table bounded by the templates'
+vocabulary, so it is broadcast).
 
 Defined results: null and empty texts have no notice; repeated rows get equal results; rows without a doc_id are scanned too;
 an empty table gives an empty result; further columns are ignored.
@@ -18,7 +19,7 @@ an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -96,8 +97,39 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-# A notice holds one of these.
-CUES = ["license", "licence", "copyright", "rights reserved", "spdx", "redistribut", "permission", "public domain", "warrant", "cc by", "cc-by", "cc0", "unencumbered"]
+# Fixed value: a template that only windows with this word confirm ("all rights" alone, three fifths of its n-grams, is no notice).
+NEEDED = {"All rights reserved.": "reserved"}
+# Words that are no cues if others do.
+COMMON = set("a all an and any are as at be by for has in into is its may no not of on only or part see that the this to under use used will with work you".split())
+
+
+def cues() -> list[str]:
+    """Words of which every window that holds MIN_TEMPLATE of a template's n-grams has one.
+
+    For each template so many of its words, common ones last and long ones first, that its n-grams without any of them are too
+    few to pass. So paragraphs without a cue are left out without a change of the result.
+    """
+    out: set[str] = set()
+    for text in (x for texts in NOTICES.values() for x in texts):
+        template = words_of(text)
+        if text in NEEDED:
+            out.add(NEEDED[text])
+            continue
+        every = {(w,) for w in template} | set(zip(template, template[1:], strict=False))
+        passes = lambda chosen: sum(not chosen & set(g) for g in every) >= MIN_TEMPLATE * len(every)  # noqa: E731, B023
+        chosen: set[str] = set()
+        for w in sorted(set(template), key=lambda w: (w in COMMON, w not in out, -len(w), w)):
+            if not passes(chosen):
+                break
+            chosen.add(w)
+        for w in sorted(chosen, key=lambda w: (w not in COMMON, len(w), w)):
+            if not passes(chosen - {w}):
+                chosen.discard(w)
+        out |= chosen
+    return sorted(out)
+
+
+CUES = cues()
 
 
 class Classifier:
@@ -165,19 +197,14 @@ def fitted() -> Classifier:
     return Classifier()
 
 
-def has_cue(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, (text.contains(c) for c in CUES))
-
-
 def notices(docs: DataFrame) -> DataFrame:
     """d, h, paragraph (from 0), window, family, probability and template_share of every window and family that passes; ``docs`` as common.keyed gives them."""
     m = fitted()
     spark = docs.sparkSession
     names = [f"w{k}" for k in range(len(FAMILIES))]
     weights = spark.createDataFrame([(g, *map(float, m.w[i])) for i, g in enumerate(m.vocabulary)], ", ".join(["gram bigint", *(f"{n} double" for n in names)]))
-    some = docs.select("d", "h", F.lower("text").alias("text")).filter(has_cue(F.col("text")))
-    parts = some.select("d", "h", F.posexplode(F.split("text", BLANK_LINES)).alias("paragraph", "text")).filter(has_cue(F.col("text")))
-    words = parts.select("d", "h", "paragraph", F.filter(F.split("text", "[^a-z0-9]+"), lambda x: x != "").alias("a"))
+    parts = docs.select("d", "h", F.posexplode(F.split(F.lower("text"), BLANK_LINES)).alias("paragraph", "text"))
+    words = parts.select("d", "h", "paragraph", F.array_remove(F.split("text", "[^a-z0-9]+"), "").alias("a")).filter(F.arrays_overlap("a", F.array(*map(F.lit, CUES))))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("a") - 1 - STEP), F.lit(STEP))
     windows = words.select("d", "h", "paragraph", "a", F.posexplode(starts).alias("window", "at")).select("d", "h", "paragraph", "window", F.slice("a", F.col("at") + 1, WINDOW).alias("a"))
     windows = windows.distinct()  # rows of equal d and h are one document
@@ -186,9 +213,15 @@ def notices(docs: DataFrame) -> DataFrame:
     both = pairs.select(*keys, F.explode(F.array(F.xxhash64("p.a"), F.when(F.col("p.b").isNotNull(), F.xxhash64("p.a", "p.b")))).alias("gram"))
     once = both.join(F.broadcast(weights), "gram").dropDuplicates([*keys, "gram"])  # weights are bounded by the templates' vocabulary
     sums = once.groupBy(*keys).agg(*(F.sum(F.round(F.col(n), 9)).alias(n) for n in names), F.collect_set("gram").alias("grams"))
+    needed = {tuple(sorted(grams(words_of(t)))): next(iter(grams([w]))) for t, w in NEEDED.items()}
+
+    def share(g: list[int]) -> Column:
+        part = F.round(F.size(F.array_intersect("grams", F.array(*map(F.lit, g)))) / float(len(g)), 6)
+        return F.when(F.array_contains("grams", needed[tuple(g)]), part).otherwise(0.0) if tuple(g) in needed else part
+
     chance = lambda k: F.round(1 / (1 + F.exp(-(F.col(names[k]) + float(m.b[k])))), 6)
     each = F.array(*(F.struct(F.lit(f).alias("family"), chance(k).alias("probability"), F.greatest(F.lit(0.0), *(
-        F.round(F.size(F.array_intersect("grams", F.array(*map(F.lit, g)))) / float(len(g)), 6) for own, g in m.templates if own == f)).alias("template_share")) for k, f in enumerate(FAMILIES[:-1])))
+        share(g) for own, g in m.templates if own == f)).alias("template_share")) for k, f in enumerate(FAMILIES[:-1])))
     found = sums.select(*keys, chance(len(FAMILIES) - 1).alias("unknown"), F.explode(each).alias("x")).select(*keys, "unknown", "x.*")
     passes = (F.col("probability") >= MIN_PROBABILITY) & (F.col("probability") > F.col("unknown")) & (F.col("template_share") >= MIN_TEMPLATE)
     return found.filter(passes).drop("unknown")
