@@ -286,3 +286,33 @@ def test_checks_and_distinct_matches_need_no_exchange_by_match(spark, tmp_path):
         assert sorted(map(tuple, participation(t).collect())) == sorted(map(tuple, participation(Tables(*(have[n] for n in ("players", "matches", "innings", "deliveries")))).collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_packed_documents_give_what_files_of_their_own_give(spark, feed, tmp_path):
+    """Many documents a file, a match that comes twice and a bad one included: same counts and tables, by update and by stream."""
+    texts = spark.read.option("wholetext", True).text(feed).select(F.regexp_replace(F.input_file_name(), r".*/(\w+)\.json$", "$1").alias("match_id"), F.col("value").alias("document"))
+    packed = f"file://{tmp_path}/packed"
+    ingest.pack_documents(texts.unionByName(texts.filter("match_id = '2'")).coalesce(1), packed)
+    assert len(list((tmp_path / "packed").glob("*.parquet"))) == 1
+    good, _ = ingest.split_bad(ingest.read_packed(spark, packed))
+    found = {}
+    for name in ("own", "update", "stream"):
+        path = f"file://{tmp_path}/{name}"
+        ingest.rebuild(good.filter("match_id = '1'"), path)
+        if name == "stream":
+            follow(spark, packed, path, f"file://{tmp_path}/cp-packed", packed=True).awaitTermination(120)
+        else:
+            assert ingest.update(spark, packed if name == "update" else feed, path, packed=name == "update") == {"added": 2, "skipped": 1, "failed": 1}
+        found[name] = {k: sorted(map(str, df.collect())) for k, df in storage.scan(spark, path).items()}
+        assert not list((tmp_path / name).glob("_parsed-*"))
+    assert found["own"] == found["update"] == found["stream"] and len(found["own"]["matches"]) == 3
+
+
+def test_jobs_through_files_write_no_file_for_each_match(spark):
+    """The registered queries pack their documents, and only do the steps they need."""
+    from wicketry.plans import file_queries
+    from wicketry.plans.fixture import tables
+
+    jobs = file_queries.Jobs(tables(spark, "/root/testdata/sf0.001"))
+    assert len(spark.read.parquet(jobs.feed).inputFiles()) < jobs.t.matches.count()
+    assert "updated" not in jobs.__dict__ and "streamed" not in jobs.__dict__
