@@ -149,3 +149,22 @@ def test_streaks_have_no_window_over_a_whole_history(spark):
     plan = streaks(df, ["key"], F.col("good"), ["date_start"])._jdf.queryExecution().executedPlan().toString()
     keys = [line.split("hashpartitioning(")[1].split("), ")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
     assert len(keys) == 2 and "_slot" in keys[0] and "_year" in keys[1]
+
+
+def test_buckets_grow_with_the_table_and_documents_need_no_exchange_of_balls(spark, monkeypatch):
+    """A task's share of a written table is bounded; documents are put together inside buckets, broadcasts or not."""
+    from wicketry.plans import fixture
+    from wicketry.sources import ingest, storage
+
+    assert storage.buckets_for(0) == storage.BUCKETS and storage.buckets_for(100 * storage.BUCKET_ROWS + 1) == 101
+    monkeypatch.setattr(storage, "BUCKET_ROWS", 300)
+    monkeypatch.setattr(fixture, "_written", {})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    t = fixture.tables(spark, "/root/testdata/sf0.001")
+    assert len(t.deliveries.inputFiles()) > storage.BUCKETS and t.rows > 8 * 300
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = ingest.export_documents(t)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plan
