@@ -795,3 +795,14 @@ def test_rows_without_id_and_short_texts_keep_one_copy(spark):
     rows = [(None, long)] * 3 + [(None, other), (None, None), (None, None), (None, "")] + [(7, "too short"), (5, "Too  short"), (6, "short too"), (None, "too short"), (8, "one"), (9, "one")]
     got = sorted(((r.doc_id, r.kept, r.n_removed) for r in paragraphs.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(None, long, 0), (None, "", 1), (None, "", 1), (None, other, 0)] + [(None, "", 0)] * 3 + [(5, "Too  short", 0), (6, "short too", 0), (7, "", 1), (None, "", 1), (8, "one", 0), (9, "", 1)], key=str)
+
+
+# shared helpers
+
+
+def test_batches_are_cut_small_and_lose_nothing():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1201))})
+    parts = list(common.small_batches(iter([batch, batch.slice(0, 0)])))
+    assert [len(p) for p in parts] == [500, 500, 201] and [x for p in parts for x in p.column("x").to_pylist()] == list(range(1201))

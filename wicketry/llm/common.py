@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,14 @@ def with_minimum(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
     return s.join(salted(low), [key, "_s"]).drop("_s")
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a worker makes of a batch stays small; freed memory goes back at the end."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package's code, once per application, wherever the driver imported it from."""
     context = spark.sparkContext

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, table
+from .common import cut, drop_cut, small_batches, table
 from .components import components
 from .words import Words, buffer_of, groups, mixed, shingle_hashes
 
@@ -88,7 +88,7 @@ def features(docs: DataFrame, n_words: int) -> DataFrame:
     """doc_id, n_shingles, set_key and the band keys of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             out = [(len(s), set_key(s), bands(s) if len(s) else None) for s in text_sets(batch.column("text"), n_words)]
             n, key, keys = zip(*out, strict=True) if out else ((),) * 3
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
@@ -100,7 +100,7 @@ def sets(docs: DataFrame, n_words: int) -> DataFrame:
     """doc_id, set_key and the full shingle set (64-bit hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found = list(text_sets(batch.column("text"), n_words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(set_key, found), pa.string()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["doc_id", "set_key", "shingles"])
 

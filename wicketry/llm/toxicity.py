@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import cut, drop_cut, table, text_or_empty
+from .common import cut, drop_cut, small_batches, table, text_or_empty
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7, 8)
@@ -244,7 +244,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     schema = StructType([rows.schema["_row"], StructField("_score", DoubleType()), StructField("_predicted", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             s = model.scores([model.features(t) for t in batch.column("_text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["_row", "_score", "_predicted"])
 
