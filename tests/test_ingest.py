@@ -316,3 +316,26 @@ def test_jobs_through_files_write_no_file_for_each_match(spark):
     jobs = file_queries.Jobs(tables(spark, "/root/testdata/sf0.001"))
     assert len(spark.read.parquet(jobs.feed).inputFiles()) < jobs.t.matches.count()
     assert "updated" not in jobs.__dict__ and "streamed" not in jobs.__dict__
+
+
+def test_a_document_is_parsed_once_and_innings_leave_balls_unread(spark, feed, tmp_path):
+    """The plan of the good documents holds one parser; innings read no overs of parsed files; balls and people keep their order and ids."""
+    texts = spark.createDataFrame([("1", json.dumps(document())), ("2", "{broken"), ("3", None)], ingest.PACKED)
+    good, bad = ingest.split_bad(ingest.parse_documents(texts.repartition(2)))
+    parsers = [df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") for df in (good, bad, good.select("info.season"))]
+    assert parsers == [1, 1, 1]
+    assert [r.match_id for r in good.collect()] == ["1"] and sorted((r.match_id, r._corrupt_record) for r in bad.collect()) == [("2", "{broken"), ("3", None)]
+    packed, parsed = f"file://{tmp_path}/packed", f"file://{tmp_path}/parsed"
+    ingest.pack_documents(texts, packed)
+    assert [r.match_id for r in ingest.read_packed(spark, packed, spark.createDataFrame([("2",)], "match_id string")).collect()] == ["2"]
+    good.write.parquet(parsed)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    try:
+        plan = ingest.flatten(spark.read.schema(good.schema).parquet(parsed))["innings"]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "target:" in plan.split("ReadSchema:")[1] and "overs:array" not in plan.split("ReadSchema:")[1]
+    t = ingest.load(good)
+    again = ingest.load(ingest.parse_documents(ingest.export_documents(Tables(*(t[n] for n in ("players", "matches", "innings", "deliveries"))))))
+    for name in ("matches", "innings", "deliveries"):
+        assert sorted(map(str, again[name].collect())) == sorted(map(str, t[name].collect())), name
