@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,24 @@ def test_buckets_grow_with_the_table_and_documents_need_no_exchange_of_balls(spa
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "Exchange" not in plan
+
+
+def test_the_window_over_deliveries_has_tasks_by_rows_not_by_the_session(spark, monkeypatch, tmp_path):
+    """Two shuffle partitions in the session, many tasks; one exchange, of lineitem."""
+    from wicketry.plans import fixture
+    from wicketry.sources import storage
+
+    monkeypatch.setattr(storage, "BUCKET_ROWS", 300)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    plans = []
+    sql = type(spark).sql
+    monkeypatch.setattr(type(spark), "sql", lambda self, text, *a, **k: plans.append(sql(self, text, *a, **k)) or plans[-1])
+    try:
+        derived = fixture.derive(spark, "/root/testdata/sf0.001", f"file://{tmp_path}")
+        plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    tasks = re.findall(r"Exchange hashpartitioning\(\(l_orderkey#\d+L div 60\), (\d+)\)", plan)
+    assert plan.count("Exchange") == 1 and tasks == [str(storage.buckets_for(6000))]
+    assert derived.rows > 300 * storage.BUCKETS
