@@ -339,3 +339,26 @@ def test_a_document_is_parsed_once_and_innings_leave_balls_unread(spark, feed, t
     again = ingest.load(ingest.parse_documents(ingest.export_documents(Tables(*(t[n] for n in ("players", "matches", "innings", "deliveries"))))))
     for name in ("matches", "innings", "deliveries"):
         assert sorted(map(str, again[name].collect())) == sorted(map(str, t[name].collect())), name
+
+
+def test_a_known_match_is_skipped_before_it_is_parsed(spark, feed, tmp_path):
+    """Whatever its text holds, by update and by stream, as in the reference; other bad texts are quarantined."""
+    texts = spark.createDataFrame([("1", "{broken"), ("1", "{broken again"), ("2", json.dumps(document())), ("4", "{broken")], ingest.PACKED)
+    packed = f"file://{tmp_path}/packed"
+    ingest.pack_documents(texts, packed)
+    good, _ = ingest.split_bad(ingest.read_documents(spark, feed))
+    for name in ("update", "stream"):
+        path = f"file://{tmp_path}/{name}"
+        ingest.rebuild(good.filter("match_id = '1'"), path)
+        if name == "stream":
+            follow(spark, packed, path, f"file://{tmp_path}/cp-known", packed=True).awaitTermination(120)
+        else:
+            assert ingest.update(spark, packed, path, packed=True) == {"added": 1, "skipped": 1, "failed": 1}
+        have = storage.scan(spark, path)
+        assert sorted(r.match_id for r in have["matches"].collect()) == ["1", "2"] and [r.match_id for r in have["quarantine"].collect()] == ["4"]
+
+
+def test_bowling_grain_reads_the_balls_once(spark, tmp_path):
+    have = storage.scan(spark, grown(spark, tmp_path, 1))
+    plan = storage.grains(have["deliveries"])["bowling"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
