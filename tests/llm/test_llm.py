@@ -806,3 +806,15 @@ def test_batches_are_cut_small_and_lose_nothing():
     batch = pa.RecordBatch.from_pydict({"x": list(range(1201))})
     parts = list(common.small_batches(iter([batch, batch.slice(0, 0)])))
     assert [len(p) for p in parts] == [500, 500, 201] and [x for p in parts for x in p.column("x").to_pylist()] == list(range(1201))
+
+
+def test_short_words_are_read_without_the_generator_and_once(monkeypatch):
+    """They give what the stream gives; a new word that comes twice in a stretch is read once."""
+    tok = bpe.Tokenizer(bpe.default_path())
+    m, words = tok.merges, ["theserwh", "blend", "a", "1", "withthhatihe", "q" * 11]
+    want = [list(m.stream([*w[:-1], w[-1] + m.end])) for w in words]
+    monkeypatch.setattr(m, "stream", lambda *a: (_ for _ in ()).throw(AssertionError("generator")))
+    assert [m.tokens(w) for w in words] == want
+    seen, word = [], tok._word
+    monkeypatch.setattr(tok, "_word", lambda w: seen.append(w) or word(w))
+    assert tok.encode("zorble zorble the zorble") and sorted(seen) == sorted(set(seen))

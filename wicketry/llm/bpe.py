@@ -24,6 +24,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import pandas as pd
 import regex
@@ -153,14 +154,38 @@ class Merges:
                 j += 1
 
     def stream(self, symbols: Iterable[str], prefix: str = "") -> Iterator[str]:
-        """Tokens of one word, each as soon as no later symbol can change it.
+        """Tokens of one word, each as soon as no later symbol can change it (looked at once in ``lookahead`` symbols).
 
-        A node is a prefix: (token that ends there, node before it). ``nodes`` has those of the last ``lookahead`` prefixes.
-        The nodes of prefixes of at most SHORT symbols are remembered (bounded), as they are the same for all words that share
-        them; ``prefix`` is one of them, which the word begins with and ``symbols`` goes on from.
+        A node is a prefix: (token that ends there, node before it). ``nodes`` has those of the last prefixes, at least ``lookahead``.
+        ``prefix`` is a remembered one, which the word begins with and ``symbols`` goes on from.
         """
-        nodes, recent, emitted = list(self._nodes[prefix]) if prefix else [self.root], list(prefix), self.root
-        ends, whole, pairs, most, known_nodes = self.ends, self._whole, self._pairs, self.lookahead, self._nodes
+        nodes, recent, emitted, most = *self.begun(prefix), self.root, self.lookahead
+        symbols = iter(symbols)
+        while some := list(islice(symbols, most)):
+            self.read(some, nodes, recent)
+            if len(nodes) > 2 * most:
+                del nodes[: -most - 1], recent[:-most]
+                live = [n for n in nodes if n is not None]
+                chains = [self.chain(n, emitted) for n in live]
+                shared = 0
+                while all(len(c) > shared for c in chains) and len({id(c[shared]) for c in chains}) == 1:
+                    yield chains[0][shared][0]
+                    emitted = chains[0][shared]
+                    shared += 1
+        for n in self.chain(nodes[-1], emitted):
+            yield n[0]
+
+    def begun(self, prefix: str) -> tuple[list, list[str]]:
+        """Nodes and symbols after a remembered prefix."""
+        return list(self._nodes[prefix]) if prefix else [self.root], list(prefix)
+
+    def read(self, symbols: list[str], nodes: list, recent: list[str]) -> None:
+        """Append the nodes of further symbols.
+
+        Those of a word's prefixes of at most SHORT symbols are remembered (bounded), as they are the same for all words that share them.
+        """
+        ends, whole, pairs, known_nodes = self.ends, self._whole, self._pairs, self._nodes
+        short = SHORT if nodes[0] is self.root else 0
         for s in symbols:
             recent.append(s)
             node, token = None, ""
@@ -187,19 +212,8 @@ class Merges:
                 node = (token, before)
                 break
             nodes.append(node)
-            if len(recent) <= SHORT and len(s) == 1:
+            if len(recent) <= short and len(s) == 1:
                 known_nodes["".join(recent)] = tuple(nodes)
-            elif len(nodes) > 2 * most:
-                del nodes[: -most - 1], recent[:-most]
-                live = [n for n in nodes if n is not None]
-                chains = [self.chain(n, emitted) for n in live]
-                shared = 0
-                while all(len(c) > shared for c in chains) and len({id(c[shared]) for c in chains}) == 1:
-                    yield chains[0][shared][0]
-                    emitted = chains[0][shared]
-                    shared += 1
-        for n in self.chain(nodes[-1], emitted):
-            yield n[0]
 
     @staticmethod
     def chain(node, emitted) -> list:
@@ -220,7 +234,11 @@ class Merges:
             n -= 1
         rest = list(body[n:])
         rest[-1] += self.end
-        return list(self.stream(rest, body[:n]))
+        if len(body) > self.lookahead:
+            return list(self.stream(rest, body[:n]))
+        nodes, recent = self.begun(body[:n])
+        self.read(rest, nodes, recent)
+        return [n[0] for n in self.chain(nodes[-1], self.root)]
 
 
 class Tokenizer:
@@ -260,7 +278,7 @@ class Tokenizer:
             return found
         body = "".join(map(self.bytes.__getitem__, word.encode()))
         vocab = self.merges.vocab
-        found = tuple(vocab[t] for t in self.merges.tokens(body) if t in vocab)
+        found = tuple([vocab[t] for t in self.merges.tokens(body) if t in vocab])
         if len(word) <= 64:
             self._remember(word, found)
         return found
@@ -284,10 +302,16 @@ class Tokenizer:
                 if part in self.special:
                     held.append(self.special[part])
                 elif part:
-                    known = self._known
-                    for w in self.words.findall(self.normal(part)):
-                        ids = known.get(w)
-                        held += self._word(w) if ids is None else ids
+                    words = self.words.findall(self.normal(part))
+                    for k in range(0, len(words), FLUSH):
+                        some = words[k : k + FLUSH]
+                        found = list(map(self._known.get, some))
+                        if None in found:
+                            for i, ids in enumerate(found):
+                                if ids is None:
+                                    ids = self._known.get(some[i])  # the word may have been met just before
+                                    found[i] = self._word(some[i]) if ids is None else ids
+                        held.extend(chain.from_iterable(found))
                         if len(held) >= FLUSH:
                             yield held
                             held = []
