@@ -818,3 +818,22 @@ def test_short_words_are_read_without_the_generator_and_once(monkeypatch):
     seen, word = [], tok._word
     monkeypatch.setattr(tok, "_word", lambda w: seen.append(w) or word(w))
     assert tok.encode("zorble zorble the zorble") and sorted(seen) == sorted(set(seen))
+
+
+def test_new_words_are_read_side_by_side(monkeypatch):
+    """New words of several texts are read together, with the stream's tokens, also where pairs take each other's places and remembered words go; long words are read alone and don't stay."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice(["the", "ouwh", "ción", "é", "q", "日", "an", "tion", "x"]) for _ in range(rng.randint(1, 7))) for _ in range(700)] + ["y" * 90]
+    monkeypatch.setattr(bpe, "PAIR_BITS", 4)
+    monkeypatch.setattr(bpe, "REMEMBERED", 150)
+    monkeypatch.setattr(bpe, "HELD", 2000)
+    tok, want = bpe.Tokenizer(bpe.default_path()), []
+    alone, word = [], tok._word
+    monkeypatch.setattr(tok, "_word", lambda w: alone.append(w) or word(w))
+    texts = [" ".join(words[k : k + 70]) for k in range(0, len(words), 70)] * 2
+    got = [[] for _ in texts]
+    for row, ids in tok.batches([None, *texts, ""]):
+        got[row - 1] += ids
+    for text in texts:
+        want.append([i for w in tok.words.findall(tok.normal(text)) for i in word(w)])
+    assert got == want and "y" * 90 in alone and all(len(w.encode()) > tok.merges.lookahead for w in alone if w) and "y" * 90 not in tok._known

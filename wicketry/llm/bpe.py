@@ -6,6 +6,7 @@ prefix of a word has its own last token, found from the prefixes before it. From
 longest token in symbols, ``lookahead``: whatever follows, the next token begins at one of the last ``lookahead`` prefixes.
 The transducer reads symbols one by one, keeps the chains of these prefixes only, and emits a token once all of them share
 it, so memory is constant however long a word is. Every word goes through it; results of short words are remembered (bounded).
+New words of many texts are read side by side (``SideBySide``): the same machine, one symbol of all words at a time, over arrays.
 
 Ids leave in batches of ``FLUSH``: each batch is decoded by the state machine ``Decoder`` (what it holds between batches is
 the bytes of an unfinished character, or whether a token came before), and both digests are fed as it goes.
@@ -24,8 +25,10 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -36,6 +39,11 @@ from .common import SPACE, table
 REMEMBERED, PREFIXES = 120_000, 120_000
 #: Ids held before they are decoded and hashed.
 FLUSH = 4096
+#: Characters of texts that wait until their new words are read, and the least number of words that are read side by side.
+HELD, FEW = 1 << 20, 100
+#: Two to this power are the pairs of tokens that are remembered where words are read side by side.
+PAIR_BITS = 20
+EMPTY = hashlib.sha256().hexdigest()
 #: Characters read at once, up to the next white space.
 STRETCH, BLANK = 1 << 16, re.compile(SPACE)
 #: Symbols of prefixes that are remembered; what joins symbols or tokens to keys.
@@ -241,6 +249,113 @@ class Merges:
         return [n[0] for n in self.chain(nodes[-1], self.root)]
 
 
+class SideBySide:
+    """The machine of ``Merges`` over many short words at once: their n-th symbols are read together, as arrays.
+
+    A trie holds the tokens read backwards, so a token is its node; those of one symbol come first, plain and as a word's last.
+    """
+
+    def __init__(self, merges: Merges, symbols: list[str]):
+        self.merges = merges
+        self.last = len(symbols) if merges.end else 0
+        self.names: list[str | None] = [*symbols, *(c + merges.end for c in symbols if merges.end)]
+        number = {c: i for i, c in enumerate(self.names)}
+        whole, longer, width = [1] * len(self.names), {}, len(symbols)
+        for token in merges.made:
+            path = [number.get(s) for s in reversed(merges.split(token))]
+            if None in path:  # not of bytes, so no word holds it
+                continue
+            at = path[0]
+            for s in path[1:]:
+                if (node := longer.get(at * width + s)) is None:
+                    node = longer[at * width + s] = len(self.names)
+                    self.names.append(None)
+                    whole.append(0)
+                at = node
+            self.names[at], whole[at] = token, -1
+        #: 1: merging its symbols gives the token; 0: it doesn't, or there is none; -1: not asked yet.
+        self.whole = np.array(whole, "int8")
+        self.ids = np.array([-1 if t is None else merges.vocab.get(t, -1) for t in self.names], "int32")
+        keys, nodes = np.array(list(longer), "int64"), np.array(list(longer.values()), "int32")
+        parents, read = keys // width, keys % width
+        # a node with one longer one keeps it by itself, others have a row
+        n = np.bincount(parents, minlength=len(self.names))
+        self.one, self.one_node, self.row = np.full(len(n), -1, "int16"), np.full(len(n), -1, "int32"), np.zeros(len(n), "int32")
+        alone = n[parents] == 1
+        self.one[parents[alone]], self.one_node[parents[alone]] = read[alone], nodes[alone]
+        self.row[n > 1] = np.arange(1, (n > 1).sum() + 1)
+        self.rows = np.full(((n > 1).sum() + 1, width), -1, "int32")
+        self.rows[self.row[parents[~alone]], read[~alone]] = nodes[~alone]
+        self.pairs, self.apart = np.full(1 << PAIR_BITS, -1, "int64"), np.zeros(1 << PAIR_BITS, bool)
+
+    def _whole(self, nodes: np.ndarray) -> np.ndarray:
+        found = self.whole[nodes]
+        if (found < 0).any():
+            for node in np.unique(nodes[found < 0]).tolist():
+                self.whole[node] = self.merges.whole(self.names[node])
+            found = self.whole[nodes]
+        return found > 0
+
+    def _neighbours(self, before: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Which pairs may stand side by side. A pair is remembered in the place its hash names, until another needs it."""
+        n = len(self.names)
+        place = lambda keys: ((keys.view("uint64") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).view("int64")
+        keys = before.astype("int64") * n + nodes
+        at = place(keys)
+        good, new = self.apart[at], self.pairs[at] != keys
+        if new.any():
+            asked, which = np.unique(keys[new], return_inverse=True)
+            found = np.array([self.merges.neighbours(self.names[k // n], self.names[k % n]) for k in asked.tolist()], bool)
+            good[new] = found[which]
+            at = place(asked)
+            self.pairs[at], self.apart[at] = asked, found
+            lost = self.pairs[at] != asked  # of two in one place one stays, with its own answer
+            self.pairs[at[lost]] = -1
+        return good
+
+    def read(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each word's tokens; no word is empty or longer than ``lookahead``."""
+        sizes = np.fromiter(map(len, words), "int64", len(words))
+        order = np.argsort(-sizes, kind="stable")
+        data, starts = np.frombuffer(b"".join(words), "uint8"), np.cumsum(sizes) - sizes
+        sizes, starts, most = sizes[order], starts[order], int(sizes.max())
+        symbols = np.zeros((most, len(words)), "int16")
+        for p in range(most):
+            n = np.searchsorted(-sizes, -p)  # longer ones come first
+            symbols[p, :n] = data[starts[:n] + p]
+        symbols[sizes - 1, np.arange(len(words))] += self.last
+        root, none = -1, -2
+        tokens, lengths = np.full((most + 1, len(words)), none, "int32"), np.zeros((most + 1, len(words)), "int8")
+        tokens[0] = root
+        for p in range(most):
+            w = np.arange(np.searchsorted(-sizes, -p))
+            nodes = symbols[p, w].astype("int32")
+            for size in range(1, p + 2):
+                before = tokens[p + 1 - size, w]
+                good = before != none
+                good[good] = self._whole(nodes[good])
+                ask = np.flatnonzero(good & (before != root))
+                good[ask] = self._neighbours(before[ask], nodes[ask])
+                tokens[p + 1, w[good]], lengths[p + 1, w[good]] = nodes[good], size
+                if size == p + 1:
+                    break
+                w, nodes = w[~good], nodes[~good]
+                s = symbols[p - size, w]
+                nodes = np.where(self.one[nodes] == s, self.one_node[nodes], self.rows[self.row[nodes], s])
+                w, nodes = w[nodes >= 0], nodes[nodes >= 0]
+                if not len(w):
+                    break
+        at, columns, out = sizes, np.arange(len(words)), []
+        while (at > 0).any():  # from the last token to the first
+            out.append(np.where(at > 0, self.ids[tokens[at, columns]], -1))
+            at = at - lengths[at, columns]
+        out = np.array(out[::-1]).T
+        flat, found = iter(out[out >= 0].tolist()), [()] * len(words)
+        for w, n in zip(order.tolist(), (out >= 0).sum(axis=1).tolist(), strict=True):
+            found[w] = tuple(islice(flat, n))
+        return found
+
+
 class Tokenizer:
     """Reads a tokenizer file: normalizer steps, one split pattern, byte-level symbols, merges, special tokens."""
 
@@ -258,6 +373,7 @@ class Tokenizer:
         self.bytes = byte_symbols()
         self.decoder = (spec.get("decoder") or {}).get("type")
         self.shown = {i: str(i) for i in self.names}
+        self.side_by_side = SideBySide(self.merges, self.bytes)
         self._known: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
 
@@ -273,25 +389,30 @@ class Tokenizer:
         return text
 
     def _word(self, word: str) -> tuple[int, ...]:
-        if (found := self._older.get(word)) is not None:
-            self._remember(word, found)
-            return found
-        body = "".join(map(self.bytes.__getitem__, word.encode()))
         vocab = self.merges.vocab
-        found = tuple([vocab[t] for t in self.merges.tokens(body) if t in vocab])
-        if len(word) <= 64:
-            self._remember(word, found)
-        return found
+        return tuple([vocab[t] for t in self.merges.tokens("".join(map(self.bytes.__getitem__, word.encode()))) if t in vocab])
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Put what isn't remembered of some words there, short new ones read side by side if they are many; the long ones, which shall not stay.
 
-    def _remember(self, word: str, found: tuple[int, ...]) -> None:
-        """Two generations: words that are met again outlast the older one."""
+        Two generations: words that are met again outlast the older one.
+        """
         if len(self._known) > REMEMBERED:
             self._older, self._known = self._known, {}
-        self._known[word] = found
-
-    def batches(self, text: str) -> Iterator[list[int]]:
-        """The text's ids, in lists of about FLUSH. Words and special tokens never cross white space, so long texts are read in stretches that end there."""
-        held: list[int] = []
+        known, older = self._known, self._older
+        new = words.difference(known)
+        met = new.intersection(older)
+        known.update(zip(met, map(older.__getitem__, met), strict=True))
+        new -= met
+        short = {w: b for w in new if len(b := w.encode()) <= self.merges.lookahead}
+        if len(short) >= FEW:
+            known.update(zip(short, self.side_by_side.read(list(short.values())), strict=True))
+            new.difference_update(short)
+        known.update((w, self._word(w)) for w in new)
+        return [w for w in new if len(w) > 64]
+
+    def _stretches(self, text: str) -> Iterator[tuple[int, list[str] | int]]:
+        """Words in lists of at most FLUSH, or the id of a special token, with the characters read for them. Neither crosses white space, so long texts are read in stretches that end there."""
         at = 0
         while at < len(text):
             m = BLANK.search(text, at + STRETCH) if len(text) - at > STRETCH else None
@@ -300,26 +421,34 @@ class Tokenizer:
             at = end
             for part in self.marks.split(stretch) if self.marks and self.marks.search(stretch) else (stretch,):
                 if part in self.special:
-                    held.append(self.special[part])
+                    yield len(part), self.special[part]
                 elif part:
                     words = self.words.findall(self.normal(part))
                     for k in range(0, len(words), FLUSH):
-                        some = words[k : k + FLUSH]
-                        found = list(map(self._known.get, some))
-                        if None in found:
-                            for i, ids in enumerate(found):
-                                if ids is None:
-                                    ids = self._known.get(some[i])  # the word may have been met just before
-                                    found[i] = self._word(some[i]) if ids is None else ids
-                        held.extend(chain.from_iterable(found))
-                        if len(held) >= FLUSH:
-                            yield held
-                            held = []
-        if held:
-            yield held
+                        yield len(part) if not k else 0, words[k : k + FLUSH]
+
+    def batches(self, texts: Iterable[str | None]) -> Iterator[tuple[int, list[int]]]:
+        """The texts' ids, in lists of a few thousand, each with its text's place. Texts of HELD characters wait for their new words, which are read together."""
+        held, size = [], 0
+        for row, text in enumerate(texts):
+            for n, some in self._stretches(text) if text else ():
+                held.append((row, some))
+                size += n
+                if size >= HELD:
+                    yield from self._ready(held)
+                    held, size = [], 0
+        yield from self._ready(held)
+
+    def _ready(self, held: list[tuple[int, list[str] | int]]) -> Iterator[tuple[int, list[int]]]:
+        long = self._learn(set().union(*(some for _, some in held if isinstance(some, list))))
+        ids = self._known.__getitem__
+        for row, some in held:
+            yield row, list(chain.from_iterable(map(ids, some))) if isinstance(some, list) else [some]
+        for w in long:
+            del self._known[w]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.batches(text) for i in ids]
+        return [i for _, ids in self.batches([text]) for i in ids]
 
     def decode(self, ids: Iterable[int]) -> str:
         machine = Decoder(self)
@@ -374,15 +503,16 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
             gc.enable()
 
     def digests(tok: Tokenizer, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for text in pdf["text"]:
+        rows = [(0, EMPTY, EMPTY)] * len(pdf)
+        for row, parts in groupby(tok.batches(pdf["text"]), itemgetter(0)):
             n, ids_digest, text_digest, machine = 0, hashlib.sha256(), hashlib.sha256(), Decoder(tok)
-            for ids in tok.batches(text) if text else ():
-                ids_digest.update(((" " if n else "") + " ".join(map(tok.shown.__getitem__, ids))).encode())
-                text_digest.update(machine.feed(ids).encode())
-                n += len(ids)
+            for _, ids in parts:
+                if ids:
+                    ids_digest.update(((" " if n else "") + " ".join(map(tok.shown.__getitem__, ids))).encode())
+                    text_digest.update(machine.feed(ids).encode())
+                    n += len(ids)
             text_digest.update(machine.end().encode())
-            rows.append((n, ids_digest.hexdigest(), text_digest.hexdigest()))
+            rows[row] = n, ids_digest.hexdigest(), text_digest.hexdigest()
         out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
         out.insert(0, "doc_id", pdf["doc_id"].values)
         return out
