@@ -1,6 +1,7 @@
 """Source documents: defaults, bad files, updates, stream, metadata."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -362,3 +363,23 @@ def test_bowling_grain_reads_the_balls_once(spark, tmp_path):
     have = storage.scan(spark, grown(spark, tmp_path, 1))
     plan = storage.grains(have["deliveries"])["bowling"]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_a_table_keeps_only_what_is_asked_of_it(spark, tmp_path):
+    """Below the size from which operators ask the index, none is written, in later batches neither; the derived tables have it as a plan. Other tables keep all."""
+    from wicketry.plans import file_queries
+    from wicketry.plans.fixture import tables
+    from wicketry.sources import names, storage
+
+    t = tables(spark, "/root/testdata/sf0.001")
+    assert t.appearances.count() > 0 and t.grams.count() > 0
+    assert not [f for f in t.deliveries.inputFiles() if os.path.exists(f.split("/deliveries/")[0].removeprefix("file://") + "/appearances")]
+    path = file_queries.Jobs(t).updated[0]
+    state = storage.current(spark, path)
+    assert len(state["batches"]) == 2 and all("appearances" not in b["columns"] and "checks" in b["columns"] and "violations" in b for b in state["batches"])
+    assert names.unasked(names.FROM) == () and state["without"] == ["index"]
+    storage.compact(spark, path)
+    assert "appearances" not in storage.scan(spark, path) and "checks" in storage.scan(spark, path)
+    kept = f"file://{tmp_path}/kept"
+    storage.write_star(t.star(), kept)
+    assert {"appearances", "grams", "checks"} <= set(storage.scan(spark, kept)) and "without" not in storage.current(spark, kept)
